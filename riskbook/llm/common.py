@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_task(spark: SparkSession, f: Callable):
+    """The result of f(), computed in one task: bounded numeric work that would weigh on the driver."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f())], pa.binary())], names=["x"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(once, "x binary").first()[0])
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import in_task
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -233,7 +234,7 @@ def fit_on(pages: DataFrame, most: int = 300) -> dict | None:
     by = sorted(zip(got["x"], got["y"]))  # the order that rows arrive in doesn't matter
     y = np.concatenate([np.frombuffer(b) for _, b in by])
     x = np.concatenate([np.frombuffer(a) for a, _ in by]).reshape(len(y), -1) if len(y) else np.zeros((0, 1))
-    return boosting.fit(x, y) if 0 < y.sum() < len(y) else None
+    return in_task(pages.sparkSession, lambda: boosting.fit(x, y)) if 0 < y.sum() < len(y) else None
 
 
 def extract(pages: DataFrame, most: int = 300) -> DataFrame:

@@ -57,12 +57,14 @@ def license_matches(docs: DataFrame, threshold: float = 0.8, templates: dict[str
     sizes = [n for _, _, n in rows]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     known = docs.sparkSession.createDataFrame(rows, "licence string, bigram string, b int")
-    sentences = F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n")
-    passages = docs.where("text is not null").select("doc_id", F.posexplode(F.array_distinct(F.concat(F.split("text", "\n"), F.split(sentences, "\n")))).alias("no", "passage"))
+    both = """flatten(transform(split(text, '\\n'), l -> if(l rlike '[.!?][ \\t]+[^ \\t]', concat(array(l), split(regexp_replace(l, '([.!?])[ \\t]+', '$1\\n'), '\\n')), array(l))))"""
+    passages = docs.where("text is not null").select("doc_id", F.posexplode(F.expr(both)).alias("no", "passage"))
     words = F.split(F.trim(F.regexp_replace(F.lower("passage"), r"[^\p{L}\p{N}]+", " ")), " ")
     sized = passages.withColumn("w", words).where((F.size("w") >= 2) & (F.size("w") > low))
-    pairs = F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 2, 0)), i -> concat(w[i], ' ', coalesce(get(w, i + 1), '')))"))
+    # bigrams by their 64-bit hashes: sets of numbers are made fast
+    pairs = F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 2, 0)), i -> xxhash64(w[i], get(w, i + 1)))"))
     sized = sized.withColumn("pairs", pairs).withColumn("a", F.size("pairs")).where(F.col("a").between(low, high))
+    known = known.select("licence", "b", F.expr("xxhash64(split(bigram, ' ')[0], split(bigram, ' ')[1])").alias("bigram"))
     fits = (F.col("a") >= F.col("b") * threshold / (2 - threshold)) & (F.col("a") <= F.col("b") * (2 - threshold) / threshold)
     shared = sized.select("doc_id", "no", "passage", "a", F.explode("pairs").alias("bigram")).join(F.broadcast(known), "bigram").where(fits)
     scored = shared.groupBy("doc_id", "no", "passage", "licence", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -76,8 +78,9 @@ def oracle(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> str
     values = ", ".join("('%s', '%s', %d)" % row for row in template_bigrams(templates))
     return f"""
 WITH known(licence, bigram, b) AS (VALUES {values}),
-lines AS (SELECT doc_id, list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) AS ps FROM documents WHERE text IS NOT NULL),
-passages AS (SELECT doc_id, passage, min(no) AS no FROM (SELECT doc_id, unnest(ps) AS passage, generate_subscripts(ps, 1) AS no FROM lines) GROUP BY doc_id, passage),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '[.!?][ \\t]+[^ \\t]') THEN list_prepend(line, string_split(regexp_replace(line, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) ELSE [line] END AS ps FROM lines),
+passages AS (SELECT doc_id, unnest(ps) AS passage, line_no * 1000000 + generate_subscripts(ps, 1) AS no FROM parts),
 worded AS (SELECT *, string_split(trim(regexp_replace(lower(passage), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM passages),
 paired AS (SELECT doc_id, no, passage, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS pairs FROM worded WHERE len(w) >= 2),
 shared AS (SELECT p.doc_id, p.no, p.passage, k.licence, p.a, k.b, count(*) AS shared

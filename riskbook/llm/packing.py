@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import in_task, text_or_empty, written
 from .units import encoder, spaced_units
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local_rank long, part_crcs array<long>"
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = written(by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
     histogram = {int(r["length"]): int(r["n"]) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    to = plan(histogram, capacity)
+    to = in_task(docs.sparkSession, lambda: plan(histogram, capacity))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_task, text_or_empty
 from .quality_rules import base_counts, gram_codes
 
 BIGRAMS, HASHED, BINS = 1 << 10, 1 << 11, 12
@@ -102,7 +102,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = 3000, rank: int = 48)
         return None
     matrix = np.stack([np.frombuffer(x, np.float32) for x in rows["terms"]])
     by = np.lexsort((rows["label"].to_numpy(), *matrix.T[:8]))  # the order that rows arrive in doesn't matter
-    return fit(matrix[by], rows["label"].to_numpy()[by], rank)
+    matrix, known = matrix[by], rows["label"].to_numpy()[by]
+    return in_task(docs.sparkSession, lambda: fit(matrix, known, rank))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 3000, neighbours: int = 11) -> DataFrame:
