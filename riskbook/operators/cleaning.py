@@ -37,8 +37,9 @@ def outcome_map(df: DataFrame, column: str) -> DataFrame:
 
 def binarize_target(df: DataFrame, column: str, to: str = "label") -> DataFrame:
     """df with the outcome as 0/1 (1: default); null outcomes stay null."""
-    known = outcome_map(df, column)
-    return df.join(known, F.col(column).cast("string") == F.col("value"), "left").withColumnRenamed("label", to).drop("value")
+    known = outcome_map(df, column).select(F.col("value").alias("_value"), F.col("label").alias("_label"))
+    joined = df.withColumn("_text", F.col(column).cast("string")).join(known, F.col("_text") == F.col("_value"), "left")
+    return joined.withColumn(to, F.col("_label")).drop("_text", "_value", "_label")
 
 
 def loan_ids(df: DataFrame, column: str, order: str, to: str = "loan_id") -> DataFrame:

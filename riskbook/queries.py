@@ -1,11 +1,19 @@
-"""Queries of the credit-risk operators and their SQL."""
+"""Queries of the credit-risk operators over the given tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from riskbook.plans import q_book, q_models, q_sequences, q_tables
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = (q_tables, q_book, q_sequences, q_models)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
