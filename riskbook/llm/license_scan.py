@@ -58,12 +58,13 @@ def license_matches(docs: DataFrame, threshold: float = 0.8, templates: dict[str
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     known = docs.sparkSession.createDataFrame(rows, "licence string, bigram string, b int")
     both = """flatten(transform(split(text, '\\n'), l -> if(l rlike '[.!?][ \\t]+[^ \\t]', concat(array(l), split(regexp_replace(l, '([.!?])[ \\t]+', '$1\\n'), '\\n')), array(l))))"""
-    passages = docs.where("text is not null").select("doc_id", F.posexplode(F.expr(both)).alias("no", "passage"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("passage"), r"[^\p{L}\p{N}]+", " ")), " ")
-    sized = passages.withColumn("w", words).where((F.size("w") >= 2) & (F.size("w") > low))
+    # Words and bigrams are made inside generators, so that each is made once and not wherever it is used.
+    words = r"split(trim(regexp_replace(lower(p), '[^\\p{L}\\p{N}]+', ' ')), ' ')"
+    passages = docs.where("text is not null").select("doc_id", F.posexplode(F.expr(f"transform({both}, p -> struct(p AS passage, {words} AS w))")).alias("no", "x"))
+    sized = passages.select("doc_id", "no", "x.passage", "x.w").where((F.size("w") >= 2) & (F.size("w") > low))
     # bigrams by their 64-bit hashes: sets of numbers are made fast
-    pairs = F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 2, 0)), i -> xxhash64(w[i], get(w, i + 1)))"))
-    sized = sized.withColumn("pairs", pairs).withColumn("a", F.size("pairs")).where(F.col("a").between(low, high))
+    pairs = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> xxhash64(x, y)))")
+    sized = sized.select("doc_id", "no", "passage", F.explode(F.array(pairs)).alias("pairs")).withColumn("a", F.size("pairs")).where(F.col("a").between(low, high))
     known = known.select("licence", "b", F.expr("xxhash64(split(bigram, ' ')[0], split(bigram, ' ')[1])").alias("bigram"))
     fits = (F.col("a") >= F.col("b") * threshold / (2 - threshold)) & (F.col("a") <= F.col("b") * (2 - threshold) / threshold)
     shared = sized.select("doc_id", "no", "passage", "a", F.explode("pairs").alias("bigram")).join(F.broadcast(known), "bigram").where(fits)
