@@ -47,11 +47,11 @@ def panel_aggregate(df: DataFrame, key: str, order: list[str], columns: list[str
     return df.groupBy(key).agg(*aggs)
 
 
-def static_join(base: DataFrame, side: DataFrame, key: str, order: str) -> DataFrame:
+def static_join(base: DataFrame, side: DataFrame, key: str, order: list[str]) -> DataFrame:
     """A side table's first row for each key joined to the base, its numeric columns only."""
-    numeric = [c for c, t in side.dtypes if c not in (key, order) and t in ("int", "bigint", "double", "float")]
-    first = side.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in numeric])
-    return base.join(first, key, "left")
+    numeric = [c for c, t in side.dtypes if c != key and t in ("int", "bigint", "double", "float")]
+    first = side.groupBy(key).agg(F.min_by(F.struct(*numeric), F.struct(*order)).alias("_first"))
+    return base.join(first, key, "left").select(*base.columns, *[F.col(f"_first.{c}").alias(c) for c in numeric])
 
 
 def mean_of(columns: list[Column]) -> Column:

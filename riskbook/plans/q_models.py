@@ -1,6 +1,156 @@
-"""Queries that train models; checked by properties, not by SQL."""
+"""Queries of training, explanation records and streams."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from riskbook import catalog as C
+from riskbook.operators import evaluation, hazards, json_recovery, sequences, training
+from riskbook.plans.fixtures import LOAN_BOOK, fixed_score, loan_book, table
+from riskbook.plans.q_sequences import tokens
+from riskbook.plans.q_tables import scratch
+from riskbook.streaming.score import decide, score_stream as run_stream
+
 QUERIES: dict = {}
 SQL: dict = {}
+BOOK = "WITH " + LOAN_BOOK + "\n"
+NUMERIC = ["loan_amount", "term_months", "interest_rate", "income_or_turnover", "credit_score", "prior_delinquencies", "collateral_value"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def numbers(spark, d):
+    return loan_book(spark, d).withColumns({c: F.col(c).cast("double") for c in NUMERIC}).drop("p", "u")
+
+
+@query()
+def fit_booster(spark, d):
+    """Test-fold metrics of a boosted model."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], ("gbt",), trees=10)
+    return training.metrics_by_variant(bundle.score(folded.where("fold = 'test'")), "label", ["p"])
+
+
+@query()
+def train_and_score(spark, d):
+    """Every loan scored by a calibrated ensemble."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, ["sector"], ("forest", "logistic"), trees=10)
+    return bundle.score(folded).select("loan_id", "fold", "p_forest", "p_logistic", "p_raw", "p")
+
+
+@query()
+def calibration_compare(spark, d):
+    """Test-fold metrics of each member, of their mean, and of the calibrated mean."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], ("forest", "logistic"), trees=10)
+    return training.metrics_by_variant(bundle.score(folded.where("fold = 'test'")), "label", ["p_forest", "p_logistic", "p_raw", "p"])
+
+
+@query()
+def leave_one_out(spark, d):
+    return training.leave_one_out(numbers(spark, d), "sector", "label", "loan_id", ["credit_score", "prior_delinquencies"])
+
+
+@query()
+def linear_probe(spark, d):
+    vectors = table(spark, d, "embeddings").withColumn("bad", (F.col("label") >= 5).cast("int"))
+    return training.linear_probe(vectors, "embedding", "bad", "vec_id")
+
+
+@query()
+def embed_sequences(spark, d):
+    return training.embed_sequences(sequences.sequence_store(tokens(spark, d), "client_id", ["day", "event_id"]), "client_id")
+
+
+@query()
+def ablation(spark, d):
+    """Loans of customers with a history: does it add to the loan's own columns?"""
+    vectors = embed_sequences(spark, d).select(F.substring("client_id", 2, 20).cast("bigint").alias("loan_id"), *[F.col("embedding")[i].alias(f"seq_{i}") for i in range(4)])
+    return training.ablation(numbers(spark, d).join(vectors, "loan_id"), "label", "loan_id", ["credit_score", "prior_delinquencies"], [f"seq_{i}" for i in range(4)])
+
+
+def durations(spark, d):
+    x = loan_book(spark, d).select("loan_id", F.col("label").alias("event"), (1 + F.col("loan_id") % 36).cast("double").alias("months"), "credit_score", "prior_delinquencies")
+    stats = x.agg(F.avg("credit_score").alias("m"), F.stddev_samp("credit_score").alias("s"), F.avg("prior_delinquencies").alias("m2"), F.stddev_samp("prior_delinquencies").alias("s2"))
+    return x.crossJoin(F.broadcast(stats)).select("loan_id", "event", "months", ((F.col("credit_score") - F.col("m")) / F.col("s")).alias("z1"), ((F.col("prior_delinquencies") - F.col("m2")) / F.col("s2")).alias("z2"))
+
+
+@query(BOOK + """, x AS (SELECT 1 + loan_id % 36 AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x)
+SELECT month, round(sum(d / risk) OVER (ORDER BY month), 6) AS hazard FROM r""")
+def cumulative_hazard(spark, d):
+    return hazards.cumulative_hazard(durations(spark, d), "months", "event").select("month", F.round("hazard", 6).alias("hazard"))
+
+
+@query()
+def cox_baseline(spark, d):
+    """The baseline of a Cox fit on two standardised columns."""
+    x = durations(spark, d)
+    beta = hazards.cox_fit(x, "months", "event", ["z1", "z2"])
+    return hazards.cumulative_hazard(x.withColumn("score", F.lit(float(beta[0])) * F.col("z1") + F.lit(float(beta[1])) * F.col("z2")), "months", "event", "score")
+
+
+@query(BOOK + """, x AS (SELECT 1 + loan_id % 36 AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x), h AS (SELECT month, sum(d / risk) OVER (ORDER BY month) AS hazard FROM r), s AS (SELECT month, 1 - exp(-hazard) AS p FROM h WHERE month <= 12)
+SELECT month, round(p / (SELECT p FROM s WHERE month = 12), 6) AS share FROM s""")
+def hazard_shape(spark, d):
+    shape = hazards.hazard_shape(hazards.cumulative_hazard(durations(spark, d), "months", "event"))
+    return shape.select(F.posexplode("shape").alias("i", "share")).select((F.col("i") + 1).cast("bigint").alias("month"), F.round("share", 6).alias("share"))
+
+
+@query(BOOK + """, f AS (SELECT loan_id, sector, CASE WHEN loan_id % 5 < 2 THEN NULL ELSE term_months END AS t FROM loan_book)
+SELECT loan_id, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY sector ORDER BY loan_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(t IGNORE NULLS) OVER (PARTITION BY sector ORDER BY loan_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS t FROM f""")
+def term_fill(spark, d):
+    x = loan_book(spark, d).select("loan_id", "sector", F.when(F.col("loan_id") % 5 < 2, None).otherwise(F.col("term_months")).alias("t"))
+    return hazards.term_fill(x, "t", "loan_id", "sector").select("loan_id", "t")
+
+
+def json_lines(spark, d):
+    p = F.col("props")
+    kinds = F.when(F.col("event_id") % 5 == 0, p).when(F.col("event_id") % 5 == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit("Here: "), p, F.lit(" as asked"))).when(F.col("event_id") % 5 == 3, F.regexp_replace(p, '"', "'"))
+    return table(spark, d, "events").select("event_id", kinds.otherwise(F.expr("substring(props, 1, length(props) - 1)")).alias("line"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 4 END AS layer, CASE WHEN event_id % 5 >= 3 THEN 'repaired' ELSE 'ok' END AS status FROM events")
+def recover_json(spark, d):
+    return json_recovery.recover_json(json_lines(spark, d), "line").select("event_id", "layer", "status")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'SECTOR_RISK' ELSE 'OTHER' END AS code, value / 10 <= 1 AND value >= 0 AS valid FROM events")
+def validate_record(spark, d):
+    text = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "sector_risk").otherwise("unheard_of").alias("code"), (F.col("value") / 10).alias("weight"), F.lit(0.5).alias("pd")))
+    rows = table(spark, d, "events").select("event_id", text.alias("record"))
+    return json_recovery.validate_records(rows, "record", [*dict.fromkeys(C.REASONS.values()), "OTHER"]).select("event_id", "code", "valid")
+
+
+@query(BOOK + "SELECT sector, count(*) AS n, round(avg(label), 5) AS base_rate FROM loan_book GROUP BY 1")
+def metrics_report(spark, d):
+    x = loan_book(spark, d).withColumn("y", F.col("label"))
+    return evaluation.round_all(evaluation.evaluate(x, ["sector"]), ["base_rate"], 5).select("sector", "n", "base_rate")
+
+
+@query(BOOK + "SELECT loan_id, CASE WHEN p >= 0.5 THEN 'high' WHEN p >= 0.2 THEN 'medium' ELSE 'low' END AS band, round(p, 6) AS pd FROM loan_book")
+def score_stream(spark, d):
+    """The loan book written as files, scored as a stream by the fixed formula."""
+    path = scratch(spark)
+    book = loan_book(spark, d).select("loan_id", "loan_amount", "term_months", "credit_score", "prior_delinquencies")
+    book.write.parquet(f"{path}/in")
+    score = lambda df: df.withColumn("p", fixed_score(F.col("prior_delinquencies"), F.col("credit_score"), F.col("loan_amount")))
+    return run_stream(spark, f"{path}/in", book.schema, score, f"{path}/out", f"{path}/checkpoint").select("loan_id", "band", F.round("p", 6).alias("pd"))
+
+
+@query()
+def loan_result(spark, d):
+    """A nested record for each loan: score, curve, alert, drivers, fairness."""
+    from riskbook.operators import portfolio
+    from riskbook.plans.q_book import ATTRIBUTES, drivers
+
+    book = loan_book(spark, d)
+    facts = decide(book).select("loan_id", F.round("p", 4).alias("pd"), "band", F.transform("curve", lambda x: F.round(x, 4)).alias("curve"), "onset")
+    mine = drivers(spark, d).groupBy("loan_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution", "weight", "direction", "code"))).alias("drivers"))  # six at most
+    fair = portfolio.loan_fairness(book.withColumn("y", F.col("label")), ATTRIBUTES).select("loan_id", F.struct("review", "attributes").alias("fairness"))
+    return facts.join(mine, "loan_id", "left").join(fair, "loan_id", "left")

@@ -185,17 +185,17 @@ def bureau_rollup(spark, d):
     return round_all(round_all(x, ["mean_amount", "sum_overdue"], 4), ["sum_amount"], 2)
 
 
-@query("SELECT o_custkey, count(*) AS n_rows, round(avg(o_totalprice), 4) AS o_totalprice_mean, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice_last FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n_rows, round(avg(o_totalprice), 1) AS o_totalprice_mean, round(stddev_samp(o_totalprice), 1) AS o_totalprice_std, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice_last FROM orders GROUP BY 1")
 def panel_aggregate(spark, d):
     x = corpora.panel_aggregate(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
-    return round_all(x, ["o_totalprice_mean", "o_totalprice_std"], 4)
+    return round_all(x, ["o_totalprice_mean", "o_totalprice_std"], 1)
 
 
-@query("SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, min_by(l_partkey, l_linenumber) AS l_partkey, min_by(l_quantity, l_linenumber) AS l_quantity FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber) GROUP BY 1) x ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey, l_quantity)) AS l_partkey, min_by(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey")
 def static_join(spark, d):
     base = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     side = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return corpora.static_join(base, side, "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"), "l_quantity")
+    return corpora.static_join(base, side, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"]).select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"), "l_quantity")
 
 
 @query("SELECT o_orderkey, c_acctbal, coalesce(late, 0) AS late FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS late FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -217,9 +217,9 @@ def panel_row_stats(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max(level).alias("worst"), F.count_if(F.col("o_orderstatus") != "O").alias("n_late"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract('36 months', '[0-9]+') AS INT) AS term, (690 + 694) / 2 AS score, upper(l_returnflag) AS flag, substr(CAST(l_partkey AS VARCHAR), 1, 2) AS industry, year(l_shipdate) AS year, round(l_extendedprice / nullif(l_quantity, 0), 6) AS instalment FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_shipdate, l_extendedprice, l_quantity FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract('36 months', '[0-9]+') AS INT) AS term, (690 + 694) / 2 AS score, upper(l_returnflag) AS flag, substr(CAST(l_partkey AS VARCHAR), 1, 2) AS industry, year(l_shipdate) AS year, CAST(floor(l_extendedprice / nullif(l_quantity, 0) / 10) AS BIGINT) AS instalment FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_shipdate, l_extendedprice, l_quantity FROM lineitem)")
 def lending_features(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity").distinct()
     return x.select(
         "l_orderkey", "l_linenumber", F.regexp_extract(F.lit("36 months"), "[0-9]+", 0).cast("int").alias("term"), ((F.lit(690) + F.lit(694)) / 2).alias("score"), F.upper("l_returnflag").alias("flag"),
-        F.substring(F.col("l_partkey").cast("string"), 1, 2).alias("industry"), F.year("l_shipdate").cast("bigint").alias("year"), F.round(F.try_divide("l_extendedprice", "l_quantity"), 6).alias("instalment"))
+        F.substring(F.col("l_partkey").cast("string"), 1, 2).alias("industry"), F.year("l_shipdate").cast("bigint").alias("year"), F.floor(F.try_divide("l_extendedprice", "l_quantity") / 10).alias("instalment"))
