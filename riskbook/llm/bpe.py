@@ -7,7 +7,8 @@ first such place is the seam. The pieces between seams are then encoded in paral
 together in order. If two neighbours have no common boundary in the overlap (a run of thousands of letters, say), they
 are one piece. Decoding concatenates the raw bytes of the ids.
 
-Defined results. Null: an empty text, no ids. Repeated rows of a doc_id: each gets a row. Empty table: no row. Other
+Defined results. Null: an empty text, no ids. Repeated rows of a doc_id: each gets a row. A null doc_id: the row is left out.
+Empty table: no row. Other
 columns are ignored.
 """
 
@@ -96,7 +97,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, overl
     found_schema = pa.schema([*chunk_schema, ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
     seam_schema = pa.schema([*chunk_schema, ("last", pa.bool_()), ("seam", pa.int64())])
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("t"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
     limit = chunk + overlap
     short = texts.where(F.length("t") <= limit).mapInArrow(whole, "doc_id long, n_tokens long, ids binary").withColumn("row", F.lit(0).cast("long"))
     long = texts.where(F.length("t") > limit).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "t")

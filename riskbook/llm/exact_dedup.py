@@ -7,7 +7,8 @@ length are then compared with the group's representative chunk by chunk, as rows
 collision) goes into another round with a representative of its own, so the groups are exact.
 
 Defined results. Null text: an empty text. Empty texts: equal to each other. Repeated doc_ids: rows of one document
-whose rows all count in group_size; kept is true for the rows with the largest doc_id. Empty table: no row. Columns
+whose rows all count in group_size; kept is true for the rows with the largest doc_id. A null doc_id: the row is left out.
+Empty table: no row. Columns
 beside doc_id and text are ignored, whatever their names.
 """
 
@@ -76,7 +77,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
-    texts = docs.select(F.col("doc_id"), text_or_empty().alias("_t"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"))
     prints = written(
         texts.select("doc_id", "_t", F.sha2("_t", 256).alias("text_sha256")).mapInArrow(_fingerprints, "doc_id long, text_sha256 string, n_bytes long, fp long"),
         "prints",
