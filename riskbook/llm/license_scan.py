@@ -55,7 +55,7 @@ def license_matches(docs: DataFrame, threshold: float = 0.8, templates: dict[str
     """doc_id, licence, dice (that of the best passage), n_passages, passage (the best one's text)."""
     rows = template_bigrams(templates)
     sizes = [n for _, _, n in rows]
-    low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    low, high = min(sizes) * threshold / (2 - threshold) - 1e-6, max(sizes) * (2 - threshold) / threshold + 1e-6  # room for rounding
     known = docs.sparkSession.createDataFrame(rows, "licence string, bigram string, b int")
     both = """flatten(transform(split(text, '\\n'), l -> if(l rlike '[.!?][ \\t]+[^ \\t]', concat(array(l), split(regexp_replace(l, '([.!?])[ \\t]+', '$1\\n'), '\\n')), array(l))))"""
     # Words and bigrams are made inside generators, so that each is made once and not wherever it is used.
@@ -66,7 +66,7 @@ def license_matches(docs: DataFrame, threshold: float = 0.8, templates: dict[str
     pairs = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> xxhash64(x, y)))")
     sized = sized.select("doc_id", "no", "passage", F.explode(F.array(pairs)).alias("pairs")).withColumn("a", F.size("pairs")).where(F.col("a").between(low, high))
     known = known.select("licence", "b", F.expr("xxhash64(split(bigram, ' ')[0], split(bigram, ' ')[1])").alias("bigram"))
-    fits = (F.col("a") >= F.col("b") * threshold / (2 - threshold)) & (F.col("a") <= F.col("b") * (2 - threshold) / threshold)
+    fits = F.col("a").between(F.col("b") * threshold / (2 - threshold) - 1e-6, F.col("b") * (2 - threshold) / threshold + 1e-6)
     shared = sized.select("doc_id", "no", "passage", "a", F.explode("pairs").alias("bigram")).join(F.broadcast(known), "bigram").where(fits)
     scored = shared.groupBy("doc_id", "no", "passage", "licence", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     scored = scored.withColumn("dice", F.round(2 * F.col("shared") / (F.col("a") + F.col("b")), 6)).where(F.col("dice") >= threshold)
@@ -83,7 +83,7 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_s
 parts AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '[.!?][ \\t]+[^ \\t]') THEN list_prepend(line, string_split(regexp_replace(line, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) ELSE [line] END AS ps FROM lines),
 passages AS (SELECT doc_id, unnest(ps) AS passage, line_no * 1000000 + generate_subscripts(ps, 1) AS no FROM parts),
 worded AS (SELECT *, string_split(trim(regexp_replace(lower(passage), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM passages),
-paired AS (SELECT doc_id, no, passage, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS pairs FROM worded WHERE len(w) >= 2),
+paired AS (SELECT doc_id, no, passage, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS pairs FROM worded WHERE len(w) >= 2),
 shared AS (SELECT p.doc_id, p.no, p.passage, k.licence, p.a, k.b, count(*) AS shared
   FROM (SELECT doc_id, no, passage, len(pairs) AS a, unnest(pairs) AS bigram FROM paired) p JOIN known k USING (bigram) GROUP BY ALL),
 scored AS (SELECT *, round(2.0 * shared / (a + b), 6) AS dice FROM shared)
