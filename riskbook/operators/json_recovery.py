@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .records import parse_direct
 
@@ -49,7 +50,10 @@ def repair(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("layer int, value string")
+RECOVERED = T.StructType([T.StructField("layer", T.IntegerType()), T.StructField("value", T.StringType())])
+
+
+@F.pandas_udf(RECOVERED)
 def _recover(texts: pd.Series) -> pd.DataFrame:
     out = []
     for text in texts:
