@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskbook.plans import q_book, q_models, q_sequences, q_tables
+from riskbook.plans import q_book, q_models, q_more, q_sequences, q_tables
 
-MODULES = (q_tables, q_book, q_sequences, q_models)
+MODULES = (q_tables, q_book, q_sequences, q_models, q_more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,3 +75,22 @@ def test_profile_of_empty_and_null_columns(spark):
     row = tables.profile_columns(df, "k", ["x"]).first()
     assert row["null_pct"] == 100.0 and row["n_unique"] == 0 and row["sample"] is None
     assert tables.profile_columns(df.limit(0), "k", ["x"]).count() == 0
+
+
+def test_tree_attributions_add_up(spark, sf_dir):
+    from riskbook.plans.q_more import shap_tree
+
+    rows = shap_tree(spark, sf_dir).select("left_over", "feature", "contribution").collect()
+    assert all(abs(r["left_over"]) < 1e-4 for r in rows) and any(abs(r["contribution"]) > 0.01 for r in rows)
+
+
+def test_trained_models_find_signal_and_are_calibrated(spark, sf_dir):
+    from riskbook.plans.q_models import numbers
+    from riskbook.operators import training
+
+    x = numbers(spark, sf_dir)
+    bundle, folded = training.fit(x, "label", "loan_id", ["credit_score", "prior_delinquencies"], [], ("gbt", "logistic"), trees=5)
+    got = bundle.score(folded).where("fold = 'test'")
+    assert evaluation.auc(got.withColumn("y", F.col("label"))).first()["auc"] > 0.6
+    pairs = sorted((r["p_raw"], r["p"]) for r in got.select("p_raw", "p").collect())
+    assert all(1e-4 <= p <= 1 - 1e-4 for _, p in pairs) and all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:]))
