@@ -128,6 +128,19 @@ def test_chaining_takes_ordered_matches_apart():
     assert chains[0] == [0, 1, 2] and sorted(map(tuple, chains[1:])) == [(3,), (4,)]
 
 
+@pytest.mark.parametrize("inserted, replaced", [(12, 0), (0, 12), (15, 5), (18, 18)])
+def test_a_gap_inside_a_chain_is_bridged(inserted, replaced):
+    rng = np.random.default_rng(9)
+    a = passages(rng, 90).split()
+    b = a[:45] + passages(rng, inserted).split() + a[45 + replaced :]
+    left, right = passages(rng, 30).split(), passages(rng, 30).split()
+    matches = 90 - replaced
+    got = substring_dedup.align(left + a + right, right + b + left, [(30, 30), (35, 35), (100, 100 + inserted - replaced)], 50, 0.8)
+    assert got == [(30, 120, 30, 120 + inserted - replaced, matches)]
+    # below the similarity, the two halves are too short
+    assert substring_dedup.align(a, a[:45] + passages(rng, 30).split() + a[45:], [(0, 0), (60, 90)], 50, 0.8) == []
+
+
 def test_license_scan_equals_sql(spark, docs, rows):
     import duckdb
     import pandas as pd
