@@ -141,6 +141,28 @@ def test_a_gap_inside_a_chain_is_bridged(inserted, replaced):
     assert substring_dedup.align(a, a[:45] + passages(rng, 30).split() + a[45:], [(0, 0), (60, 90)], 50, 0.8) == []
 
 
+def changed(rng, words, at):
+    out = list(words)
+    for k in at:
+        out[k] = passages(rng, 1)
+    return " ".join(out)
+
+
+def test_seeds_find_passages_with_edits_anywhere(spark):
+    rng = np.random.default_rng(11)
+    texts, want = {}, []
+    for k, (n, edits) in enumerate([(50, 2), (50, 4), (50, 10), (60, 5), (75, 6), (100, 10), (100, 20)] * 3):
+        shared = passages(rng, n).split()
+        even = [int((m + 0.5) * n / edits) for m in range(edits)]
+        at = even if k < 14 else sorted(rng.choice(np.arange(3, n - 3), edits, replace=False).tolist())
+        texts[2 * k] = passages(rng, 30) + " " + " ".join(shared) + " " + passages(rng, 30)
+        texts[2 * k + 1] = passages(rng, 40) + " " + changed(rng, shared, at) + " " + passages(rng, 40)
+        want.append((2 * k + 1, 2 * k, n))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], SCHEMA).repartition(3)
+    got = {(r["doc_id"], r["ref_doc_id"]): r["n_words"] for r in substring_dedup.duplicate_spans(docs).collect()}
+    assert got == {(d, r): n for d, r, n in want}
+
+
 def test_license_scan_equals_sql(spark, docs, rows):
     import duckdb
     import pandas as pd
