@@ -163,6 +163,19 @@ def test_seeds_find_passages_with_edits_anywhere(spark):
     assert got == {(d, r): n for d, r, n in want}
 
 
+@pytest.mark.parametrize("inserted", [9, 25])
+def test_a_partner_that_gives_no_span_hides_no_other(spark, inserted):
+    rng = np.random.default_rng(13)
+    for partitions in (1, 3):
+        shared = passages(rng, 70).split()
+        z = " ".join(shared[:35]) + " " + passages(rng, inserted) + " " + " ".join(shared[35:])
+        # 1 has the passage broken, 2 has it plain, 3 has two parts of it, 4 is a copy of 2's
+        rows = [passages(rng, 20) + " " + z, passages(rng, 10) + " " + " ".join(shared), " ".join(shared[:40]) + passages(rng, 60) + " ".join(shared[35:]), passages(rng, 30) + " " + " ".join(shared) + " " + passages(rng, 5)]
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(rows, 1)], SCHEMA).repartition(partitions, "doc_id")
+        got = [(r["start"], r["end"]) for r in substring_dedup.duplicate_spans(docs).where("doc_id = 4").collect()]
+        assert (min(got)[0], max(x[1] for x in got)) == (rows[3].index(shared[0]), rows[3].index(shared[-1]) + 6)
+
+
 def test_license_scan_equals_sql(spark, docs, rows):
     import duckdb
     import pandas as pd
