@@ -101,6 +101,19 @@ class UnitEncoder:
 
     def _encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units, one after another, and how many each has."""
+        if self.mark is not None and self.units is not bare_units:
+            # White space at a unit's end and a unit's first characters may be cut otherwise beside the mark: these go alone.
+            plain = [x[:1] == " " and not x[-1:].isspace() for x in some]
+            if not all(plain):
+                sizes, got = np.zeros(len(some), np.int64), [np.zeros(0, np.uint32)] * len(some)
+                for k, x in zip(odd := [k for k, y in enumerate(plain) if not y], self.tokenizer.encode_batch_fast([some[k] for k in odd], add_special_tokens=False)):
+                    got[k], sizes[k] = np.array(x.ids, np.uint32), len(x.ids)
+                easy = [k for k, y in enumerate(plain) if y]
+                flat, lengths = self._encode([some[k] for k in easy]) if easy else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                ends = np.cumsum(lengths)
+                for k, i, j in zip(easy, ends - lengths, ends):
+                    got[k], sizes[k] = flat[i:j], j - i
+                return np.concatenate(got), sizes
         if self.mark is not None and not any("\0" in x for x in some):
             parts = [self.between.join(some[i : i + 500]) + self.between for i in range(0, len(some), 500)]
             flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskbook.llm import bpe, exact_dedup, html_text, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_files
-from riskbook.llm.units import bare_units
+from riskbook.llm.units import UnitEncoder, bare_units, spaced_units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n", "a", "a  b", "Ünïcode   nbsp 日本", "x " * 50, "A<|endoftext|>b"]
@@ -213,6 +213,14 @@ def test_packing_covers_every_id_once(docs, none, rows):
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_units_at_the_ends_of_texts_get_their_own_ids():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = ["word\n\n", "a word\n\n", "some !\n\n", "first one", "'s fine", "'ll do  ", "x\n\n\n y", "\n\nz", " \t", "tail \n", "9 lives\u3000\u3000", "more\u00a0\n\n", "'re", " 's", "a 's b\n\n"]
+    got = UnitEncoder(P.path("byte_bpe_50k.json"), spaced_units).batch(texts)
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_base_counts():
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
