@@ -172,20 +172,16 @@ def plan(histogram: dict[int, int], capacity: int) -> dict:
     return {"slots": {n: np.array(x, np.int64).reshape(-1, 4) for n, x in slots.items()}, "placed": placed, "part_from": part_from, "tail": bounds[-1 - len(powers_of(tokens % capacity)) :], "sequences": sequences}
 
 
-def _tokens_of(path: str, end_id: int, texts: list[str]) -> list[np.ndarray]:
-    return [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder(path, spaced_units).batch(texts)]
-
-
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece. capacity: a power of two."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 5000):
+                some = batch.slice(at, 5000)
                 out = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), _tokens_of(tokenizer, end_id, some.column(1).to_pylist())):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(tokenizer, spaced_units).batch(some.column(1).to_pylist(), end_id)):
                     for start in range(0, len(ids), capacity):
                         part = ids[start : start + capacity]
                         crcs, of = [], 0

@@ -88,10 +88,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str],
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode.batch(some.column(1).to_pylist())):
-                    ids, begin = np.append(ids, np.uint32(end_id)), 0
+            for at in range(0, batch.num_rows, 5000):
+                some = batch.slice(at, 5000)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode.batch(some.column(1).to_pylist(), end_id)):
+                    begin = 0
                     while begin < len(ids):
                         part = ids[begin : begin + BLOCK - held]
                         docs_here.append((doc_no, doc_id, held))

@@ -221,6 +221,19 @@ def test_units_at_the_ends_of_texts_get_their_own_ids():
     assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name, units", [("byte_bpe_50k.json", spaced_units), ("word_bpe_49k.json", bare_units)])
+def test_any_mix_of_signs_gets_the_librarys_ids(name, units):
+    tokenizer = Tokenizer.from_file(P.path(name))
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    signs = ["a", "B", "\u00e9", ".", " ", "\n", ",", "'", "s", "ll", "3", "\u00b2", "\u0301", "\u00df", "\u65e5", " the", "\t", "!", "\x1c", "\x85", "J\u030c", "\0", "\u0130"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(3000)]
+    got = UnitEncoder(P.path(name), units, most=500).batch(texts, end_id=2)
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    long = " ".join(texts) * 30  # over several slices
+    assert UnitEncoder(P.path(name), units).ids(long).tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
 def test_base_counts():
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
