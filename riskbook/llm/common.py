@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="riskbook-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -54,6 +56,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null gives b""."""
     if isinstance(column, pa.ChunkedArray):
