@@ -6,10 +6,13 @@ H(x + y) = H(x) + B**len(x) * H(y), so chunks of one huge document can be hashed
 length are then compared with the group's representative chunk by chunk, as rows of a join; what differs (a
 collision) goes into another round with a representative of its own, so the groups are exact.
 
-Defined results. Null text: an empty text. Empty texts: equal to each other. Repeated doc_ids: rows of one document
-whose rows all count in group_size; kept is true for the rows with the largest doc_id. A null doc_id: the row is left out.
-Empty table: no row. Columns
-beside doc_id and text are ignored, whatever their names.
+A row is told apart by its doc_id and the SHA-256 of its text, so rows of one doc_id with different texts are different
+documents. Only rows whose fingerprint occurs twice or more have their text compared. What is joined is written first, so that
+Spark can split the partitions of a large group.
+
+Defined results. Null text: an empty text. Empty texts: equal to each other. Repeated rows of a doc_id with equal text all
+count in group_size; kept is true for the rows with the largest doc_id. A null doc_id: a row as any other, smaller than all
+numbers. Empty table: no row. Columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import fresh, quoted, text_or_empty, written
 
 #: Primes and bases of the two lanes; products stay below 2**62.
 LANES = ((2147483647, 1103515245), (2147483629, 1664525))
@@ -60,50 +63,69 @@ def fingerprint(data: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column(3).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(map(len, texts), pa.int64()), pa.array(map(fingerprint, texts), pa.int64())],
-            names=["doc_id", "text_sha256", "n_bytes", "fp"],
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(map(len, texts), pa.int64()), pa.array(map(fingerprint, texts), pa.int64())],
+            names=["key", "doc_id", "text_sha256", "n_bytes", "fp"],
         )
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, group columns..., chunk_no, chunk) of texts; an empty text has one empty chunk."""
-    body = docs.withColumn("_b", F.col("_t").cast("binary"))
+def _chunks(texts: DataFrame) -> DataFrame:
+    """texts with a row for each chunk (chunk_no, chunk) of column _t; an empty text has one empty chunk."""
+    body = texts.withColumn("_b", F.col("_t").cast("binary")).drop("_t")
     at = F.expr(f"sequence(0, greatest(int(ceil(length(_b) / {CHUNK}D)), 1) - 1)")
-    rows = body.select(*[c for c in docs.columns if c != "_t"], "_b", F.explode(at).alias("chunk_no"))
+    rows = body.select("*", F.explode(at).alias("chunk_no"))
     return rows.withColumn("chunk", F.expr(f"substring(_b, chunk_no * {CHUNK} + 1, {CHUNK})")).drop("_b")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"))
-    prints = written(
-        texts.select("doc_id", "_t", F.sha2("_t", 256).alias("text_sha256")).mapInArrow(_fingerprints, "doc_id long, text_sha256 string, n_bytes long, fp long"),
-        "prints",
-    )
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells a row of documents apart: its doc_id and the SHA-256 of its text."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), F.sha2(text_or_empty(text), 256))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows (key, doc_id, text_sha256, n_bytes, fp), and for each row whose text equals another's with
+    a larger doc_id, that of the largest: key, rep_id, rep_key."""
+    texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"))
+    prints = written(texts.select("key", "doc_id", F.substring_index("key", ":", -1).alias("text_sha256"), "_t").mapInArrow(_fingerprints, "key string, doc_id long, text_sha256 string, n_bytes long, fp long"), "prints")
     # A row of `left` is not yet settled; round after round its fingerprint's largest doc_id is the representative.
-    left, settled, round_no = prints.select("doc_id", "n_bytes", "fp"), None, 0
+    left, settled, round_no = prints, None, 0
     while True:
-        groups = left.groupBy("n_bytes", "fp").agg(F.max("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pairs = left.join(groups, ["n_bytes", "fp"]).select("doc_id", "rep").distinct()
-        both = _chunks(texts.join(pairs, "doc_id"))
-        reps = both.where("doc_id = rep").select("rep", "chunk_no", F.col("chunk").alias("rep_chunk")).distinct()
-        rest = both.where("doc_id <> rep").join(reps, ["rep", "chunk_no"], "left")
-        same = written(rest.groupBy("doc_id", "rep").agg(F.bool_and(F.col("rep_chunk").isNotNull() & (F.col("chunk") == F.col("rep_chunk"))).alias("same")), f"same{round_no}")
-        done = same.where("same").select("doc_id", "rep")
+        groups = left.groupBy("n_bytes", "fp").agg(F.max(F.struct("doc_id", "key")).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        groups = written(groups.select("n_bytes", "fp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), f"groups{round_no}")
+        members = written(left.join(groups, ["n_bytes", "fp"]).select("key", "rep_id", "rep_key").distinct(), f"members{round_no}")
+        both = written(texts.select("key", "_t").join(members, "key"), f"compared{round_no}")
+        chunks = _chunks(both.where("key <> rep_key"))
+        reps = _chunks(both.where("key = rep_key")).select("rep_key", "chunk_no", F.col("chunk").alias("rep_chunk"))
+        reps = written(reps.dropDuplicates(["rep_key", "chunk_no"]), f"reps{round_no}")
+        rest = chunks.join(reps, ["rep_key", "chunk_no"], "left")
+        agreed = F.bool_and(F.coalesce(F.col("chunk") == F.col("rep_chunk"), F.lit(False)))
+        same = written(rest.groupBy("key", "rep_id", "rep_key").agg(agreed.alias("same")), f"same{round_no}")
+        done = same.where("same").drop("same")
         settled = done if settled is None else settled.unionByName(done)
-        failed = same.where("not same").select("doc_id")
+        failed = same.where("not same").select("key")
         if failed.isEmpty():
-            break
-        left, round_no = left.join(failed, "doc_id", "left_semi"), round_no + 1
-    placed = prints.join(settled, "doc_id", "left").withColumn("keep_id", F.coalesce("rep", "doc_id"))
-    # Sizes need no key beyond keep_id, and are summed before they are shuffled.
-    sizes = placed.groupBy("keep_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return placed.join(sizes, "keep_id").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+            return prints, settled
+        left, round_no = left.join(failed, "key", "left_semi"), round_no + 1
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
+    prints, settled = _classes(docs)
+    placed = prints.join(settled, "key", "left")
+    placed = written(placed.select("doc_id", "text_sha256", F.when(F.col("rep_key").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")).alias("keep_id"), F.coalesce("rep_key", "key").alias("keep_key")), "placed")
+    # sizes are summed before they are shuffled
+    sizes = written(placed.groupBy("keep_key").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "sizes")
+    out = placed.join(sizes, "keep_key", "left")
+    return out.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text equals that of a row with a larger doc_id (of one doc_id, one row stays)."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without the rows whose text equals that of a row with a larger doc_id; of repeated rows, one stays.
+
+    Defined results: those of exact_groups; rows of one doc_id with different texts stay, a null doc_id goes only if its text
+    occurs elsewhere. All columns of docs come out, whatever their names, and no other.
+    """
+    _, settled = _classes(docs)
+    name = fresh(docs, "row_key")
+    return docs.withColumn(name, row_key()).join(settled.select(F.col("key").alias(name)), name, "left_anti").dropDuplicates([name]).select(*map(quoted, docs.columns))
