@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, utf8_rows, word_offsets, written
+from .common import fresh, quoted, text_or_empty, utf8_rows, word_offsets, written
 from .components import connected_components
+from .exact_dedup import row_key
 
 GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator of the code
 BLOCK_OF_SHINGLES = 1 << 15
@@ -45,12 +46,6 @@ def simhash(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def _simhashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([simhash(x) for x in utf8_rows(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
-
-
 def remainders(x: np.ndarray) -> np.ndarray:
     """Of 23-bit words as polynomials over GF(2), the remainders of division by the generator."""
     x = x.copy()
@@ -118,24 +113,42 @@ def linked_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
     return home.join(visitors, "anchor").where(near).select("x", "y").distinct()
 
 
-def near_groups(docs: DataFrame, threshold: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (the smallest doc_id that can be reached): a row for each row of docs."""
+def _grouped(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, component, component_id) of each fingerprint in prints (doc_id, fp)."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    groups = connected_components(linked_pairs(nodes, threshold), "x", "y").withColumnRenamed("node", "fp")
+    classed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return written(classed.join(least, "component").select("fp", "component", "component_id"), "components")
+
 
+def _prints_of(words_per_shingle: int):
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(x, words_per_shingle) for x in utf8_rows(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[batch.schema.names[0], "fp"])
 
-    prints = written(docs.select("doc_id", text_or_empty().alias("t")).mapInArrow(prints_of, "doc_id long, fp long"), "simhashes")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    groups = connected_components(linked_pairs(nodes, threshold), "x", "y").withColumnRenamed("node", "fp")
-    classed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classed.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints_of
+
+
+def near_groups(docs: DataFrame, threshold: int = 2, words_per_shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id (the smallest doc_id that can be reached): a row for each row of docs."""
+    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).mapInArrow(_prints_of(words_per_shingle), "doc_id long, fp long"), "simhashes")
+    named = _grouped(prints, threshold)
+    return prints.join(named.drop("component"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id."""
-    kept = near_groups(docs, threshold, words_per_shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row of each group: that with the smallest doc_id, of several such rows the one of smallest SHA-256.
+
+    Defined results: those of near_groups. Rows are told apart by doc_id and text, so that of rows of one doc_id with different
+    texts each counts; a null doc_id counts as larger than all numbers, so such a row stays only if its group has no other. All
+    columns of docs come out, whatever their names, and no other.
+    """
+    keys = docs.select(row_key().alias("key"), text_or_empty().alias("t")).mapInArrow(_prints_of(words_per_shingle), "key string, fp long")
+    prints = written(keys.withColumn("doc_id", F.substring_index("key", ":", 1).try_cast("long")), "simhashes")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = prints.join(_grouped(prints, threshold), "fp").groupBy("component").agg(F.min(rank).alias("r"))
+    name = fresh(docs, "row_key")
+    kept = written(first.select(F.col("r.key").alias(name)), "kept")
+    return docs.withColumn(name, row_key()).join(kept, name, "left_semi").dropDuplicates([name]).select(*map(quoted, docs.columns))
