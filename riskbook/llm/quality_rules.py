@@ -1,23 +1,32 @@
 """Quality rules: counts per document and an n-gram perplexity band.
 
-The language model is a modified Kneser-Ney model of order four over character classes (32 classes: the letters a to z
-with accents taken off, other letters, capitals, digits, white space, symbols, other signs). Every n-gram of every text
-is counted by Spark, with partial counts per task before the shuffle; there are at most 32**4 different ones, which
-bounds what goes to the driver and what is broadcast. The model is kept in arrays sorted by hash, one for each order
-(log probabilities of seen n-grams, log back-off weights of seen contexts). A document's perplexity is that per
-character. The band of a language is drawn from its own documents that pass the base rules: beyond the quartiles of the
-log perplexity by more than `spread` times their distance (and `least` at least), documents are rejected; to that comes
-the mean's standard error, `error` over the root of the text's length, so that short texts aren't rejected by chance.
+The language model is a modified Kneser-Ney model over code points, of order `order` (five). Spark counts every n-gram of
+every text, and whether two different texts have it; a task adds up what it sees before the shuffle. The lower orders' counts
+(in how many left contexts an n-gram occurs), the totals of contexts, and the probabilities are groupings and joins of these
+tables, so the model grows with the corpus and is made at any size. N-grams of two and more letters that one text alone has
+(or its copies) don't get into the model; their share goes to the lower order, so that a text is not judged by itself. The model is kept as arrays sorted by a 64-bit hash of the n-gram: log probability,
+and log back-off weight for the context that the n-gram is.
+
+Scoring takes the distinct n-grams of a batch of documents and looks these up. Up to `most_bytes` of arrays, they are
+broadcast. Beyond, documents are dealt over batches, and the model over ranges of hashes; the distinct n-grams of a batch go
+to the ranges, what these have on them comes back, and each batch is scored with that.
+
+A document's perplexity is that per character. The band of a language is drawn from its own documents that pass the base
+rules: beyond the quartiles of the log perplexity by more than `spread` times their distance (and `least` at least),
+documents are rejected; to that comes the mean's standard error, `error` over the root of the text's length, so that short
+texts aren't rejected by chance.
 
 Defined results. Null or empty text: no words, zero counts, base_failed. Texts without characters have no perplexity. A
-null language is a language of its own. Repeated rows: each gets its row. Empty table: no row. Other columns are ignored.
+null language is a language of its own. Repeated rows: each gets its row; their n-grams count, but as those of one text. Empty table: no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,126 +34,244 @@ from pyspark.sql import functions as F
 
 from .common import mix64, text_or_empty, written
 
-ORDER, CLASSES = 4, 32
-SPACE = 29
+ORDER = 5
+BEGIN = 2  # the code point that stands before a text
 SYMBOLS = "#*$%&|<>"
+GROUP = 1 << 22  # characters that are worked on at once
+STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+POWERS = [pow(int(STEP), k, 1 << 64) for k in range(32)]
+
+
+def points_of(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts, each with order - 1 BEGINs before it, and how many characters each text has."""
+    lead = chr(BEGIN) * (order - 1)
+    flat = np.frombuffer((lead + lead.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(flat == 0, 0xFFFF, flat).astype(np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def ends_of(lengths: np.ndarray, order: int) -> np.ndarray:
+    """Where in points_of the texts' own characters are."""
+    return np.arange(int(lengths.sum())) + np.repeat(np.arange(1, len(lengths) + 1) * (order - 1), lengths)
+
 
+def letters(points: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each code point."""
+    return mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
-def class_table(_made: list = []) -> np.ndarray:
-    """The class of each code point of the basic plane."""
-    if not _made:
-        table = np.full(1 << 16, 31, np.uint8)
-        for c in map(chr, range(1 << 16)):
-            base = unicodedata.normalize("NFKD", c)[:1]
-            if c.isupper():
-                k = 27
-            elif "a" <= base <= "z":
-                k = ord(base) - ord("a")
-            elif c.isalpha():
-                k = 26
-            elif c.isdigit():
-                k = 28
-            elif c.isspace():
-                k = SPACE
-            else:
-                k = 30 if c in SYMBOLS else 31
-            table[ord(c)] = k
-        _made.append(table)
-    return _made[0]
-
-
-def gram_codes(text: str) -> np.ndarray:
-    """For each character, the code of the four-gram that ends there; the text is preceded by spaces."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    classes = np.full(len(points) + ORDER - 1, SPACE, np.int32)
-    classes[ORDER - 1 :] = class_table()[np.minimum(points, 0xFFFF)]
-    codes = classes[: len(points)].copy()
-    for k in range(1, ORDER):
-        codes = codes << 5 | classes[k : k + len(points)]
-    return codes
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n): how often each four-gram occurs in column t of all rows."""
+
+def hash_of(values: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of the k letters that end at some places: a polynomial in STEP, the last letter first."""
+    out = np.zeros(len(ends), np.uint64)
+    for j in range(k):
+        out += values[ends - j] * np.uint64(POWERS[j])
+    return out
+
+
+def groups_of(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts in lists of about GROUP characters; a longer one is a list of its own."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > GROUP:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def parts_of(text: str, order: int, size: int = GROUP) -> Iterator[tuple[str, int]]:
+    """A long text in parts with the characters before, and how many of these there are."""
+    for at in range(0, max(len(text), 1), size):
+        before = text[max(0, at - order + 1) : at]
+        yield before + text[at : at + size], len(before)
+
+
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, least, most): how often each n-gram of code points occurs in column t of all rows, and the least and the
+    greatest CRC-32 of the texts that have it."""
+
+    def unique(some: list[str]) -> tuple[np.ndarray, ...]:
+        """Hash, count, least and greatest text, and code points of the n-grams of some documents."""
+        got = []
+        marks = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in some], np.int64)
+        for text, lead in parts_of(some[0], order) if len(some) == 1 else [(None, 0)]:
+            points, lengths = points_of(some if text is None else [text], order)
+            ends = ends_of(lengths, order)[lead:]
+            hashes = hash_of(letters(points), ends, order)
+            if not len(hashes):
+                continue
+            by = np.argsort(hashes)
+            sorted_, mark = hashes[by], np.repeat(marks, lengths)[lead:][by]
+            begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            chars = np.stack([points[ends[by[begins]] - order + 1 + j] for j in range(order)], axis=1)
+            got.append((sorted_[begins], np.diff(np.append(begins, len(by))), np.minimum.reduceat(mark, begins), np.maximum.reduceat(mark, begins), chars))
+        return merged(got)
+
+    def merged(got: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        if len(got) < 2:
+            return got[0] if got else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros((0, order), np.uint32))
+        hashes, n, least, most, chars = map(np.concatenate, zip(*got))
+        by = np.argsort(hashes)
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(hashes[by]) > 0]))[: len(by)]
+        return hashes[by[begins]], np.add.reduceat(n[by], begins), np.minimum.reduceat(least[by], begins), np.maximum.reduceat(most[by], begins), chars[by[begins]]
+
+    def rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        _, n, least, most, chars = merged(held)
+        for at in range(0, len(n), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            names = np.ascontiguousarray(chars[some]).view(f"<U{order}").reshape(-1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(x[some]) for x in (n, least, most))], names=["gram", "n", "least", "most"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(CLASSES**ORDER, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for at in range(0, len(text), 1 << 20):  # long texts go in parts, with the characters before
-                    lead = text[max(0, at - ORDER + 1) : at]
-                    codes = gram_codes(lead + text[at : at + (1 << 20)])[len(lead) :]
-                    waiting.append(codes)
-                    held += len(codes)
-                    if held > 4 << 20:
-                        total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                        waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
-
-    return texts.select("t").mapInArrow(counts, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Chen and Goodman's three discounts from the counts of counts, indexed by min(count, 3)."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+        held: list[tuple[np.ndarray, ...]] = []
+        for some in groups_of(x for batch in batches for x in batch.column(0).to_pylist()):
+            held.append(unique(some))
+            if len(held) > 3:
+                held = [merged(held)]
+                if len(held[0][0]) > 1 << 21:  # enough for one table
+                    yield from rows(held)
+                    held = []
+        yield from rows(held)
+
+    got = texts.select("t").mapInArrow(counts, "gram string, n long, least long, most long")
+    return got.groupBy("gram").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def discounts(rows: DataFrame) -> list[float]:
+    """Chen and Goodman's three discounts from the counts of counts of column n: four numbers."""
+    n1, n2, n3, n4 = (max(1, x) for x in rows.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
     y = n1 / (n1 + 2 * n2)
-    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-
-def kneser_ney(grams: np.ndarray, n: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """The model of all orders from the counts of the highest: for each order the sorted hashes of its n-grams with log
-    probabilities, and the sorted hashes of their contexts with log back-off weights."""
-    model, lower = [], None
-    counts = {ORDER: np.zeros(CLASSES**ORDER)}
-    counts[ORDER][grams] = n
-    for k in range(ORDER - 1, 0, -1):  # in how many different left contexts an n-gram occurs
-        counts[k] = (counts[k + 1].reshape(CLASSES, -1) > 0).sum(axis=0).astype(float)
-    for k in range(1, ORDER + 1):
-        c = counts[k].reshape(-1, CLASSES)
-        d = discounts(c[c > 0])
-        total = c.sum(axis=1, keepdims=True)
-        cut = d[np.minimum(c, 3).astype(int)]
-        weight = np.where(total > 0, cut.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        below = np.full((1, CLASSES), 1 / CLASSES) if lower is None else np.tile(lower.reshape(-1, CLASSES), (CLASSES, 1))
-        p = np.where(total > 0, (c - cut) / np.maximum(total, 1), 0) + weight * below
-        lower = p.reshape(-1) if k < ORDER else None
-        seen, contexts = np.flatnonzero(c.reshape(-1)), np.flatnonzero(total.reshape(-1))
-        order, of = {}, {"gram": (seen, np.log(p.reshape(-1)[seen])), "context": (contexts, np.log(weight.reshape(-1)[contexts]))}
-        for name, (codes, values) in of.items():
-            hashes = mix64(codes.astype(np.uint64) + np.uint64(k << 32))
-            by = np.argsort(hashes)
-            order[name], order[f"{name}_value"] = hashes[by], values[by].astype(np.float32)
-        model.append(order)
-    return model
-
-
-def _find(order: dict[str, np.ndarray], name: str, k: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of codes of order k: which are in the sorted hash array, and their values (0 where not)."""
-    keys = order[name]
-    if not len(keys):
-        return np.zeros(len(codes), bool), np.zeros(len(codes), np.float32)
-    hashes = mix64(codes.astype(np.uint64) + np.uint64(k << 32))
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    there = keys[at] == hashes
-    return there, np.where(there, order[f"{name}_value"][at], 0)
-
-
-def log_probability(model: list[dict[str, np.ndarray]], codes: np.ndarray) -> np.ndarray:
-    """The log probability of the last class of each four-gram after the three before."""
-    out, open_, added = np.zeros(len(codes)), np.ones(len(codes), bool), np.zeros(len(codes))
-    for k in range(ORDER, 0, -1):
-        part = codes & (CLASSES**k - 1)
-        there, value = _find(model[k - 1], "gram", k, part)
-        now = open_ & there
-        out[now] = (added + value)[now]
-        open_ &= ~there
-        added += np.where(open_, _find(model[k - 1], "context", k, part >> 5)[1], 0)
-    out[open_] = added[open_] - np.log(CLASSES)
-    return out
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return [min(max(x, low), high) for x, low, high in zip(raw, (0.05, 0.1, 0.15), (0.95, 1.9, 2.85))]
+
+
+def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(k, gram, log_p, log_back): the model of all orders from count_grams. log_back is for what follows gram as a context;
+    an unknown character has log_p of gram '' at k 0."""
+    keep = F.col("least") < F.col("most")
+    counts = {order: written(grams.withColumn("keep", keep), "grams")}
+    for k in range(order - 1, 0, -1):  # in how many different left contexts an n-gram occurs
+        shorter = counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        counts[k] = written(shorter.withColumn("keep", keep | F.lit(k == 1)), "grams")
+    alphabet = counts[1].count() + 1
+    lower, out = None, None
+    for k in range(1, order + 1):
+        d1, d2, d3 = discounts(counts[k])
+        n = F.col("n")
+        part = F.when(F.col("keep"), n - F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)).otherwise(0.0)
+        rows = counts[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), "keep", "n", F.greatest(part, F.lit(0.0)).alias("part"))
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("part").alias("kept"))
+        totals = written(totals.select("context", "total", (1 - F.col("kept") / F.col("total")).alias("back")), "contexts")
+        kept = rows.where("keep").join(totals, "context")
+        if lower is None:
+            kept = kept.withColumn("below", F.lit(1.0 / alphabet))
+        else:  # of an n-gram whose shorter one isn't in the model, that has its own lower order's share
+            kept = below(kept, counts, backs, lower, k, alphabet)
+        now = written(kept.select("gram", (F.col("part") / F.col("total") + F.col("back") * F.col("below")).alias("p")), "probabilities")
+        rest = totals.select(F.col("context").alias("gram"), "back")
+        if k == 1:
+            zero = rest.select(F.lit(0).alias("k"), F.lit("").alias("gram"), F.lit(float(np.log(1.0 / alphabet))).alias("log_p"), F.log("back").alias("log_back"))
+            out, backs = zero, {0: rest}
+        else:
+            mine = lower.join(rest, "gram", "full").select(F.lit(k - 1).alias("k"), "gram", F.log("p").alias("log_p"), F.log(F.greatest("back", F.lit(1e-12))).alias("log_back"))
+            out, backs[k - 1] = out.unionByName(mine), rest
+        lower = now
+        backs["p", k] = now
+    last = lower.select(F.lit(order).alias("k"), "gram", F.log("p").alias("log_p"), F.lit(None).cast("double").alias("log_back"))
+    return written(out.unionByName(last), "model")
+
+
+def below(rows: DataFrame, counts: dict, backs: dict, lower: DataFrame, k: int, alphabet: int) -> DataFrame:
+    """rows of order k with the probability `below` of each one's shorter n-gram, by backing off where that was left out."""
+    rows = rows.withColumn("short", F.substring("gram", 2, k - 1))
+    out = rows.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short", "left").withColumn("weight", F.lit(1.0))
+    for j in range(k - 2, 0, -1):
+        context = backs[j].select(F.col("gram").alias("c"), F.col("back").alias("b"))
+        out = out.withColumn("c", F.substring("short", k - 1 - j, j)).join(context, "c", "left").withColumn("weight", F.when(F.col("below").isNull(), F.col("weight") * F.coalesce("b", F.lit(1.0))).otherwise(F.col("weight"))).drop("c", "b")
+        shorter = backs["p", j].select(F.col("gram").alias("s"), F.col("p").alias("q"))
+        out = out.withColumn("s", F.substring("short", k - j, j)).join(shorter, "s", "left").withColumn("below", F.coalesce("below", F.col("weight") * F.col("q"))).drop("s", "q")
+    return out.withColumn("below", F.coalesce("below", F.lit(1.0 / alphabet)))
+
+
+def sorted_arrays(model: DataFrame, ranges: int = 64) -> DataFrame:
+    """(range, keys, log_p, log_back): the model in ranges of hashes, each with its arrays in order of hash."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_pylist()
+            keys = np.zeros(len(grams), np.uint64)
+            sizes = np.array(batch.column(0).to_pylist(), np.int64)
+            for k in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == k)
+                points = np.array([list(map(ord, grams[i])) for i in mine], np.uint32).reshape(len(mine), k)
+                values = letters(points.reshape(-1)).reshape(len(mine), k)
+                out = np.zeros(len(mine), np.uint64)
+                for j in range(k):
+                    out += values[:, k - 1 - j] * np.uint64(POWERS[j])
+                keys[mine] = mix64(out + np.uint64(k))
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int64) * ranges >> 32), pa.array(keys.view(np.int64)), *batch.columns[2:]], names=["range", "key", "log_p", "log_back"])
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("range", pa.int64()), ("key", pa.int64()), ("log_p", pa.float64()), ("log_back", pa.float64())]))
+        of, keys = table["range"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+        p, back = (table[c].to_numpy() for c in ("log_p", "log_back"))
+        for r in np.unique(of):
+            mine = np.flatnonzero(of == r)
+            mine = mine[np.argsort(keys[mine])]
+            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([keys[mine].tobytes()]), pa.array([p[mine].astype(np.float32).tobytes()]), pa.array([back[mine].astype(np.float32).tobytes()])], names=["range", "keys", "log_p", "log_back"])
+
+    rows = model.select("k", "gram", "log_p", "log_back").mapInArrow(hashed, "range long, key long, log_p double, log_back double")
+    return written(rows.repartition("range").mapInArrow(arrays, "range long, keys binary, log_p binary, log_back binary"), "arrays")
+
+
+def loaded(rows: list) -> dict[str, np.ndarray]:
+    """The arrays of some ranges as one."""
+    rows = sorted(rows, key=lambda r: r["range"])
+    return {c: np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", np.uint64), ("log_p", np.float32), ("log_back", np.float32))}
+
+
+def look_up(arrays: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log_p and log_back of keys; not a number where there is none."""
+    if not len(arrays["keys"]):
+        return np.full(len(keys), np.nan, np.float32), np.full(len(keys), np.nan, np.float32)
+    at = np.minimum(np.searchsorted(arrays["keys"], keys), len(arrays["keys"]) - 1)
+    there = arrays["keys"][at] == keys
+    return np.where(there, arrays["log_p"][at], np.nan), np.where(there, arrays["log_back"][at], np.nan)
+
+
+class Grams:
+    """The distinct n-grams of some texts, and the keys under which a model has what it knows about them."""
+
+    def __init__(self, texts: list[str], order: int, lead: int = 0):
+        points, self.lengths = points_of(texts, order)
+        ends, values = ends_of(self.lengths, order)[lead:], letters(points)
+        self.lengths = self.lengths - lead if lead else self.lengths
+        hashes = hash_of(values, ends, order)
+        _, first, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = ends[first]
+        self.grams = [mix64(hash_of(values, at, k) + np.uint64(k)) for k in range(order, -1, -1)]
+        self.contexts = [mix64(hash_of(values, at - 1, k) + np.uint64(k)) for k in range(order - 1, -1, -1)]
+
+    def log_probabilities(self, arrays: dict[str, np.ndarray]) -> np.ndarray:
+        """The log probability of the last letter of each distinct n-gram after those before it."""
+        out, open_, added = np.zeros(len(self.grams[0])), np.arange(len(self.grams[0])), np.zeros(len(self.grams[0]))
+        for k, gram in enumerate(self.grams):
+            p, _ = look_up(arrays, gram[open_])
+            found = ~np.isnan(p)
+            out[open_[found]] = added[open_[found]] + p[found]
+            open_ = open_[~found]
+            if not len(open_) or k == len(self.contexts):
+                break
+            back = look_up(arrays, self.contexts[k][open_])[1]
+            added[open_] += np.where(np.isnan(back), 0, back)
+        return out
+
+    def sums(self, logs: np.ndarray) -> np.ndarray:
+        """The log probability of each text."""
+        total = np.concatenate([[0.0], np.cumsum(logs[self.which], dtype=np.float64)])
+        ends = np.cumsum(self.lengths)
+        return total[ends] - total[ends - self.lengths]
 
 
 def repeated_window_words(words: list, size: int = 5) -> int:
@@ -180,41 +307,90 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_window_words(words)
 
 
-def document_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts, base_failed and log_perplexity (null where there are no characters) of each row."""
-    texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), text_or_empty().alias("t"))
-    grams = count_grams(texts).toPandas()  # 32**4 rows at most
-    model = kneser_ney(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scores_of(texts: list[str], arrays: dict[str, np.ndarray], order: int) -> list[float | None]:
+    """The log perplexity per character of each text."""
+    out: list[float | None] = []
+    for some in groups_of(texts):
+        if len(some) == 1:
+            total = sum(float((g := Grams([x], order, lead)).sums(g.log_probabilities(arrays))[0]) for x, lead in parts_of(some[0], order)) if some[0] else 0.0
+            sums = [total]
+        else:
+            grams = Grams(some, order)
+            sums = grams.sums(grams.log_probabilities(arrays)).tolist()
+        out += [-x / len(text) if text else None for x, text in zip(sums, some)]
+    return out
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.full(CLASSES**ORDER, np.nan, np.float32)  # what this task has looked up
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows, logs = [], []
-                for text in some.column(2).to_pylist():
-                    rows.append(base_counts(text))
-                    total = 0.0
-                    for i in range(0, len(text), 1 << 20):
-                        lead = text[max(0, i - ORDER + 1) : i]
-                        codes = gram_codes(lead + text[i : i + (1 << 20)])[len(lead) :]
-                        values = known[codes]
-                        if np.isnan(values).any():
-                            new = np.unique(codes[np.isnan(values)])
-                            known[new] = log_probability(shared.value, new.astype(np.int64))
-                            values = known[codes]
-                        total += float(values.sum(dtype=np.float64))
-                    logs.append(-total / len(text) if text else None)
-                counts = [pa.array(x, pa.int64()) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *counts, pa.array(logs, pa.float64())], names=names)
 
+def document_measures(docs: DataFrame, order: int = ORDER, most_bytes: int = 1 << 27) -> DataFrame:
+    """doc_id, lang, the counts, base_failed and log_perplexity (null where there are no characters) of each row."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("t"))
+    arrays = sorted_arrays(kneser_ney(count_grams(texts, order), order))
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
-    out = texts.mapInArrow(measure, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+
+    def measured(batch: pa.RecordBatch | pa.Table, model: dict[str, np.ndarray]) -> pa.RecordBatch:
+        some = batch.column(2).to_pylist()
+        counts = [pa.array(x, pa.int64()) for x in zip(*map(base_counts, some))]
+        columns = [batch.column(0), batch.column(1)] if isinstance(batch, pa.RecordBatch) else [batch.column(0).combine_chunks(), batch.column(1).combine_chunks()]
+        return pa.RecordBatch.from_arrays([*columns, *counts, pa.array(scores_of(some, model, order), pa.float64())], names=names)
+
+    size = arrays.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)).alias("n")).first()["n"] * 2  # a key has as many bytes as its two values
+    if size <= most_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(loaded(arrays.collect()))  # no more than most_bytes
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    yield measured(batch.slice(at, 2000), shared.value)
+
+        out = texts.mapInArrow(measure, schema)
+    else:
+        out = _dealt_measures(texts, arrays, measured, schema, order)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
+def _dealt_measures(texts: DataFrame, arrays: DataFrame, measured, schema: str, order: int) -> DataFrame:
+    """The measures of all texts where the model is too large to broadcast: see above."""
+    total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    ranges = arrays.count()
+    batch_of = F.pmod(F.xxhash64("doc_id", "t"), F.lit(max(1, int(total) // GROUP)))
+    dealt = texts.withColumn("batch", batch_of)
+
+    def wanted(table: pa.Table) -> pa.Table:
+        keys = [np.zeros(0, np.uint64)]
+        for some in groups_of(table["t"].to_pylist()):
+            for text, lead in parts_of(some[0], order) if len(some) == 1 else [(None, 0)]:
+                grams = Grams(some if text is None else [text], order, lead)
+                keys.append(np.unique(np.concatenate(grams.grams + grams.contexts)))
+        keys = np.unique(np.concatenate(keys))
+        of = (keys >> np.uint64(32)).astype(np.int64) * 64 >> 32
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(keys)] if len(keys) else []
+        return pa.table({"batch": pa.array([table["batch"][0].as_py()] * max(0, len(cuts) - 1), pa.int64()), "range": pa.array([int(of[i]) for i in cuts[:-1]], pa.int64()), "wanted": pa.array([keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                mine, keys = loaded([x]), np.frombuffer(x["wanted"], np.uint64)
+                there = np.isin(keys, mine["keys"])
+                at = np.searchsorted(mine["keys"], keys[there])
+                yield pa.RecordBatch.from_pylist([{"batch": x["batch"], "range": x["range"], "keys": keys[there].tobytes(), "log_p": mine["log_p"][at].tobytes(), "log_back": mine["log_back"][at].tobytes()}])
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_batches([], result)
+        return pa.Table.from_batches([measured(table.select(["doc_id", "lang", "t"]), loaded(answers.to_pylist()))])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    result = to_arrow_schema(_parse_datatype_string(schema))
+    asked = dealt.groupBy("batch").applyInArrow(wanted, "batch long, range long, wanted binary")
+    found = asked.join(arrays, "range").repartition(max(1, ranges), "batch", "range").mapInArrow(answer, "batch long, range long, keys binary, log_p binary, log_back binary")
+    return dealt.groupBy("batch").cogroup(written(found, "answers").groupBy("batch")).applyInArrow(score, schema)
+
+
 def quality_verdicts(docs: DataFrame, spread: float = 3.0, least: float = 0.1, error: float = 2.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and with them lang, log_perplexity and the band's ends."""
     rows = written(document_measures(docs), "measures")
