@@ -1,16 +1,22 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded from the root down.
 
-A page becomes a tree of its block elements. Each has features: what kind of element it and its parent are, the tokens of
-its attributes, its depth, its place among its siblings, the density of text, links and marks in its subtree. The trees
-are trained on a bounded sample of pages (`most`, by default 300, of smallest hash of page_id) with distant labels: where
-an element, or one around it, says by its name or attributes what it is, its blocks are labelled; in a second copy of the
-sample these names are hidden, so that the trees learn to do without. For a page, each node's probability is taken, and the
-most probable consistent choice is found by dynamic programming: what stands inside a rejected node is rejected, and a
-kept node may hold rejected ones (an advert in an article). Text outside any block element belongs to the body.
+A page becomes a tree of its block elements; a run of text that stands directly in the body is a node of its own. Each node
+has features: what kind of element it and its parent are, the tokens of its attributes, its depth, its place among its
+siblings, the density of text, links and marks in its subtree. The trees are trained on a bounded sample of whole pages
+(`most`, by default 300, of smallest hash of page_id; of each at most `nodes` evenly spaced nodes) with distant labels: where
+an element, or one around it, says by its name or attributes what it is, its blocks are labelled. In a second copy of the
+sample these names are hidden, in a third its texts stand directly in the body, so that the trees learn to do without. For a
+page, each node's probability is taken (more readily yes where no element of the page is named as main text, and there at
+least PLAIN for text blocks that are not links), and the most
+probable consistent choice is found by dynamic programming: what stands inside a rejected node is rejected, and a kept node
+may hold rejected ones (an advert in an article).
+
+Pages are read in time linear in their length, whatever their markup.
 
 Defined results. Null or empty html, or a page without text: an empty text. Malformed html: unclosed elements end where
-their parent ends, a paragraph ends where another block begins. A sample without labels of both kinds: every block is
-kept that isn't named as something else. Repeated rows: each gets its row. Empty table: no row. Other columns are ignored.
+their parent ends, a paragraph ends where another block begins, a tag, comment or script without an end goes on to the end
+of the page; a quote without an end counts as no quote. A sample without labels of both kinds: every block is kept that
+isn't named as something else. Repeated rows: each gets its row. Empty table: no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,10 @@ from pyspark.sql import functions as F
 from . import boosting
 from .common import in_task
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>""", re.S | re.I)
+#: A tag without angle brackets in its attributes; a try ends at the next bracket, so tries are linear together.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+NAME = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)""")
+STOP = re.compile(r""">|=\s*["']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
@@ -36,9 +45,12 @@ KINDS = {
     "article": "article", "main": "article", "nav": "nav", "menu": "nav", "aside": "aside", "header": "header", "footer": "footer", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "form",
     "p": "p", "blockquote": "p", "pre": "p", "figcaption": "p", "address": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "hgroup": "h",
     "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "div": "div", "section": "div", "figure": "div", "details": "div", "summary": "div", "center": "div", "body": "div", "html": "div",
-    "table": "table", "thead": "table", "tbody": "table", "tfoot": "table", "tr": "table", "td": "cell", "th": "cell", "caption": "cell", "head": "head", "title": "head", "hr": "div",
+    "#text": "text", "table": "table", "thead": "table", "tbody": "table", "tfoot": "table", "tr": "table", "td": "cell", "th": "cell", "caption": "cell", "head": "head", "title": "head", "hr": "div",
 }
 KIND_NO = {k: n for n, k in enumerate(dict.fromkeys(KINDS.values()), 1)}
+#: Elements whose content is no text: up to their end tag, or (the first three) to the end of the page.
+RAW = ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "select")
+RAW_END = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in RAW}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Tokens of attributes, and kinds, that name main text or something else.
 MAIN_TOKENS = {"article", "content", "main", "post", "entry", "story", "maincontent", "articlebody"}
@@ -53,6 +65,48 @@ OTHER_KINDS = {"nav", "aside", "footer", "form", "head"}
 BUCKETS = 8
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, "/" or "", name in lower case, attributes) of each tag; the name is empty for comments and the like, and
+    "#skip" for an element whose content is no text."""
+    last = {c: source.rfind(c) for c in (">", '"', "'")}
+    unended, at, n = set(), 0, len(source)
+    while (i := source.find("<", at)) >= 0:
+        if m := TAG.match(source, i):
+            closing, name, attributes, at = m[1], m[2].lower(), m[3], m.end()
+        elif source.startswith("<!--", i):
+            end = source.find("-->", i + 2)
+            at = n if end < 0 else end + 3
+            yield i, at, "", "", ""
+            continue
+        elif m := NAME.match(source, i + 1):
+            closing, name, j = m[1], m[2].lower(), m.end()
+            at = n  # a tag without an end
+            while j <= last[">"]:
+                stop = STOP.search(source, j)
+                if stop[0] == ">":
+                    at = stop.end()
+                    break
+                quote = stop[0][-1]
+                j = source.find(quote, stop.end()) + 1 if last[quote] >= stop.end() else stop.end()
+            attributes = source[m.end() : at - 1]
+        elif source[i + 1 : i + 2] in ("!", "?", "/"):
+            end = source.find(">", i)
+            at = n if end < 0 else end + 1
+            yield i, at, "", "", ""
+            continue
+        else:  # no markup
+            at = i + 1
+            continue
+        if not closing and name in RAW_END and name not in unended:
+            end = RAW_END[name].search(source, at)
+            if end or name in RAW[:3]:
+                at = (source.find(">", end.end() - 1) + 1 or n) if end else n
+                yield i, at, "", "#skip", ""
+                continue
+            unended.add(name)
+        yield i, at, closing, name, attributes
+
+
 class Page:
     """The tree of a page's block elements, and its texts in page order as (node, text, characters in links)."""
 
@@ -61,38 +115,40 @@ class Page:
         self.texts: list[tuple[int, str, int]] = []
         self.starts, self.n_tags = [0], [0]
         stack, parts, linked, in_link, at = [0], [], 0, 0, 0
+        opened: dict[str, int] = {}  # how often each name is in the stack
 
         def flush() -> None:
             nonlocal parts, linked
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                self.texts.append((stack[-1], text, min(linked, len(text))))
+                node = stack[-1]
+                if node == 0:
+                    node = len(self.tags)
+                    self._node("#text", 0, frozenset())
+                self.texts.append((node, text, min(linked, len(text))))
             parts, linked = [], 0
 
-        for m in TAG.finditer(source):
-            if m.start() > at:
-                parts.append(source[at : m.start()])
-                linked += (m.start() - at) * (in_link > 0)
-            at = m.end()
-            name = (m[3] or "").lower()
-            if not name:
-                if m[1]:
-                    parts.append(" ")
-                continue
+        for begin, end, closing, name, attributes in tags_of(source):
+            if begin > at:
+                parts.append(source[at:begin])
+                linked += (begin - at) * (in_link > 0)
+            at = end
             kind = KINDS.get(name)
             if not kind:
                 if name == "a":
-                    in_link = max(0, in_link + (-1 if m[2] else 1))
-                elif name == "br":
+                    in_link = max(0, in_link + (-1 if closing else 1))
+                elif name in ("br", "#skip"):
                     parts.append(" ")
-                self.n_tags[stack[-1]] += 1
+                self.n_tags[stack[-1]] += name != "" and name != "#skip"
                 continue
             flush()
             if name in ("html", "body"):
                 continue
-            if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
+            if closing:
+                for k in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                     if self.tags[stack[k]] == name:
+                        for node in stack[k:]:
+                            opened[self.tags[node]] -= 1
                         del stack[k:]
                         break
                     if name == "p" and self.kinds[stack[k]] != "h":
@@ -101,19 +157,22 @@ class Page:
                 continue
             in_link = 0
             while len(stack) > 1 and self._ends(self.tags[stack[-1]], name):
-                stack.pop()
-            found = frozenset(t for a in ATTRIBUTE.findall(m[4] or "") for v in a[1:] for t in TOKEN.findall(v.lower()))
-            self.tags.append(name)
-            self.kinds.append(kind)
-            self.parent.append(stack[-1])
-            self.tokens.append(found)
-            self.starts.append(len(self.texts))
-            self.n_tags.append(1)
-            if name not in VOID and not (m[4] or "").endswith("/"):
+                opened[self.tags[stack.pop()]] -= 1
+            self._node(name, stack[-1], frozenset(t for a in ATTRIBUTE.findall(attributes) for v in a[1:] for t in TOKEN.findall(v.lower())) if attributes else frozenset())
+            if name not in VOID and not attributes.endswith("/"):
                 stack.append(len(self.tags) - 1)
+                opened[name] = opened.get(name, 0) + 1
         parts.append(source[at:])
         flush()
 
+    def _node(self, name: str, parent: int, tokens: frozenset) -> None:
+        self.tags.append(name)
+        self.kinds.append(KINDS[name])
+        self.parent.append(parent)
+        self.tokens.append(tokens)
+        self.starts.append(len(self.texts))
+        self.n_tags.append(1)
+
     @staticmethod
     def _ends(open_tag: str, new: str) -> bool:
         """Whether an open element ends where another begins."""
@@ -167,7 +226,7 @@ class Page:
             for t in tokens:
                 hashed[k, sum(t.encode()) % BUCKETS] = 1
         flags = np.stack([kind == k for k in KIND_NO.values()], axis=1)
-        rows = [kind[up], named_main, named_other, inside_other, depth, kids, place, place / np.maximum(kids[up], 1), same, np.log1p(own), np.log1p(all_own), all_own / max(1.0, own.sum()), all_links / safe, all_marks / safe, all_own / np.maximum(all_words, 1), all_own / tags, all_own / np.maximum(all_count, 1), np.array(self.starts) / max(1, len(self.texts)), (all_links / safe)[up], np.log1p(all_own / np.maximum(kids, 1))[up]]
+        rows = [kind[up], named_main, named_other, inside_other, depth, kids, place, place / np.maximum(kids[up], 1), same, np.log1p(own), np.log1p(all_own), all_own / max(1.0, own.sum()), all_links / safe, all_marks / safe, all_own / np.maximum(all_words, 1), all_own / np.maximum(tags, 1), all_own / np.maximum(all_count, 1), np.array(self.starts) / max(1, len(self.texts)), (all_links / safe)[up], np.log1p(all_own / np.maximum(kids, 1))[up]]
         return np.column_stack([flags, hashed, *rows]).astype(np.float64)
 
     def decode(self, p: np.ndarray) -> np.ndarray:
@@ -187,21 +246,26 @@ class Page:
 
 NAMING = [KIND_NO[k] - 1 for k in ("article", "nav", "aside", "header", "footer", "form", "head")]
 AFTER_KINDS = len(KIND_NO) + BUCKETS  # where the features begin that come after the kinds and attribute buckets
-NAMED_OTHER, INSIDE_OTHER = AFTER_KINDS + 2, AFTER_KINDS + 3
+NAMED_OTHER, INSIDE_OTHER, DEPTH, OWN, LINKS = (AFTER_KINDS + k for k in (2, 3, 4, 9, 12))
+UNNAMED = 2.0  # added to the log odds of nodes of a page that names no main text
+PLAIN = 0.75  # the least probability there of text blocks that are not links for the most part
 
 
 def training_rows(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Features and distant labels of a page's labelled nodes: as they are, with names hidden, and, of main text, as it
-    would be inside something named otherwise (label 0), since a sample may lack such names."""
+    """Features and distant labels of a page's labelled nodes: as they are, with names hidden, texts as they would be directly
+    in the body, and main text as it would be inside something named otherwise (label 0), since a sample may lack such names."""
     labels, x = np.array(page.named()), page.features()
     use = labels >= 0
     x, y = x[use], labels[use]
-    blind, moved = x.copy(), x[y == 1].copy()
+    alone = (x[:, OWN] > 0) & ((y == 1) | (x[:, LINKS] > 0.5))  # of other texts, links alone: an advert's place is all that tells it
+    blind, moved, bare = x.copy(), x[y == 1].copy(), x[alone].copy()
     blind[:, NAMING] = 0
     blind[:, len(KIND_NO) : AFTER_KINDS + 4] = 0
     moved[:, INSIDE_OTHER] = 1
     moved[::2, NAMED_OTHER] = 1
-    return np.concatenate([x, blind, moved]), np.concatenate([y, y, np.zeros(len(moved), y.dtype)])
+    bare[:, : AFTER_KINDS + 4] = 0
+    bare[:, KIND_NO["text"] - 1], bare[:, AFTER_KINDS], bare[:, DEPTH] = 1, KIND_NO["div"], 1
+    return np.concatenate([x, blind, moved, bare]), np.concatenate([y, y, np.zeros(len(moved), y.dtype), y[alone]])
 
 
 def main_text(source: str | None, model: dict | None) -> str:
@@ -213,21 +277,29 @@ def main_text(source: str | None, model: dict | None) -> str:
     if model is None:
         keep = names != 0
     else:
-        keep = page.decode(np.clip(boosting.probability(model, page.features()), 1e-6, 1 - 1e-6))
-    return "\n".join(text for node, text, _ in page.texts if keep[node] and (node or len(page.tags) == 1 or names[0] != -1))
+        features = page.features()
+        p = np.clip(boosting.probability(model, features), 1e-6, 1 - 1e-6)
+        if not (names == 1).any():
+            p = np.where(names == 0, p, 1 / (1 + (1 / p - 1) * np.exp(-UNNAMED)))
+            plain = (names != 0) & (features[:, LINKS] <= 0.5) & np.isin(page.kinds, ("p", "h", "text"))
+            p = np.where(plain, np.maximum(p, PLAIN), p)
+        keep = page.decode(p)
+    return "\n".join(text for node, text, _ in page.texts if keep[node])
 
 
-def fit_on(pages: DataFrame, most: int = 300) -> dict | None:
-    """The trees from a bounded sample of pages; None if it has labels of one kind only."""
+def fit_on(pages: DataFrame, most: int = 300, nodes: int = 1000) -> dict | None:
+    """The trees from a bounded sample of pages, and of each page's nodes; None if it has labels of one kind only."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 x, y = training_rows(Page(source))
+                some = np.unique(np.linspace(0, len(y) - 1, min(len(y), 4 * nodes)).astype(int)) if len(y) else []
+                x, y = x[some], y[some]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([y.astype(np.float64).tobytes()])], names=["x", "y"])
 
     chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
-    sample = pages.select("page_id", F.coalesce(F.substring("html", 1, 200_000), F.lit("")).alias("h")).join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"])
+    sample = pages.select("page_id", F.coalesce("html", F.lit("")).alias("h")).join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("h").alias("h"))
     got = sample.select("h").mapInArrow(rows, "x binary, y binary").toPandas()
     if not len(got):
         return None
