@@ -178,8 +178,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                some = batch.slice(at, 5000)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 out = []
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder(tokenizer, spaced_units).batch(some.column(1).to_pylist(), end_id)):
                     for start in range(0, len(ids), capacity):

@@ -88,8 +88,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str],
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                some = batch.slice(at, 5000)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode.batch(some.column(1).to_pylist(), end_id)):
                     begin = 0
                     while begin < len(ids):

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 #: Where a text may be cut for either vocabulary: before a single space between two characters that are no white space.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 SLICE = 1 << 18
-GROUP = 1 << 24  # characters of texts whose units are numbered together
+GROUP = 1 << 22  # characters of texts whose units are numbered together
 #: White space of any alphabet, in the syntax of Arrow's regular expressions.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CLOSING = ".,;:!?"
@@ -124,7 +124,7 @@ class _Table:
 class UnitEncoder:
     """Encodes by a tokenizer file; `units` splits texts into their units."""
 
-    def __init__(self, path: str, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[str]]], most: int = 800_000):
+    def __init__(self, path: str, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[str]]], most: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.units, self.most = units, most
@@ -241,7 +241,9 @@ class UnitEncoder:
         if not some:
             return
         if len(self.table.index) > self.most:
-            self.table, self.parts = _Table(), _Table()
+            self.table = _Table()
+        if len(self.parts.index) > self.most:
+            self.parts = _Table()
         numbers, counts, names = self.units(pa.array(some, pa.string()))
         known, new = self.table.numbers(names)
         if new:
