@@ -54,9 +54,12 @@ def ends_of(lengths: np.ndarray, order: int) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(np.arange(1, len(lengths) + 1) * (order - 1), lengths)
 
 
-def letters(points: np.ndarray) -> np.ndarray:
+def letters(points: np.ndarray, _table: list = []) -> np.ndarray:
     """A 64-bit number for each code point."""
-    return mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    mixed = lambda x: mix64(x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not _table:
+        _table.append(mixed(np.arange(1 << 16)))
+    return _table[0][points] if not len(points) or points.max() < 1 << 16 else mixed(points)
 
 
 def hash_of(values: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
@@ -67,6 +70,14 @@ def hash_of(values: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def hashes_of(values: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """As hash_of, for places all over the values: in one sweep over these."""
+    out = values[k - 1 :].copy()
+    for j in range(1, k):
+        out += values[k - 1 - j : len(values) - j] * np.uint64(POWERS[j])
+    return out[ends - (k - 1)]
+
+
 def groups_of(texts: Iterator[str]) -> Iterator[list[str]]:
     """Texts in lists of about GROUP characters; a longer one is a list of its own."""
     some, size = [], 0
@@ -98,9 +109,9 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for text, lead in parts_of(some[0], order) if len(some) == 1 else [(None, 0)]:
             points, lengths = points_of(some if text is None else [text], order)
             ends = ends_of(lengths, order)[lead:]
-            hashes = hash_of(letters(points), ends, order)
-            if not len(hashes):
+            if not len(ends):
                 continue
+            hashes = hashes_of(letters(points), ends, order)
             by = np.argsort(hashes)
             sorted_, mark = hashes[by], np.repeat(marks, lengths)[lead:][by]
             begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
@@ -247,9 +258,12 @@ class Grams:
         points, self.lengths = points_of(texts, order)
         ends, values = ends_of(self.lengths, order)[lead:], letters(points)
         self.lengths = self.lengths - lead if lead else self.lengths
-        hashes = hash_of(values, ends, order)
-        _, first, self.which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = ends[first]
+        hashes = hashes_of(values, ends, order) if len(ends) else np.zeros(0, np.uint64)
+        by = np.argsort(hashes)
+        new = np.concatenate([[True], np.diff(hashes[by]) > 0])[: len(by)]
+        self.which = np.empty(len(by), np.int32)
+        self.which[by] = np.cumsum(new) - 1
+        at = ends[by[new]]
         self.grams = [mix64(hash_of(values, at, k) + np.uint64(k)) for k in range(order, -1, -1)]
         self.contexts = [mix64(hash_of(values, at - 1, k) + np.uint64(k)) for k in range(order - 1, -1, -1)]
 
