@@ -55,3 +55,24 @@ BAND_HIGH, BAND_MEDIUM, ALERT_AT = 0.50, 0.20, 0.20
 BIN_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
 # Days between events, by bucket.
 GAP_EDGES = [0, 1, 2, 3, 7, 14, 30, 60, 120, 365]
+
+# The pooled vocabulary that all corpora are brought to, and the book's fields that map onto it.
+POOLED = ["can_loan_amount", "can_term_months", "can_interest_rate", "can_income", "can_dti", "can_credit_score_n", "can_age", "can_emp_length", "can_delinq_count", "can_open_accounts", "can_utilization", "can_n_employees", "can_loan_to_income", "can_installment", "can_sector"]
+TO_POOLED = {"loan_amount": "can_loan_amount", "term_months": "can_term_months", "interest_rate": "can_interest_rate", "income_or_turnover": "can_income", "credit_score": "can_credit_score_n", "sector": "can_sector", "prior_delinquencies": "can_delinq_count", "employment_length": "can_emp_length"}
+# Fields that count as numbers at a lower share of numbers.
+KNOWN_NUMERIC = ["loan_amount", "term_months", "interest_rate", "income_or_turnover", "dscr", "credit_score", "collateral_value", "prior_delinquencies", "employment_length", "time_observed"]
+# Good and bad outcomes of consumer loans; counters of late payments.
+LENDING_STATUS = (
+    ["Fully Paid", "Does not meet the credit policy. Status:Fully Paid"],
+    ["Charged Off", "Default", "Does not meet the credit policy. Status:Charged Off", "Late (31-120 days)"],
+)
+LATE_COUNTERS = ["NumberOfTime30-59DaysPastDueNotWorse", "NumberOfTimes90DaysLate", "NumberOfTime60-89DaysPastDueNotWorse"]
+# Words of which one makes a column of six values or fewer an outcome.
+BINARY_WORDS = ["0", "1", "yes", "no", "y", "n", "true", "false", "default", "paid", "chargeoff", "charged off", "p i f", "pif", "clp", "good", "bad", "1.0", "0.0"]
+# What a lever's step asks for.
+ACTIONS = {
+    "term_months": "Extend tenure by {step} months (to {value})",
+    "collateral_value": "Add collateral by {percent}%",
+    "income_or_turnover": "Add a working-capital line / lift turnover raising serviceable cashflow ~{percent}%",
+    "interest_rate": "Restructure rate down {step} pts",
+}

@@ -27,33 +27,67 @@ def tree_arrays(model: GBTClassificationModel, path: str) -> list[dict[str, np.n
     return out
 
 
-def expected(tree: dict, x: np.ndarray, known: frozenset, node: int = 0) -> float:
-    """The tree's mean value where only the known features of x are given; the others are spread by cover."""
-    left, right = tree["left"][node], tree["right"][node]
-    if left < 0:
-        return tree["value"][node]
-    f = tree["feature"][node]
-    if f in known:
-        return expected(tree, x, known, left if x[f] <= tree["cut"][node] else right)
-    a, b = tree["cover"][left], tree["cover"][right]
-    return (a * expected(tree, x, known, left) + b * expected(tree, x, known, right)) / (a + b)
-
-
-def shap_row(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shapley values of one row and the base value. Exact over the features that a tree uses (few, as trees are shallow)."""
-    from itertools import combinations
-    from math import factorial
-
-    out, base = np.zeros(len(x)), 0.0
+class _Path:
+    """The features on the way to a node, for many rows at once: of each, the share of rows that go this way when it is
+    unknown (zero), whether a row goes this way when it is known (one), and the weights of subsets of the path by size."""
+
+    def __init__(self, rows: int):
+        self.features, self.zero, self.one, self.weights = [], [], [], np.zeros((0, rows))
+
+    def extended(self, feature: int, zero: float, one: np.ndarray) -> _Path:
+        n, out = len(self.features), _Path(0)
+        out.features, out.zero, out.one = [*self.features, feature], [*self.zero, zero], [*self.one, one]
+        w = np.concatenate([self.weights, np.full((1, len(one)), 1.0 if n == 0 else 0.0)])
+        for i in range(n - 1, -1, -1):
+            w[i + 1] += one * w[i] * (i + 1) / (n + 1)
+            w[i] *= zero * (n - i) / (n + 1)
+        out.weights = w
+        return out
+
+    def without(self, k: int) -> np.ndarray:
+        """The weights as they would be had the k-th feature not been added."""
+        n, zero, one = len(self.features) - 1, self.zero[k], self.one[k]
+        known = one != 0
+        w, rest = self.weights[:-1].copy(), self.weights[-1].copy()
+        for j in range(n - 1, -1, -1):
+            was = self.weights[j]
+            w[j] = np.where(known, rest * (n + 1) / ((j + 1) * np.where(known, one, 1)), was * (n + 1) / (zero * (n - j)))
+            rest = was - w[j] * zero * (n - j) / (n + 1)
+        return w
+
+    def reduced(self, k: int) -> _Path:
+        out = _Path(0)
+        out.weights = self.without(k)
+        out.features, out.zero, out.one = (x[:k] + x[k + 1 :] for x in (self.features, self.zero, self.one))
+        return out
+
+
+def shap_rows(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shapley values of each row and the base value, by path-dependent TreeSHAP (Lundberg et al., 2018): each leaf is
+    visited once, with all rows; work grows with leaves times the square of depth."""
+    out, base = np.zeros(x.shape), 0.0
+
+    def visit(tree: dict, node: int, path: _Path, feature: int, zero: float, one: np.ndarray, share: float) -> float:
+        path = path.extended(feature, zero, one)
+        left, right = tree["left"][node], tree["right"][node]
+        if left < 0:
+            for k in range(1, len(path.features)):
+                out[:, path.features[k]] += path.without(k).sum(axis=0) * (path.one[k] - path.zero[k]) * tree["value"][node]
+            return share * tree["value"][node]
+        f, before_zero, before_one = int(tree["feature"][node]), 1.0, np.ones(len(x))
+        if f in path.features[1:]:  # met above already: both splits count as one
+            k = path.features.index(f, 1)
+            before_zero, before_one = path.zero[k], path.one[k]
+            path = path.reduced(k)
+        goes_left, total, mean = x[:, f] <= tree["cut"][node], tree["cover"][left] + tree["cover"][right], 0.0
+        for child, goes in ((left, goes_left), (right, ~goes_left)):
+            part = tree["cover"][child] / total
+            if part > 0:
+                mean += visit(tree, child, path, f, before_zero * part, before_one * goes, share * part)
+        return mean
+
     for tree in trees:
-        used = sorted({int(f) for f, l in zip(tree["feature"], tree["left"]) if l >= 0})
-        n = len(used)
-        worth = {frozenset(s): expected(tree, x, frozenset(s)) for k in range(n + 1) for s in combinations(used, k)}
-        base += worth[frozenset()]
-        for f in used:
-            for s, v in worth.items():
-                if f not in s:
-                    out[f] += factorial(len(s)) * factorial(n - len(s) - 1) / factorial(n) * (worth[s | {f}] - v)
+        base += visit(tree, 0, _Path(len(x)), -1, 1.0, np.ones(len(x)), 1.0)
     return out, base
 
 
@@ -63,11 +97,9 @@ def shap_tree(scored: DataFrame, key: str, features: str, trees: list[dict], nam
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k, x in zip(batch["k"], batch["x"]):
-                values, base = shap_row(shared.value, np.asarray(x, float))
-                out += [(k, n, float(v), base) for n, v in zip(names, values)]
-            yield pd.DataFrame(out, columns=[key, "feature", "contribution", "base"])
+            x = np.array(batch["x"].tolist(), float).reshape(len(batch), len(names))
+            values, base = shap_rows(shared.value, x)
+            yield pd.DataFrame({key: np.repeat(batch["k"].to_numpy(), len(names)), "feature": names * len(batch), "contribution": values.reshape(-1), "base": base})
 
     rows = scored.select(F.col(key).alias("k"), vector_to_array(features).alias("x"))
     return rows.mapInPandas(explain, f"{key} long, feature string, contribution double, base double")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import hash_order, rank_normalise
+from .evaluation import rank_normalise
+from .splits import hash_rank
 
 
 def label_filter(df: DataFrame, column: str, good: list[str], bad: list[str]) -> DataFrame:
@@ -23,13 +24,29 @@ def leakage_share(events: DataFrame, decisions: DataFrame, key: str, event_date:
     return events.join(decisions, key).agg(F.avg((F.col(event_date) >= F.col(decision_date)).cast("double")).alias("leakage_share"))
 
 
-def txn_rollup(df: DataFrame, client: str, amount: str, kind: str) -> DataFrame:
-    """One row for each account: count, moments, debits, credits and their ratio, in one grouping."""
-    a, debit = F.col(amount), F.col(kind).startswith("V")
-    return df.groupBy(client).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_amount"), F.stddev_samp(a).alias("std_amount"), F.max(a).alias("max_amount"),
-        F.coalesce(F.sum(F.when(debit, a)), F.lit(0.0)).alias("debits"), F.coalesce(F.sum(F.when(~debit, a)), F.lit(0.0)).alias("credits"),
-    ).withColumn("credit_ratio", F.try_divide("credits", "debits"))
+def txn_rollup(df: DataFrame, client: str, amount: str, kind: str, balance: str) -> DataFrame:
+    """One row for each account: count, moments of amounts and balances, debits, credits and their ratio, and the share of
+    rows with a negative balance, in one grouping."""
+    a, b, debit = F.col(amount), F.col(balance), F.col(kind).startswith("V")
+    sums = df.groupBy(client).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_amount"), F.stddev_samp(a).alias("std_amount"), F.max(a).alias("max_amount"), F.avg(b).alias("mean_balance"), F.min(b).alias("min_balance"), F.stddev_samp(b).alias("std_balance"),
+        F.sum(F.when(debit, a)).alias("debits"), F.sum(F.when(F.col(kind).startswith("P"), a)).alias("credits"), F.avg((b < 0).cast("double")).alias("negative_share"),
+    )
+    return sums.withColumn("credit_ratio", F.try_divide("credits", "debits"))
+
+
+def payment_to_balance(payment: Column, mean_balance: Column) -> Column:
+    return F.try_divide(payment, F.when(mean_balance != 0, mean_balance))
+
+
+def multi_left_join(base: DataFrame, sides: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Tables joined to a base one after another, each on the base's column that its tuple names (the side's own key has
+    the same name); a column that is there already gets the side's number as a suffix."""
+    for k, (side, key) in enumerate(sides, 1):
+        taken = {c.lower() for c in base.columns}
+        renamed = side.select(F.col(key).alias("_key"), *[F.col(c).alias(f"{c}_{k}" if c.lower() in taken else c) for c in side.columns if c != key])
+        base = base.join(renamed, F.col(key) == F.col("_key"), "left").drop("_key")
+    return base
 
 
 def bureau_rollup(parents: DataFrame, children: DataFrame, key: str, amount: str, overdue: str, active: Column) -> DataFrame:
@@ -62,11 +79,13 @@ def mean_of(columns: list[Column]) -> Column:
 
 def build_pool(df: DataFrame, corpus: str, key: str, columns: list[str], cap: int) -> DataFrame:
     """Corpora in one table: each capped in a repeatable random order, its columns rank-normalised within it."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(corpus).orderBy(hash_order(key), key))).where(F.col("_r") <= cap).drop("_r")
+    ranked = hash_rank(df, corpus, key).where(F.col("_rank") <= cap).drop("_rank", "_size")
     for c in columns:
         ranked = rank_normalise(ranked, c, corpus, f"{c}_rank")
     return ranked
 
 
 def corpus_summary(df: DataFrame, corpus: str, label: str) -> DataFrame:
-    return df.groupBy(corpus).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("default_rate"))
+    """Rows, width and default rate of each corpus."""
+    width = len([c for c in df.columns if c not in (corpus, label)])
+    return df.groupBy(corpus).agg(F.count(F.lit(1)).alias("n"), F.lit(width).alias("width"), F.avg(label).alias("default_rate"))

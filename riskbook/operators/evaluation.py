@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions import calibration_bin
 
+from .running import same, with_sums_before
+
 
 def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
     """Positives and rows of each distinct score: what follows works on scores, not rows."""
@@ -16,9 +18,7 @@ def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
 def auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """auc and gini; ties count a half; 0.5 where a class is missing."""
     keys = list(keys)
-    scores = by_score(df, keys)
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    ranked = with_sums_before(by_score(df, keys), keys, "p", {"before": "n"})
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     area = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
     return sums.select(*keys, F.coalesce(area, F.lit(0.5)).alias("auc")).withColumn("gini", 2 * F.col("auc") - 1)
@@ -27,9 +27,9 @@ def auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """The sum over falling thresholds of the recall gained times the precision; the base rate where there is no positive."""
     keys = list(keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("p"))
-    steps = by_score(df, keys).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("gained"), F.sum("pos").alias("pos"))
+    steps = with_sums_before(by_score(df, keys), keys, "p", {"tp": "pos", "seen": "n"}, falling=True)
+    precision = (F.col("tp") + F.col("pos")) / (F.col("seen") + F.col("n"))
+    sums = steps.groupBy(*keys).agg(F.sum(F.col("pos") * precision).alias("gained"), F.sum("pos").alias("pos"))
     return sums.select(*keys, F.coalesce(F.try_divide("gained", "pos"), F.lit(0.0)).alias("pr_auc"))
 
 
@@ -49,22 +49,33 @@ def ece(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def evaluate(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """All metrics of each segment."""
+    """All metrics of each segment; null is a segment too."""
     keys = list(keys)
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate"))
     for part in (auc(df, keys), average_precision(df, keys), brier(df, keys), ece(df, keys)):
-        base = base.join(part, keys) if keys else base.crossJoin(F.broadcast(part))  # one row each
+        if keys:
+            base = base.join(part, same(base, part, keys)).select(base["*"], *[part[c] for c in part.columns if c not in keys])
+        else:
+            base = base.crossJoin(F.broadcast(part))  # one row each
     return base
 
 
+def metrics_report(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """A row for each corpus that was expected: n, base rate, AUC, average precision and ECE, or status `failed` where it has
+    no scores. df: corpus, y, p; expected: corpus."""
+    got = evaluate(df, ["corpus"])
+    rows = expected.join(got, "corpus", "left")
+    return rows.select("corpus", F.coalesce("n", F.lit(0)).alias("n"), "base_rate", "auc", "pr_auc", "ece", F.when(F.col("n").isNull(), "failed").otherwise("ok").alias("status"))
+
+
 def rank_normalise(df: DataFrame, column: str, group: str, to: str) -> DataFrame:
     """A value's average-tie rank among the group's values by their number; null for groups of under ten values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy(group)
-    ranks = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(all_)})
-    ranks = ranks.select(group, column, F.when(F.col("_all") >= 10, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(to))
-    return df.join(ranks, [group, column], "left")
+    sizes = counts.groupBy(group).agg(F.sum("_n").alias("_all"))
+    ranks = with_sums_before(counts, [group], column, {"_before": "_n"})
+    ranks = ranks.join(sizes, same(ranks, sizes, [group])).select(ranks["*"], "_all")
+    ranks = ranks.select(F.col(group).alias("_g"), F.col(column).alias("_v"), F.when(F.col("_all") >= 10, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(to))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_v")), "left").drop("_g", "_v")
 
 
 def round_all(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:

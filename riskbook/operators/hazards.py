@@ -6,13 +6,26 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import filled
+
 
 def term_fill(df: DataFrame, column: str, order: str, group: str) -> DataFrame:
-    """Missing values taken from the row before, else from the row after, in an explicit order within a group."""
-    w = Window.partitionBy(group).orderBy(order)
-    back = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(back, ahead))
+    """Missing values taken from the row before, else from the row after, in an explicit order within a group. Groups go over
+    ranges of the order, so that none meets in one task."""
+    return filled(df, column, order, [group])
+
+
+def cox_columns(df: DataFrame, duration: str, columns: list[str], most: int = 10) -> tuple[DataFrame, list[str]]:
+    """df prepared for cox_fit: the duration with nulls as its median and 0.1 at least, and the `most` columns of highest
+    sample variance, nulls as their medians, standardised as z_<column>. A column without variance becomes 0."""
+    facts = df.agg(F.median(duration).alias("d"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("median", F.median), ("variance", F.var_samp))]).first()
+    chosen = sorted((c for c in columns if facts[f"variance_{c}"] is not None), key=lambda c: (-facts[f"variance_{c}"], c))[:most]
+    full = df.withColumns({duration: F.greatest(F.lit(0.1), F.coalesce(F.col(duration).cast("double"), F.lit(float(facts["d"] or 0.0)))), **{f"z_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"median_{c}"]))) for c in chosen}})
+    if not chosen:
+        return full, []
+    stats = full.agg(*[f(f"z_{c}").alias(f"{name}_{c}") for c in chosen for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()
+    z = {f"z_{c}": (F.col(f"z_{c}") - stats[f"mean_{c}"]) / (stats[f"sd_{c}"] or 1.0) for c in chosen}
+    return full.withColumns(z), list(z)
 
 
 def cox_fit(df: DataFrame, duration: str, event: str, columns: list[str], ridge: float = 0.5, steps: int = 8) -> np.ndarray:
@@ -56,9 +69,16 @@ def cumulative_hazard(df: DataFrame, duration: str, event: str, score: str | Non
 
 
 def hazard_shape(hazard: DataFrame) -> DataFrame:
-    """One row, shape: of months 1 to 12 the share of the year's default probability that has come."""
+    """One row, shape: of months 1 to 12 the share of the year's default probability that has come; null where that is none.
+
+    Between two months of the table the hazard is interpolated; before the first and after the last it is theirs.
+    """
     months = hazard.sparkSession.range(1, 13).withColumnRenamed("id", "m")
-    at = months.crossJoin(F.broadcast(hazard)).where("month <= m").groupBy("m").agg(F.max_by("hazard", "month").alias("h"))  # 12 by months
-    p = months.join(at, "m", "left").select("m", (1 - F.exp(-F.coalesce("h", F.lit(0.0)))).alias("p"))
+    below, above = F.when(F.col("month") <= F.col("m"), F.struct("month", "hazard")), F.when(F.col("month") >= F.col("m"), F.struct("month", "hazard"))
+    near = months.crossJoin(F.broadcast(hazard)).groupBy("m").agg(F.max(below).alias("a"), F.min(above).alias("b"))  # 12 by months
+    share = F.try_divide(F.col("m") - F.col("a.month"), F.col("b.month") - F.col("a.month"))
+    h = F.when(F.col("a").isNull(), F.col("b.hazard")).when(F.col("b").isNull(), F.col("a.hazard")).otherwise(F.col("a.hazard") + F.coalesce(share, F.lit(0.0)) * (F.col("b.hazard") - F.col("a.hazard")))
+    p = near.select("m", (1 - F.exp(-h)).alias("p"))
     array = p.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "p"))), lambda x: x["p"]).alias("a"))
-    return array.select(F.when(F.element_at("a", 12) > 1e-9, F.transform("a", lambda v: F.least(F.lit(1.0), v / F.element_at("a", 12)))).alias("shape"))
+    running = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.array_max(F.slice("a", F.lit(1), k)))
+    return array.select(F.when(F.element_at("a", 12) > 1e-9, F.transform(running, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.element_at("a", 12))))).alias("shape"))

@@ -40,14 +40,52 @@ def as_object(text: str) -> str | None:
     return json.dumps(found) if isinstance(found, dict) else None
 
 
+CLOSER = {"{": "}", "[": "]"}
+
+
 def repair(text: str) -> str | None:
-    """Commas before a closer go, single quotes become double, missing closers are added."""
-    for candidate in (text, text.replace("'", '"')):
-        closed = candidate + "]" * (candidate.count("[") - candidate.count("]")) + "}" * (candidate.count("{") - candidate.count("}"))
-        found = as_object(re.sub(r",\s*([}\]])", r"\1", closed))
-        if found:
-            return found
-    return None
+    """The object that a text means: commas before a closer go, single quotes become double, what is open at the end is
+    closed in the order it was opened. None if that is no object either."""
+    out: list[str] = []
+    stack: list[str] = []
+
+    def close(upto: str | None) -> None:
+        while stack:
+            while out and (out[-1].isspace() or out[-1] == ","):
+                out.pop()
+            if out and out[-1] == ":":
+                out.append("null")
+            out.append(CLOSER[opened := stack.pop()])
+            if CLOSER[opened] == upto:
+                return
+
+    at = 0
+    while at < len(text):
+        c = text[at]
+        at += 1
+        if c in "\"'":
+            inside = []
+            while at < len(text) and text[at] != c:
+                if text[at] == "\\" and at + 1 < len(text):
+                    inside.append("'" if text[at + 1] == "'" else text[at : at + 2])
+                    at += 2
+                    continue
+                inside.append('\\"' if text[at] == '"' else "\\n" if text[at] == "\n" else text[at])
+                at += 1
+            at += 1
+            out.append(f'"{"".join(inside)}"')
+        elif c in CLOSER:
+            stack.append(c)
+            out.append(c)
+        elif c in "}]":
+            if c in (CLOSER[x] for x in stack):
+                close(c)
+        else:
+            out.append(c)
+        if not stack and out and out[-1] in ("}", "]"):
+            break
+    close(None)
+    return as_object("".join(out))
 
 
 RECOVERED = T.StructType([T.StructField("layer", T.IntegerType()), T.StructField("value", T.StringType())])

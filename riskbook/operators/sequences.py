@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskbook.functions import clean_numeric
+
+from .running import with_sums_before
+
 from riskbook.functions import gap_bucket
 
 
@@ -100,14 +104,44 @@ def pad_mask(codes: Column, length: int = 128) -> tuple[Column, Column]:
 
 
 def contrastive_loss(pairs: DataFrame, batch: str, side: str, pair: str, vector: str, temperature: float = 0.1) -> DataFrame:
-    """Per batch: the mean over its vectors of -log softmax of the matching view's similarity, itself left out.
+    """Per batch: the mean over its vectors, brought to unit length, of -log softmax of the matching view's similarity,
+    itself left out.
 
     Batches are of fixed small size, so the join within a batch is bounded by that size.
     """
-    a = pairs.select(F.col(batch).alias("b"), F.col(pair).alias("i"), F.col(side).alias("s"), F.col(vector).alias("u"))
-    z = pairs.select(F.col(batch).alias("b"), F.col(pair).alias("j"), F.col(side).alias("t"), F.col(vector).alias("v"))
-    both = a.join(z, "b").where((F.col("i") != F.col("j")) | (F.col("s") != F.col("t")))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    both = both.withColumn("sim", dot / temperature)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    doubles = F.col(vector).cast("array<double>")
+    norm = F.greatest(F.sqrt(dot(doubles, doubles)), F.lit(1e-12))
+    units = pairs.select(F.col(batch).alias("b"), F.col(pair).alias("i"), F.col(side).alias("s"), doubles.alias("d"), norm.alias("n"))
+    units = units.select("b", "i", "s", F.transform("d", lambda x: x / F.col("n")).alias("u"))
+    other = units.select("b", F.col("i").alias("j"), F.col("s").alias("t"), F.col("u").alias("v"))
+    both = units.join(other, "b").where((F.col("i") != F.col("j")) | (F.col("s") != F.col("t")))
+    both = both.withColumn("sim", dot(F.col("u"), F.col("v")) / temperature)
     rows = both.groupBy("b", "i", "s").agg(F.log(F.sum(F.exp("sim"))).alias("all"), F.max(F.when(F.col("i") == F.col("j"), F.col("sim"))).alias("own"))
     return rows.groupBy(F.col("b").alias("batch")).agg(F.avg(F.col("all") - F.col("own")).alias("loss"))
+
+
+def numbered(df: DataFrame, key: str, to: str) -> DataFrame:
+    """df with the place (from 0) of each row in the order of a key that tells rows apart, without one task for all."""
+    return with_sums_before(df.withColumn("_one", F.lit(1)), [], key, {to: "_one"}).drop("_one")
+
+
+def event_dates(df: DataFrame, year: str, month: str, day: str, amount: str, origin: str = "1970-01-01") -> DataFrame:
+    """df with day_no, the days from a fixed date on, and the amount as a number (from currency text); rows without an amount
+    go, a date that isn't one is null."""
+    made = F.try_make_timestamp(F.col(year), F.col(month), F.col(day), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    out = df.withColumns({"day_no": F.datediff(made, F.lit(origin).cast("date")), amount: clean_numeric(F.col(amount))})
+    return out.where(F.col(amount).isNotNull())
+
+
+def client_key(prefix: str, column: Column, length: int = 16) -> Column:
+    """A corpus's key for a client: its prefix and the first characters of the client's name."""
+    return F.concat(F.lit(prefix), F.substring(column.cast("string"), 1, length))
+
+
+def attach_embeddings(loans: DataFrame, vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """The loans that have a vector, with it (of several, the smallest), and one row of how many matched."""
+    one = vectors.groupBy(key).agg(F.min(vector).alias(vector))
+    joined = loans.join(one, key, "left").withColumn("_matched", F.col(vector).isNotNull())
+    report = joined.agg(F.count(F.lit(1)).alias("n_loans"), F.count_if("_matched").alias("n_matched"))
+    return joined.where("_matched").drop("_matched"), report

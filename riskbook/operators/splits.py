@@ -1,4 +1,4 @@
-"""Repeatable stratified splits and samples. Ranks run within (label, salt), so no class meets in one task."""
+"""Repeatable stratified splits and samples. Ranks run within (label, range of hashes), so no class meets in one task."""
 
 from __future__ import annotations
 
@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from .evaluation import hash_order
 
-PARTS = 64
-
 
 def hash_rank(df: DataFrame, by: str, key: str) -> DataFrame:
     """df with _rank, the row's place (from 1) in its class in the order of a hash, and _size, the size of the class.
 
-    The hash's leading digits deal a class over PARTS ranges; ranks within a range follow the sizes of the ranges before.
+    The hash's leading digits deal a class over 256 ranges; ranks within a range follow the sizes of the ranges before. Null
+    is a class too.
     """
     h = hash_order(key)
     df = df.withColumns({"_h": h, "_part": F.conv(F.substring(h, 1, 2), 16, 10).cast("int")})
@@ -21,7 +20,9 @@ def hash_rank(df: DataFrame, by: str, key: str) -> DataFrame:
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_size": F.sum("_n").over(Window.partitionBy(by))}).drop("_n")
     inside = F.row_number().over(Window.partitionBy(by, "_part").orderBy("_h", key))
-    return df.withColumn("_r", inside).join(F.broadcast(sizes), [by, "_part"]).withColumn("_rank", F.col("_before") + F.col("_r")).drop("_h", "_part", "_r", "_before")  # 256 rows a class
+    sizes = sizes.withColumnsRenamed({by: "_by", "_part": "_p"})
+    ranked = df.withColumn("_r", inside).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))  # 256 rows a class
+    return ranked.withColumn("_rank", F.col("_before") + F.col("_r")).drop("_h", "_part", "_r", "_before", "_by", "_p")
 
 
 def three_way_split(df: DataFrame, label: str, key: str, cuts: tuple[float, float] = (0.60, 0.75)) -> DataFrame:
@@ -31,12 +32,16 @@ def three_way_split(df: DataFrame, label: str, key: str, cuts: tuple[float, floa
 
 
 def split_for(df: DataFrame, label: str, key: str) -> DataFrame:
-    """The three-way split; for tables of under 400 rows or 40 positives, 75/25 with the calibration fold as test."""
+    """The three-way split; for tables of under 400 rows or 40 positives, 75/25 with the calibration fold as test too.
+
+    Column `evaluated` marks the rows that metrics are taken on.
+    """
     small = df.agg(((F.count(F.lit(1)) < 400) | (F.coalesce(F.sum(label), F.lit(0)) < 40)).alias("_small"))
     share = F.col("_rank") / F.col("_size")
     ranked = hash_rank(df, label, key).crossJoin(F.broadcast(small))
     fold = F.when(F.col("_small"), F.when(share <= 0.75, "fit").otherwise("cal")).when(share <= 0.60, "fit").when(share <= 0.75, "cal").otherwise("test")
-    return ranked.withColumn("fold", fold).drop("_rank", "_size", "_small")
+    evaluated = F.col("fold") == F.when(F.col("_small"), "cal").otherwise("test")
+    return ranked.withColumn("fold", fold).withColumn("evaluated", evaluated).drop("_rank", "_size", "_small")
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, cap: int) -> DataFrame:

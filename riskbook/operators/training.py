@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluation, splits
+from .staging import staged
 
 LOW, HIGH = 1e-4, 1 - 1e-4
 MEMBERS = ("gbt", "forest", "logistic")
@@ -47,8 +48,9 @@ def clip(p: Column) -> Column:
 def with_members(model: PipelineModel, df: DataFrame, members: tuple[str, ...]) -> DataFrame:
     """df with a probability p_<member> for each member and their mean p_raw."""
     out = model.transform(df)
+    kept = [c for c in df.columns if c != "features"]
     out = out.withColumns({f"p_{m}": vector_to_array(f"{m}_prob")[1] for m in members})
-    return out.withColumn("p_raw", sum((F.col(f"p_{m}") for m in members), F.lit(0.0)) / len(members)).select(*df.columns, *[f"p_{m}" for m in members], "p_raw", "features")
+    return out.withColumn("p_raw", sum((F.col(f"p_{m}") for m in members), F.lit(0.0)) / len(members)).select(*kept, *[f"p_{m}" for m in members], "p_raw", "features")
 
 
 class Bundle:
@@ -60,7 +62,7 @@ class Bundle:
     def score(self, df: DataFrame) -> DataFrame:
         """df with p_<member>, p_raw and the calibrated p, all distributed."""
         if self.constant is not None:
-            return df.withColumns({"p_raw": F.lit(self.constant), "p": F.lit(self.constant)})
+            return df.withColumns({"p_raw": F.lit(self.constant), "p": clip(F.lit(self.constant))})
         out = with_members(self.model, df, self.members)
         calibrated = self.calibrator.transform(out.withColumn("_iso", F.col("p_raw")))
         return calibrated.withColumn("p", clip(F.col("calibrated"))).drop("_iso", "calibrated", "features")
@@ -77,21 +79,31 @@ class Bundle:
 
 
 def fit(df: DataFrame, label: str, key: str, numeric: list[str], categorical: list[str], members: tuple[str, ...] = MEMBERS, trees: int = 15, depth: int = 4) -> tuple[Bundle, DataFrame]:
-    """Fits members on the fit fold and calibration on the calibration fold; returns the bundle and df with its fold.
+    """Fits members on the fit fold and calibration on the calibration fold; returns the bundle and df with its fold, and
+    `evaluated` for the rows that metrics are taken on (the calibration fold of a small table).
 
-    With one class only, the bundle gives the base rate.
+    The folds and the assembled features are written once; every member reads these. With one class only, the bundle gives
+    the base rate.
     """
-    folded = splits.split_for(df.where(F.col(label).isNotNull()), label, key)
+    folded = staged(splits.split_for(staged(df.where(F.col(label).isNotNull())), label, key))
     rate = folded.agg(F.avg(label).alias("rate")).first()["rate"]
     if rate is None or rate in (0.0, 1.0):
         return Bundle(None, None, members, float(rate or 0.0)), folded
-    train = weighted(folded.where("fold = 'fit'"), label)
-    model = Pipeline(stages=[*feature_stages(numeric, categorical), *[member(m, label, trees, depth) for m in members]]).fit(train)
-    cal = with_members(model, folded.where("fold = 'cal'"), members).withColumn("_iso", F.col("p_raw"))
-    calibrator = IsotonicRegression(featuresCol="_iso", labelCol=label, predictionCol="calibrated").fit(cal.withColumn(label, F.col(label).cast("double")))
+    features = Pipeline(stages=feature_stages(numeric, categorical)).fit(folded.where("fold = 'fit'"))
+    ready = staged(features.transform(folded.where("fold <> 'test'")).select(F.col(label).cast("double").alias(label), "fold", "features"))
+    train = weighted(ready.where("fold = 'fit'"), label).drop("fold")
+    fitted = [member(m, label, trees, depth).fit(train) for m in members]
+    model = PipelineModel(stages=[features, *fitted])
+    cal = with_members(PipelineModel(stages=fitted), ready.where("fold = 'cal'"), members).withColumn("_iso", F.col("p_raw"))
+    calibrator = IsotonicRegression(featuresCol="_iso", labelCol=label, predictionCol="calibrated").fit(cal.select("_iso", label))
     return Bundle(model, calibrator, members), folded
 
 
+def degenerate_metrics(rate: float) -> dict[str, float]:
+    """What the metrics are where there is one class only."""
+    return {"auc": 0.5, "gini": 0.0, "pr_auc": rate, "brier": rate * (1 - rate), "ece": 0.0}
+
+
 def metrics_by_variant(scored: DataFrame, label: str, variants: list[str]) -> DataFrame:
     """All metrics of each score column, as rows."""
     cells = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("p")) for v in variants])
@@ -99,16 +111,14 @@ def metrics_by_variant(scored: DataFrame, label: str, variants: list[str]) -> Da
     return evaluation.round_all(evaluation.evaluate(long, ["variant"]), ["base_rate", "auc", "gini", "pr_auc", "brier", "ece"], 5)
 
 
-def leave_one_out(df: DataFrame, corpus: str, label: str, key: str, numeric: list[str], least: int = 50) -> DataFrame:
+def leave_one_out(df: DataFrame, corpus: str, label: str, key: str, numeric: list[str], least: int = 50, members: tuple[str, ...] = MEMBERS, trees: int = 10) -> DataFrame:
     """Each corpus scored by a model of all others; corpora of one class or few rows are left out."""
+    df = staged(df.select(corpus, label, key, *numeric))
     sizes = df.groupBy(corpus).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).where(f"n >= {least} AND classes = 2")
-    parts = []
+    out = df.sparkSession.createDataFrame([], "held_out string, y double, p double")
     for name in sorted(r[corpus] for r in sizes.collect()):  # one model a corpus
-        bundle, _ = fit(df.where(F.col(corpus) != name), label, key, numeric, [], ("logistic",))
-        parts.append(bundle.score(df.where(F.col(corpus) == name)).select(F.col(corpus).alias("held_out"), F.col(label).alias("y"), "p"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        bundle, _ = fit(df.where(~F.col(corpus).eqNullSafe(F.lit(name))), label, key, numeric, [], members, trees)
+        out = out.unionByName(bundle.score(df.where(F.col(corpus) == name)).select(F.col(corpus).cast("string").alias("held_out"), F.col(label).cast("double").alias("y"), F.col("p").cast("double").alias("p")))
     return evaluation.round_all(evaluation.auc(out, ["held_out"]), ["auc", "gini"], 5)
 
 
@@ -122,21 +132,28 @@ def linear_probe(df: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     return evaluation.round_all(evaluation.auc(test), ["auc", "gini"], 5)
 
 
-def embed_sequences(store: DataFrame, client: str, size: int = 32) -> DataFrame:
-    """A unit vector for each client from its events' tokens (mean-pooled Word2Vec)."""
+def embed_sequences(store: DataFrame, client: str, size: int = 32, tasks: int | None = None) -> DataFrame:
+    """A unit vector for each client with an event, from its events' tokens (mean-pooled Word2Vec, fitted by `tasks` tasks: by
+    default one for each 200,000 clients)."""
     word = lambda e: F.concat_ws("_", e["amt"].cast("string"), e["channel"].cast("string"), e["dt_bucket"].cast("string"))
     words = store.select(client, F.transform("events", word).alias("words"))
-    w2v = Word2Vec(vectorSize=size, minCount=1, numPartitions=1, maxIter=1, seed=7, inputCol="words", outputCol="v")
+    words = staged(words)
+    tasks = tasks or max(1, words.count() // 200_000)
+    w2v = Word2Vec(vectorSize=size, minCount=1, numPartitions=tasks, maxIter=1, seed=7, inputCol="words", outputCol="v")
     model = Pipeline(stages=[w2v, Normalizer(inputCol="v", outputCol="unit")]).fit(words)
     return model.transform(words).select(client, vector_to_array("unit").alias("embedding"))
 
 
-def ablation(df: DataFrame, label: str, key: str, tabular: list[str], sequence: list[str]) -> DataFrame:
-    """AUC on the test fold of tabular, sequence and both sets of columns, and the lift of both over tabular."""
-    parts = []
-    for name, columns in (("tabular", tabular), ("sequence", sequence), ("both", tabular + sequence)):
-        bundle, folded = fit(df, label, key, columns, [], ("logistic",))
-        parts.append(bundle.score(folded.where("fold = 'test'")).select(F.lit(name).alias("variant"), F.col(label).alias("y"), "p"))
-    both = evaluation.auc(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["variant"])
+def ablation(df: DataFrame, label: str, key: str, tabular: list[str], sequence: list[str], least: int = 100, members: tuple[str, ...] = ("gbt",), trees: int = 10) -> DataFrame:
+    """Metrics on the evaluated rows of tabular, sequence and both sets of columns, and the lift in AUC of both over tabular;
+    no row with under `least` rows."""
+    df = staged(df.select(key, label, *tabular, *sequence))
+    out = df.sparkSession.createDataFrame([], "variant string, y double, p double")
+    if df.count() >= least:
+        for name, columns in (("tabular", tabular), ("sequence", sequence), ("both", tabular + sequence)):
+            bundle, folded = fit(df, label, key, columns, [], members, trees)
+            out = out.unionByName(bundle.score(folded.where("evaluated")).select(F.lit(name).alias("variant"), F.col(label).cast("double").alias("y"), F.col("p").cast("double").alias("p")))
+    both = evaluation.evaluate(staged(out), ["variant"])
     base = both.where("variant = 'tabular'").select(F.col("auc").alias("_base"))
-    return evaluation.round_all(both.crossJoin(F.broadcast(base)).withColumn("lift", F.col("auc") - F.col("_base")).drop("_base"), ["auc", "gini", "lift"], 5)
+    lifted = both.crossJoin(F.broadcast(base)).withColumn("lift", F.col("auc") - F.col("_base")).drop("_base")
+    return evaluation.round_all(lifted, ["base_rate", "auc", "gini", "pr_auc", "brier", "ece", "lift"], 5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskbook import catalog as C
+
 
 def combine_verdict(structural: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Structural findings and a judge's: faithful if both say so; blank claims don't count; without a verdict the structure
@@ -35,12 +37,16 @@ def ground_action(records: DataFrame, recourse: DataFrame) -> DataFrame:
 
 
 def action_text(lever: Column, step: Column, changed: Column) -> Column:
-    """What a lever's step asks for, in words."""
-    percent = F.format_string("%d%%", F.round(step * 100).cast("int"))
-    return (
-        F.when(lever == "term_months", F.format_string("Extend tenure by %d months (to %d)", step.cast("int"), changed.cast("int")))
-        .when(lever == "collateral_value", F.concat(F.lit("Add collateral by "), percent))
-        .when(lever == "income_or_turnover", F.concat(F.lit("Add a working-capital line / lift turnover raising serviceable cashflow ~"), percent))
-        .when(lever == "interest_rate", F.concat(F.lit("Restructure rate down "), step.cast("string"), F.lit(" pts")))
-        .otherwise("Monitor")
-    )
+    """What a lever's step asks for, in the catalog's words."""
+    whole = F.when(step == F.floor(step), step.cast("int").cast("string")).otherwise(step.cast("string"))
+    text = F.lit("Monitor")
+    for name, words in C.ACTIONS.items():
+        step_text = step.cast("string") if name == "interest_rate" else whole
+        filled = F.replace(F.replace(F.replace(F.lit(words), F.lit("{step}"), step_text), F.lit("{value}"), changed.cast("int").cast("string")), F.lit("{percent}"), F.round(step * 100).cast("int").cast("string"))
+        text = F.when(lever == name, filled).otherwise(text)
+    return text
+
+
+def action_rationale(before: Column, after: Column) -> Column:
+    """How far an action brings the probability of default down, in words."""
+    return F.format_string("Brings the probability of default from %.0f%% to %.0f%%", before * 100, after * 100)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import clean_numeric, format_value, onset_month, risk_band, text_distress, weibull_curve
-from riskbook.operators import cleaning, corpora, evaluation, portfolio, records, splits
+from riskbook.operators import cleaning, corpora, evaluation, portfolio, prior, records, splits
 from riskbook.operators.evaluation import round_all
 from riskbook.plans.fixtures import DIRTY_BOOK, LOAN_BOOK, dirty_book, loan_book, table
 
@@ -193,7 +193,7 @@ def build_pool(spark, d):
     return round_all(corpora.build_pool(loan_book(spark, d), "sector", "loan_id", ["credit_score"], 200).select("loan_id", "sector", "credit_score_rank"), ["credit_score_rank"])
 
 
-@query(BOOK + "SELECT sector, count(*) AS n, round(avg(label), 6) AS default_rate FROM loan_book GROUP BY 1")
+@query(BOOK + "SELECT sector, count(*) AS n, 14 AS width, round(avg(label), 6) AS default_rate FROM loan_book GROUP BY 1")
 def corpus_summary(spark, d):
     return round_all(corpora.corpus_summary(loan_book(spark, d), "sector", "label"), ["default_rate"])
 
@@ -376,20 +376,17 @@ def loan_lookup(spark, d):
 
 # ---- the pooled vocabulary ---------------------------------------------------------------------------------------------
 
+POOL_MAP = {"loan_amount": "loan_amount", "term_months": "term_months", "interest_rate": "interest_rate", "income_or_turnover": "income_or_turnover", "credit_score": "credit_score", "sector": "sector", "prior_delinquencies": "prior_delinquencies", "employment_length": "no_such_column", "text_purpose": None}
 
-@query(BOOK + """, m AS (SELECT max(credit_score) > 1.5 AS big FROM loan_book) SELECT loan_id, round(CASE WHEN big THEN least(1, greatest(0, credit_score / 900)) ELSE least(1, greatest(0, credit_score)) END, 6) AS bureau_score,
-  round(loan_amount / nullif(income_or_turnover, 0), 6) AS amount_to_income, round(loan_amount / nullif(term_months, 0), 6) AS amount_per_month FROM loan_book, m""")
+
+@query(BOOK + """, m AS (SELECT max(credit_score) > 1.5 AS big FROM loan_book) SELECT loan_id, loan_amount AS can_loan_amount, CAST(term_months AS DOUBLE) AS can_term_months, interest_rate AS can_interest_rate, income_or_turnover AS can_income,
+  CAST(NULL AS DOUBLE) AS can_dti, round(least(1, greatest(0, CASE WHEN big THEN credit_score / 900 ELSE credit_score END)), 6) AS can_credit_score_n, CAST(NULL AS DOUBLE) AS can_age, CAST(NULL AS DOUBLE) AS can_emp_length, CAST(prior_delinquencies AS DOUBLE) AS can_delinq_count,
+  CAST(NULL AS DOUBLE) AS can_open_accounts, CAST(NULL AS DOUBLE) AS can_utilization, CAST(NULL AS DOUBLE) AS can_n_employees, round(loan_amount / nullif(income_or_turnover, 0), 6) AS can_loan_to_income, round(loan_amount / nullif(term_months, 0), 6) AS can_installment, sector AS can_sector FROM loan_book, m""")
 def to_canonical(spark, d):
-    book = loan_book(spark, d)
-    scale = book.agg((F.max("credit_score") > 1.5).alias("big"))
-    score = F.when(F.col("big"), F.col("credit_score") / 900).otherwise(F.col("credit_score"))
-    return book.crossJoin(F.broadcast(scale)).select("loan_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("bureau_score"), F.round(F.try_divide("loan_amount", "income_or_turnover"), 6).alias("amount_to_income"), F.round(F.try_divide("loan_amount", "term_months"), 6).alias("amount_per_month"))
+    x = prior.to_canonical(loan_book(spark, d), POOL_MAP).select("loan_id", *C.POOLED)
+    return evaluation.round_all(x, ["can_credit_score_n", "can_loan_to_income", "can_installment"])
 
 
-@query(BOOK + "SELECT round((CAST(max(loan_amount) IS NOT NULL AS INT) + CAST(max(collateral_value) IS NOT NULL AS INT) + 0) / 3, 6) AS coverage FROM loan_book")
+@query(BOOK + "SELECT round((" + " + ".join(f"CAST(count({c}) > 0 AS INT)" for c in ("loan_amount", "term_months", "interest_rate", "income_or_turnover", "credit_score", "prior_delinquencies", "sector")) + " + CAST(count(loan_amount / nullif(income_or_turnover, 0)) > 0 AS INT) + CAST(count(loan_amount / nullif(term_months, 0)) > 0 AS INT)) / 15, 6) AS coverage FROM loan_book")
 def coverage(spark, d):
-    book = loan_book(spark, d).withColumn("dscr", F.lit(None).cast("double"))
-    parts = [F.max(F.col(c).isNotNull().cast("int")) for c in ("loan_amount", "collateral_value", "dscr")]
-    return book.agg(F.round((parts[0] + parts[1] + parts[2]) / 3, 6).alias("coverage"))
-
-
+    return prior.coverage(loan_book(spark, d), POOL_MAP).select(F.round("coverage", 6).alias("coverage"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskbook import catalog as C
-from riskbook.operators import evaluation, hazards, json_recovery, sequences, training
+from riskbook.operators import evaluation, features, hazards, json_recovery, sequences, training
 from riskbook.plans.fixtures import LOAN_BOOK, fixed_score, loan_book, table
+from riskbook.plans.q_book import SQL as BOOK_SQL
 from riskbook.plans.q_sequences import tokens
 from riskbook.plans.q_tables import scratch
 from riskbook.streaming.score import decide, score_stream as run_stream
@@ -14,6 +15,7 @@ from riskbook.streaming.score import decide, score_stream as run_stream
 QUERIES: dict = {}
 SQL: dict = {}
 BOOK = "WITH " + LOAN_BOOK + "\n"
+FEATURE_MAP = {"loan_id": "loan_id", "loan_amount": "loan_amount", "credit_score": "credit_score", "collateral_value": "collateral_value", "sector": "sector", "region": "region", "community": "community", "target": "label"}
 NUMERIC = ["loan_amount", "term_months", "interest_rate", "income_or_turnover", "credit_score", "prior_delinquencies", "collateral_value"]
 
 
@@ -33,28 +35,35 @@ def numbers(spark, d):
 
 @query()
 def fit_booster(spark, d):
-    """Test-fold metrics of a boosted model."""
-    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], ("gbt",), trees=10)
-    return training.metrics_by_variant(bundle.score(folded.where("fold = 'test'")), "label", ["p"])
+    """Metrics of a boosted model on rows that it was not fitted on."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, ["sector"], ("gbt",), trees=10)
+    return training.metrics_by_variant(bundle.score(folded.where("evaluated")), "label", ["p"])
 
 
 @query()
 def train_and_score(spark, d):
-    """Every loan scored by a calibrated ensemble."""
-    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, ["sector"], ("forest", "logistic"), trees=10)
-    return bundle.score(folded).select("loan_id", "fold", "p_forest", "p_logistic", "p_raw", "p")
+    """Every loan scored by a calibrated ensemble of boosted trees, a forest and a logistic model."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, ["sector"], trees=10)
+    return bundle.score(folded).select("loan_id", "fold", "evaluated", "label", *[f"p_{m}" for m in training.MEMBERS], "p_raw", "p")
+
+
+@query()
+def train_and_score_metrics(spark, d):
+    """The metrics of train_and_score, on the evaluated rows."""
+    return training.metrics_by_variant(train_and_score(spark, d).where("evaluated"), "label", ["p_raw", "p"])
 
 
 @query()
 def calibration_compare(spark, d):
-    """Test-fold metrics of each member, of their mean, and of the calibrated mean."""
-    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], ("forest", "logistic"), trees=10)
-    return training.metrics_by_variant(bundle.score(folded.where("fold = 'test'")), "label", ["p_forest", "p_logistic", "p_raw", "p"])
+    """Metrics of each member, of their mean, and of the calibrated mean, with the sizes of the folds."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, ["sector"], trees=10)
+    sizes = folded.agg(*[F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in ("fit", "cal", "test")])
+    return training.metrics_by_variant(bundle.score(folded.where("evaluated")), "label", [*[f"p_{m}" for m in training.MEMBERS], "p_raw", "p"]).crossJoin(F.broadcast(sizes))
 
 
 @query()
 def leave_one_out(spark, d):
-    return training.leave_one_out(numbers(spark, d), "sector", "label", "loan_id", ["credit_score", "prior_delinquencies"])
+    return training.leave_one_out(numbers(spark, d), "sector", "label", "loan_id", NUMERIC, members=("gbt",), trees=5)
 
 
 @query()
@@ -65,20 +74,33 @@ def linear_probe(spark, d):
 
 @query()
 def embed_sequences(spark, d):
-    return training.embed_sequences(sequences.sequence_store(tokens(spark, d), "client_id", ["day", "event_id"]), "client_id")
+    return training.embed_sequences(sequences.sequence_store(tokens(spark, d), "client_id", ["day", "event_id"], least=1), "client_id")
 
 
 @query()
 def ablation(spark, d):
-    """Loans of customers with a history: does it add to the loan's own columns?"""
-    vectors = embed_sequences(spark, d).select(F.substring("client_id", 2, 20).cast("bigint").alias("loan_id"), *[F.col("embedding")[i].alias(f"seq_{i}") for i in range(4)])
-    return training.ablation(numbers(spark, d).join(vectors, "loan_id"), "label", "loan_id", ["credit_score", "prior_delinquencies"], [f"seq_{i}" for i in range(4)])
+    """Loans of customers with a history: does it add to the loan's own columns? All numbers of the vectors take part."""
+    vectors = embed_sequences(spark, d)
+    names = [f"seq_{i}" for i in range(32)]
+    vectors = vectors.select(F.substring("client_id", 2, 20).cast("bigint").alias("c_custkey"), *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    owner = table(spark, d, "orders").select(F.col("o_orderkey").alias("loan_id"), F.col("o_custkey").alias("c_custkey"))
+    book = numbers(spark, d).join(owner, "loan_id").join(vectors, "c_custkey")
+    return training.ablation(book, "label", "loan_id", NUMERIC, names)
+
+
+_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(BOOK + ", m AS (SELECT median(collateral_value) AS c FROM loan_book WHERE loan_id % 2 = 1) SELECT loan_id, loan_amount, CAST(credit_score AS DOUBLE) AS credit_score, coalesce(collateral_value, c) AS collateral_value, " + ", ".join(f"CAST(sector = '{v}' AS DOUBLE) AS sector_{v}" for v in _LEVELS) + ", 0.0::DOUBLE AS sector___OTHER__ FROM loan_book, m WHERE loan_id % 2 = 0")
+def build_features(spark, d):
+    """The feature matrix of loans of even id, by what was learned on those of odd id."""
+    book = loan_book(spark, d).drop("p", "u")
+    state = features.fit_features(book.where("loan_id % 2 = 1"), FEATURE_MAP, "loan_id")
+    return features.FeatureState.from_json(state.to_json()).transform(book.where("loan_id % 2 = 0"))
 
 
 def durations(spark, d):
-    x = loan_book(spark, d).select("loan_id", F.col("label").alias("event"), (1 + F.col("loan_id") % 36).cast("double").alias("months"), "credit_score", "prior_delinquencies")
-    stats = x.agg(F.avg("credit_score").alias("m"), F.stddev_samp("credit_score").alias("s"), F.avg("prior_delinquencies").alias("m2"), F.stddev_samp("prior_delinquencies").alias("s2"))
-    return x.crossJoin(F.broadcast(stats)).select("loan_id", "event", "months", ((F.col("credit_score") - F.col("m")) / F.col("s")).alias("z1"), ((F.col("prior_delinquencies") - F.col("m2")) / F.col("s2")).alias("z2"))
+    return loan_book(spark, d).select("loan_id", F.col("label").alias("event"), (1 + F.col("loan_id") % 36).cast("double").alias("months"), *NUMERIC)
 
 
 @query(BOOK + """, x AS (SELECT 1 + loan_id % 36 AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x)
@@ -89,17 +111,29 @@ def cumulative_hazard(spark, d):
 
 @query()
 def cox_baseline(spark, d):
-    """The baseline of a Cox fit on two standardised columns."""
-    x = durations(spark, d)
-    beta = hazards.cox_fit(x, "months", "event", ["z1", "z2"])
-    return hazards.cumulative_hazard(x.withColumn("score", F.lit(float(beta[0])) * F.col("z1") + F.lit(float(beta[1])) * F.col("z2")), "months", "event", "score")
+    """The baseline of a Cox fit on the columns of highest variance, standardised."""
+    x, z = hazards.cox_columns(durations(spark, d), "months", NUMERIC)
+    beta = hazards.cox_fit(x, "months", "event", z)
+    score = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, z)), F.lit(0.0))
+    return hazards.cumulative_hazard(x.withColumn("score", score), "months", "event", "score")
+
+
+_SPARSE = BOOK + """, x AS (SELECT 2 + 3 * (loan_id % 9) AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x), h AS (SELECT month, sum(d / risk) OVER (ORDER BY month) AS hazard FROM r),
+n AS (SELECT m, max_by(month, month) FILTER (WHERE month <= m) AS a, min_by(month, month) FILTER (WHERE month >= m) AS b FROM h, range(1, 13) t(m) GROUP BY m),
+i AS (SELECT m, CASE WHEN a IS NULL THEN y.hazard WHEN a = b THEN x.hazard ELSE x.hazard + (m - a) / (b - a) * (y.hazard - x.hazard) END AS hz FROM n LEFT JOIN h x ON x.month = a LEFT JOIN h y ON y.month = b),
+s AS (SELECT m AS month, 1 - exp(-hz) AS p FROM i)
+"""
+
+
+def sparse_shape(spark, d):
+    """A shape from durations of every third month only."""
+    x = loan_book(spark, d).select(F.col("label").alias("event"), (2 + 3 * (F.col("loan_id") % 9)).cast("double").alias("months"))
+    return hazards.hazard_shape(hazards.cumulative_hazard(x, "months", "event"))
 
 
-@query(BOOK + """, x AS (SELECT 1 + loan_id % 36 AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x), h AS (SELECT month, sum(d / risk) OVER (ORDER BY month) AS hazard FROM r), s AS (SELECT month, 1 - exp(-hazard) AS p FROM h WHERE month <= 12)
-SELECT month, round(p / (SELECT p FROM s WHERE month = 12), 6) AS share FROM s""")
+@query(_SPARSE + "SELECT month, round(p / (SELECT p FROM s WHERE month = 12), 6) AS share FROM s")
 def hazard_shape(spark, d):
-    shape = hazards.hazard_shape(hazards.cumulative_hazard(durations(spark, d), "months", "event"))
-    return shape.select(F.posexplode("shape").alias("i", "share")).select((F.col("i") + 1).cast("bigint").alias("month"), F.round("share", 6).alias("share"))
+    return sparse_shape(spark, d).select(F.posexplode("shape").alias("i", "share")).select((F.col("i") + 1).cast("bigint").alias("month"), F.round("share", 6).alias("share"))
 
 
 @query(BOOK + """, f AS (SELECT loan_id, sector, CASE WHEN loan_id % 5 < 2 THEN NULL ELSE term_months END AS t FROM loan_book)
@@ -115,9 +149,9 @@ def json_lines(spark, d):
     return table(spark, d, "events").select("event_id", kinds.otherwise(F.expr("substring(props, 1, length(props) - 1)")).alias("line"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 4 END AS layer, CASE WHEN event_id % 5 >= 3 THEN 'repaired' ELSE 'ok' END AS status FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 4 END AS layer, CASE WHEN event_id % 5 >= 3 THEN 'repaired' ELSE 'ok' END AS status, props AS object FROM events")
 def recover_json(spark, d):
-    return json_recovery.recover_json(json_lines(spark, d), "line").select("event_id", "layer", "status")
+    return json_recovery.recover_json(json_lines(spark, d), "line").select("event_id", "layer", "status", "object")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'SECTOR_RISK' ELSE 'OTHER' END AS code, value / 10 <= 1 AND value >= 0 AS valid FROM events")
@@ -127,10 +161,11 @@ def validate_record(spark, d):
     return json_recovery.validate_records(rows, "record", [*dict.fromkeys(C.REASONS.values()), "OTHER"]).select("event_id", "code", "valid")
 
 
-@query(BOOK + "SELECT sector, count(*) AS n, round(avg(label), 5) AS base_rate FROM loan_book GROUP BY 1")
+@query("SELECT r.corpus, coalesce(e.n, 0) AS n, e.base_rate, e.auc, e.pr_auc, e.ece, CASE WHEN e.n IS NULL THEN 'failed' ELSE 'ok' END AS status FROM (SELECT DISTINCT c_mktsegment AS corpus FROM customer UNION ALL SELECT 'NONE') r LEFT JOIN (" + BOOK_SQL["evaluate"] + ") e ON r.corpus = e.sector")
 def metrics_report(spark, d):
-    x = loan_book(spark, d).withColumn("y", F.col("label"))
-    return evaluation.round_all(evaluation.evaluate(x, ["sector"]), ["base_rate"], 5).select("sector", "n", "base_rate")
+    x = loan_book(spark, d).select(F.col("sector").alias("corpus"), F.col("label").alias("y"), "p")
+    expected = table(spark, d, "customer").select(F.col("c_mktsegment").alias("corpus")).distinct().unionByName(spark.createDataFrame([("NONE",)], "corpus string"))
+    return evaluation.round_all(evaluation.metrics_report(x, expected), ["base_rate", "auc", "pr_auc", "ece"], 5)
 
 
 @query(BOOK + "SELECT loan_id, CASE WHEN p >= 0.5 THEN 'high' WHEN p >= 0.2 THEN 'medium' ELSE 'low' END AS band, round(p, 6) AS pd FROM loan_book")

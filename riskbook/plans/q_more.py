@@ -6,16 +6,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskbook import catalog as C
 from riskbook.functions import risk_band, weibull_curve
-from riskbook.operators import attribution, evaluation, hazards, portfolio, records, training, verdicts
+from riskbook.operators import attribution, evaluation, portfolio, prior, records, training, verdicts
+from riskbook.operators.staging import staged
 from riskbook.plans.fixtures import LOAN_BOOK, loan_book, table
 from riskbook.plans.q_book import _SHAP, _TRIALS, ATTRIBUTES, claims, drivers, recourse_score
-from riskbook.plans.q_models import NUMERIC, durations, numbers
+from riskbook.plans.q_book import SQL as BOOK_SQL
+from riskbook.plans.q_models import _SPARSE, NUMERIC, numbers, sparse_shape
 from riskbook.plans.q_tables import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
 BOOK = "WITH " + LOAN_BOOK + "\n"
+WEIBULL_SQL = BOOK_SQL["weibull_curves"]
 
 
 def query(sql: str | None = None):
@@ -67,7 +71,10 @@ def ground_action(spark, d):
     return verdicts.ground_action(proposed, found).select("loan_id", F.round("pd_after", 6).alias("pd_after"))
 
 
-@query(_TRIALS + "SELECT loan_id, lever, CAST(step_no AS INT) AS step_no, CASE lever WHEN 'term_months' THEN 'Extend tenure by ' || CAST(step AS INT) || ' months (to ' || CAST(trunc(changed) AS INT) || ')' WHEN 'collateral_value' THEN 'Add collateral by ' || CAST(round(step * 100) AS INT) || '%' WHEN 'income_or_turnover' THEN 'Add a working-capital line / lift turnover raising serviceable cashflow ~' || CAST(round(step * 100) AS INT) || '%' ELSE 'Restructure rate down ' || step || ' pts' END AS action FROM t")
+_FILLED = " ".join(f"WHEN '{name}' THEN replace(replace(replace('{words}', '{{step}}', CASE WHEN lever <> 'interest_rate' AND step = floor(step) THEN CAST(CAST(step AS INT) AS VARCHAR) ELSE CAST(step AS VARCHAR) END), '{{value}}', CAST(CAST(trunc(changed) AS INT) AS VARCHAR)), '{{percent}}', CAST(CAST(round(step * 100) AS INT) AS VARCHAR))" for name, words in C.ACTIONS.items())
+
+
+@query(_TRIALS + f"SELECT loan_id, lever, CAST(step_no AS INT) AS step_no, CASE lever {_FILLED} END AS action FROM t")
 def action_text(spark, d):
     return portfolio.trials(loan_book(spark, d)).select("loan_id", "lever", "step_no", verdicts.action_text(F.col("lever"), F.col("step"), F.col("changed")).alias("action"))
 
@@ -85,7 +92,7 @@ def dedupe_warnings(spark, d):
     return lists.select("o_custkey", F.concat_ws("|", F.array_distinct(F.transform("x", lambda s: s["w"]))).alias("warnings"))
 
 
-@query("SELECT o_orderkey AS loan_id, 0.0 AS p FROM orders")
+@query("SELECT o_orderkey AS loan_id, 0.0001::DOUBLE AS p FROM orders")
 def degenerate_prior(spark, d):
     """With one class only, every loan gets the base rate."""
     x = numbers(spark, d).withColumn("label", F.lit(0))
@@ -95,54 +102,72 @@ def degenerate_prior(spark, d):
 
 @query()
 def ensemble_mean(spark, d):
-    """The members' probabilities and their plain mean on the test fold."""
-    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", ["credit_score", "prior_delinquencies"], [], ("forest", "logistic"), trees=5)
-    return bundle.score(folded.where("fold = 'test'")).select("loan_id", "p_forest", "p_logistic", "p_raw")
+    """The members' probabilities and their plain mean on the evaluated rows."""
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], trees=5)
+    return bundle.score(folded.where("evaluated")).select("loan_id", *[f"p_{m}" for m in training.MEMBERS], "p_raw")
 
 
 @query()
 def isotonic_calibrate(spark, d):
     """Calibrated against raw probabilities: monotone and bounded."""
-    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", ["credit_score", "prior_delinquencies"], [], ("logistic",))
-    return bundle.score(folded).select("loan_id", "p_raw", "p")
+    bundle, folded = training.fit(numbers(spark, d), "label", "loan_id", NUMERIC, [], ("logistic",))
+    return bundle.score(folded).select("loan_id", "fold", "label", "p_raw", "p")
+
+
+MAPPING = {"loan_amount": "loan_amount", "term_months": "term_months", "interest_rate": "interest_rate", "income_or_turnover": "income_or_turnover", "credit_score": "credit_score", "sector": "sector", "prior_delinquencies": "prior_delinquencies", "employment_length": None}
+RANKED = ["can_loan_amount", "can_income", "can_credit_score_n"]
+
+
+def sector_prior(spark, d):
+    """A prior of all sectors but one, trained on ranks within each sector."""
+    x = staged(prior.to_canonical(numbers(spark, d).where("sector <> 'BUILDING'"), MAPPING))
+    for c in RANKED:
+        x = staged(evaluation.rank_normalise(x, c, "sector", "_rank").drop(c).withColumnRenamed("_rank", c))
+    use = ["can_loan_amount", "can_term_months", "can_interest_rate", "can_income", "can_credit_score_n", "can_delinq_count", "can_installment"]
+    return training.fit(x.select("loan_id", "label", *use), "label", "loan_id", use, [], ("gbt", "logistic"), trees=5)[0]
 
 
 @query()
 def score_prior(spark, d):
     """A prior trained on all but one sector scores that sector's loans, with no outcome given."""
-    x = numbers(spark, d)
-    bundle, _ = training.fit(x.where("sector <> 'BUILDING'"), "label", "loan_id", ["credit_score", "prior_delinquencies", "loan_amount"], [], ("logistic",))
-    return bundle.score(x.where("sector = 'BUILDING'").drop("label")).select("loan_id", "p", risk_band(F.col("p")).alias("band"))
+    mine = loan_book(spark, d).where("sector = 'BUILDING'").drop("label", "p", "u")
+    scored = prior.score_prior(sector_prior(spark, d), mine, MAPPING, RANKED)
+    return scored.select("loan_id", F.col("prior_pd").alias("p"), risk_band(F.col("prior_pd")).alias("band"))
 
 
 @query()
 def stack_prior(spark, d):
-    """The prior's probability as one more column of a book's own model."""
-    x = numbers(spark, d)
-    prior, _ = training.fit(x.where("sector <> 'BUILDING'"), "label", "loan_id", ["credit_score", "loan_amount"], [], ("logistic",))
-    mine = prior.score(x.where("sector = 'BUILDING'")).withColumnRenamed("p", "prior_pd").drop("p_raw", "p_logistic")
-    bundle, folded = training.fit(mine, "label", "loan_id", ["prior_delinquencies", "prior_pd"], [], ("logistic",))
-    return training.metrics_by_variant(bundle.score(folded.where("fold <> 'fit'")), "label", ["prior_pd", "p"])
+    """The prior's probability as one more column of a book's own model; left out where too little is mapped."""
+    mine, model = staged(numbers(spark, d).where("sector = 'BUILDING'")), sector_prior(spark, d)
+    parts = []
+    for name, mapping in (("all fields", MAPPING), ("one field", {"loan_amount": "loan_amount"})):
+        stacked, done = prior.stack_prior(mine, model, mapping, RANKED)
+        columns = ["prior_delinquencies", "credit_score"] + [c for c in ("prior_pd",) if c in stacked.columns]
+        bundle, folded = training.fit(stacked, "label", "loan_id", columns, [], ("logistic",))
+        parts.append(training.metrics_by_variant(bundle.score(folded.where("evaluated")), "label", ["p"]).select(F.lit(name).alias("mapping"), F.lit(done).alias("done"), "n", "auc", "brier"))
+    return parts[0].unionByName(parts[1])
 
 
 @query()
 def pool_normalised_vs_raw(spark, d):
     """Mean transfer AUC over held-out sectors, with raw and with rank-normalised columns."""
-    x = numbers(spark, d)
-    for c in ("credit_score", "loan_amount"):
+    x, parts = numbers(spark, d), []
+    for c in NUMERIC:
         x = evaluation.rank_normalise(x, c, "sector", f"{c}_rank")
-    parts = [training.leave_one_out(x, "sector", "label", "loan_id", columns).withColumn("variant", F.lit(name)) for name, columns in (("raw", ["credit_score", "loan_amount"]), ("ranks", ["credit_score_rank", "loan_amount_rank"]))]
+    for name, columns in (("raw", NUMERIC), ("ranks", [f"{c}_rank" for c in NUMERIC])):
+        parts.append(training.leave_one_out(x, "sector", "label", "loan_id", columns, members=("logistic",)).withColumn("variant", F.lit(name)))
     return parts[0].unionByName(parts[1]).groupBy("variant").agg(F.round(F.avg("auc"), 5).alias("mean_auc"))
 
 
-@query(BOOK + """, x AS (SELECT 1 + loan_id % 36 AS month, sum(label) AS d, count(*) AS w FROM loan_book GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY month DESC) AS risk FROM x), h AS (SELECT month, sum(d / risk) OVER (ORDER BY month) AS hazard FROM r), s AS (SELECT month, 1 - exp(-hazard) AS p FROM h WHERE month <= 12)
-SELECT loan_id, month, round(loan_book.p * s.p / (SELECT p FROM s WHERE month = 12), 6) AS pd FROM loan_book, s""")
+@query(_SPARSE + """SELECT loan_id, month, round(loan_book.p * s.p / (SELECT p FROM s WHERE month = 12), 6) AS pd, false AS estimated FROM loan_book, s WHERE loan_id % 2 = 0
+UNION ALL SELECT loan_id, month, pd, true FROM (""" + WEIBULL_SQL + """) WHERE loan_id % 2 = 1""")
 def build_curves(spark, d):
-    """Each loan's probability spread over the population's shape."""
-    shape = hazards.hazard_shape(hazards.cumulative_hazard(durations(spark, d), "months", "event"))
-    book = loan_book(spark, d).select("loan_id", "p", "term_months").crossJoin(F.broadcast(shape))
-    curve = F.when(F.col("shape").isNotNull(), F.transform("shape", lambda s: F.least(F.lit(1.0), F.col("p") * s))).otherwise(weibull_curve(F.col("p"), F.col("term_months")))
-    return book.select("loan_id", F.posexplode(curve).alias("i", "pd")).select("loan_id", (F.col("i") + 1).cast("bigint").alias("month"), F.round("pd", 6).alias("pd"))
+    """Each loan's probability spread over the population's shape, or, for those outside it, over the parametric one."""
+    book = loan_book(spark, d).select("loan_id", "p", "term_months", (F.col("loan_id") % 2 == 0).alias("observed"))
+    shape = sparse_shape(spark, d)
+    curve = F.when(F.col("shape").isNotNull() & F.col("observed"), F.transform("shape", lambda s: F.least(F.lit(1.0), F.col("p") * s))).otherwise(weibull_curve(F.col("p"), F.col("term_months")))
+    rows = book.crossJoin(F.broadcast(shape)).select("loan_id", (~F.col("observed") | F.col("shape").isNull()).alias("estimated"), F.posexplode(curve).alias("i", "pd"))  # one row
+    return rows.select("loan_id", (F.col("i") + 1).cast("bigint").alias("month"), F.round("pd", 6).alias("pd"), "estimated")
 
 
 @query()

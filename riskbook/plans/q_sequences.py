@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskbook import catalog as C
 from riskbook.functions import gap_bucket
-from riskbook.operators import corpora, sequences
+from riskbook.operators import corpora, loaders, sequences
 from riskbook.operators.evaluation import round_all
 from riskbook.plans.fixtures import LOAN_BOOK, TRANSACTIONS, loan_book, table, transactions
 
@@ -76,11 +77,12 @@ def equal_width_bins(spark, d):
     return sequences.equal_width_bins(transactions(spark, d), "amount", 16, "bin").select("event_id", "bin")
 
 
-@query("SELECT event_id, date_diff('day', DATE '1970-01-01', make_date(year(ts), month(ts), day(ts))) AS day_no FROM events")
+@query("SELECT event_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day_no, CAST(format('{:.2f}', value) AS DOUBLE) AS amount FROM events WHERE event_id % 7 <> 0")
 def event_dates(spark, d):
-    ts = F.col("ts")
-    made = F.make_date(F.year(ts), F.month(ts), F.dayofmonth(ts))
-    return table(spark, d, "events").select("event_id", F.datediff(made, F.lit("1970-01-01").cast("date")).cast("bigint").alias("day_no"))
+    """Of events with their date in parts and the amount as currency text, or none."""
+    amount = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.format_number("value", 2)))
+    parts = table(spark, d, "events").select("event_id", F.year("ts").alias("y"), F.month("ts").alias("m"), F.dayofmonth("ts").alias("d"), amount.alias("amount"))
+    return sequences.event_dates(parts, "y", "m", "d", "amount").select("event_id", F.col("day_no").cast("bigint").alias("day_no"), "amount")
 
 
 @query(TXN + ", f AS (SELECT client_id FROM txn GROUP BY 1 ORDER BY min(event_id), client_id LIMIT 20) SELECT client_id, count(*) AS n FROM txn WHERE client_id IN (SELECT client_id FROM f) GROUP BY 1")
@@ -90,7 +92,7 @@ def first_clients(spark, d):
 
 @query("SELECT 'cust_' || substr(c_name, 1, 16) AS client_key, min(c_custkey) AS c_custkey FROM customer GROUP BY 1")
 def client_key(spark, d):
-    return table(spark, d, "customer").groupBy(F.concat(F.lit("cust_"), F.substring("c_name", 1, 16)).alias("client_key")).agg(F.min("c_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").groupBy(sequences.client_key("cust_", F.col("c_name")).alias("client_key")).agg(F.min("c_custkey").alias("c_custkey"))
 
 
 _TOKENS = TXN + """, s AS (SELECT client_id, day, event_id, type, channel, CASE WHEN type = 'V' THEN -abs(amount) ELSE abs(amount) END AS a, row_number() OVER (PARTITION BY client_id ORDER BY day DESC, event_id DESC) AS k FROM txn),
@@ -134,22 +136,21 @@ def pad_mask(spark, d):
     return rows.select("client_id", F.concat_ws(",", codes.cast("array<string>")).alias("codes"), F.aggregate(mask, F.lit(0), lambda x, y: x + y).alias("n"))
 
 
-@query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), z AS (SELECT r // 64 AS b, (r % 64) // 2 AS i, r % 2 AS s, v FROM e),
-p AS (SELECT x.b, x.i, x.s, list_dot_product(x.v, y.v) / 0.1 / 10 AS sim, x.i = y.i AS own FROM z x JOIN z y ON x.b = y.b AND (x.i <> y.i OR x.s <> y.s)),
+@query("""WITH e0 AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), e AS (SELECT vec_id, r, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM e0),
+z AS (SELECT r // 64 AS b, (r % 64) // 2 AS i, r % 2 AS s, v FROM e),
+p AS (SELECT x.b, x.i, x.s, list_dot_product(x.v, y.v) / 0.1 AS sim, x.i = y.i AS own FROM z x JOIN z y ON x.b = y.b AND (x.i <> y.i OR x.s <> y.s)),
 q AS (SELECT b, i, s, ln(sum(exp(sim))) AS al, max(sim) FILTER (WHERE own) AS own FROM p GROUP BY ALL) SELECT b AS batch, round(avg(al - own), 4) AS loss FROM q GROUP BY 1""")
 def contrastive_loss(spark, d):
-    from pyspark.sql import Window
+    e = sequences.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "r")
+    rows = e.select(F.floor(F.col("r") / 64).alias("b"), F.floor((F.col("r") % 64) / 2).alias("i"), (F.col("r") % 2).alias("s"), "embedding")
+    return round_all(sequences.contrastive_loss(rows, "b", "s", "i", "embedding"), ["loss"], 4)
 
-    e = table(spark, d, "embeddings")
-    ids = e.select("vec_id").withColumn("r", F.row_number().over(Window.orderBy("vec_id")) - 1)  # ids only
-    rows = e.join(ids, "vec_id").select(F.floor(F.col("r") / 64).alias("b"), F.floor((F.col("r") % 64) / 2).alias("i"), (F.col("r") % 2).alias("s"), "embedding")
-    return round_all(sequences.contrastive_loss(rows, "b", "s", "i", "embedding", 1.0), ["loss"], 4)
 
-
-@query("WITH " + LOAN_BOOK + " SELECT loan_id, label FROM loan_book WHERE loan_id IN (SELECT vec_id FROM embeddings)")
+@query("WITH " + LOAN_BOOK + " SELECT loan_id, loan_book.label, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS INT) AS width, (SELECT count(*) FROM loan_book) AS n_loans, (SELECT count(*) FROM loan_book WHERE loan_id IN (SELECT vec_id FROM embeddings)) AS n_matched FROM loan_book JOIN embeddings ON loan_id = vec_id")
 def attach_embeddings(spark, d):
-    vectors = table(spark, d, "embeddings").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("loan_id"), "embedding")
-    return loan_book(spark, d).join(vectors, "loan_id").select("loan_id", "label")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("loan_id"), "embedding")
+    joined, report = sequences.attach_embeddings(loan_book(spark, d), vectors, "loan_id", "embedding")
+    return joined.select("loan_id", "label", F.element_at("embedding", 1).cast("double").alias("first"), F.size("embedding").alias("width")).crossJoin(F.broadcast(report))  # one row
 
 
 # ---- corpora -----------------------------------------------------------------------------------------------------------
@@ -170,10 +171,12 @@ def leakage_share(spark, d):
     return round_all(corpora.leakage_share(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate"), decisions(spark, d), "l_orderkey", "l_shipdate", "o_orderdate"), ["leakage_share"])
 
 
-@query(TXN + "SELECT client_id, count(*) AS n, round(avg(amount), 6) AS mean_amount, round(stddev_samp(amount), 6) AS std_amount, max(amount) AS max_amount, round(coalesce(sum(amount) FILTER (WHERE type = 'V'), 0), 4) AS debits, round(coalesce(sum(amount) FILTER (WHERE type <> 'V'), 0), 4) AS credits, round(coalesce(sum(amount) FILTER (WHERE type <> 'V'), 0) / nullif(coalesce(sum(amount) FILTER (WHERE type = 'V'), 0), 0), 6) AS credit_ratio FROM txn GROUP BY 1")
+@query(TXN + """, b AS (SELECT *, amount - 50 AS balance FROM txn) SELECT client_id, count(*) AS n, round(avg(amount), 6) AS mean_amount, round(stddev_samp(amount), 6) AS std_amount, max(amount) AS max_amount, round(avg(balance), 6) AS mean_balance, round(min(balance), 6) AS min_balance, round(stddev_samp(balance), 6) AS std_balance,
+  round(sum(amount) FILTER (WHERE type = 'V'), 4) AS debits, round(sum(amount) FILTER (WHERE type = 'P'), 4) AS credits, round(avg(CAST(balance < 0 AS INT)), 6) AS negative_share, round(sum(amount) FILTER (WHERE type = 'P') / nullif(sum(amount) FILTER (WHERE type = 'V'), 0), 6) AS credit_ratio, round(100 / nullif(avg(balance), 0), 4) AS payment_to_balance FROM b GROUP BY 1""")
 def txn_rollup(spark, d):
-    x = corpora.txn_rollup(transactions(spark, d), "client_id", "amount", "type")
-    return round_all(round_all(x, ["mean_amount", "std_amount", "credit_ratio"]), ["debits", "credits"], 4)
+    x = corpora.txn_rollup(transactions(spark, d).withColumn("balance", F.col("amount") - 50), "client_id", "amount", "type", "balance")
+    x = x.withColumn("payment_to_balance", corpora.payment_to_balance(F.lit(100.0), F.col("mean_balance")))
+    return round_all(round_all(x, ["mean_amount", "std_amount", "mean_balance", "min_balance", "std_balance", "negative_share", "credit_ratio"]), ["debits", "credits", "payment_to_balance"], 4)
 
 
 @query("""WITH c AS (SELECT o_custkey, count(*) AS n_records, avg(l_extendedprice) AS mean_amount, max(l_discount) AS max_overdue, sum(l_extendedprice) AS sum_amount, sum(l_discount) AS sum_overdue, count(*) FILTER (WHERE l_linestatus = 'O') AS n_active FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
@@ -185,10 +188,16 @@ def bureau_rollup(spark, d):
     return round_all(round_all(x, ["mean_amount", "sum_overdue"], 4), ["sum_amount"], 2)
 
 
-@query("SELECT o_custkey, count(*) AS n_rows, round(avg(o_totalprice), 1) AS o_totalprice_mean, round(stddev_samp(o_totalprice), 1) AS o_totalprice_std, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice_last FROM orders GROUP BY 1")
+_PANEL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("SELECT l_suppkey, count(*) AS n_rows, " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max, max_by({c}, (l_shipdate, l_orderkey, l_linenumber, l_partkey, {c})) AS {c}_last" for c in _PANEL) + " FROM lineitem GROUP BY 1")
 def panel_aggregate(spark, d):
-    x = corpora.panel_aggregate(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
-    return round_all(x, ["o_totalprice_mean", "o_totalprice_std"], 1)
+    parts = [corpora.panel_aggregate(table(spark, d, "lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", c], [c]) for c in _PANEL]
+    x = parts[0]
+    for p in parts[1:]:
+        x = x.join(p.drop("n_rows"), "l_suppkey")
+    return round_all(x, [f"{c}_{m}" for c in _PANEL for m in ("mean", "std")], 4)
 
 
 @query("SELECT o_orderkey, coalesce(l_partkey, -1) AS l_partkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey, l_quantity)) AS l_partkey, min_by(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey")
@@ -198,11 +207,12 @@ def static_join(spark, d):
     return corpora.static_join(base, side, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"]).select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"), "l_quantity")
 
 
-@query("SELECT o_orderkey, c_acctbal, coalesce(late, 0) AS late FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS late FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, o_totalprice AS amount, c_acctbal AS amount_1, l.late, l.amount AS amount_2 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS late, round(sum(l_tax), 4) AS amount FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o_orderkey = l_orderkey")
 def multi_left_join(spark, d):
-    late = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("late"))
-    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return orders.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "c_acctbal", F.coalesce("late", F.lit(0)).alias("late"))
+    base = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("amount"))
+    owner = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("amount"))
+    late = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("late"), F.round(F.sum("l_tax"), 4).alias("amount"))
+    return corpora.multi_left_join(base, [(owner, "o_custkey"), (late, "o_orderkey")]).drop("o_custkey")
 
 
 @query("WITH " + LOAN_BOOK + " SELECT loan_id, round(loan_amount / nullif(income_or_turnover, 0), 6) AS a, round(date_diff('day', loan_date, DATE '2001-12-31') / 365.25, 6) AS years, round((coalesce(interest_rate, 0) + coalesce(collateral_value, 0)) / (1 + CAST(collateral_value IS NOT NULL AS INT)), 4) AS mean_score FROM loan_book")
@@ -211,15 +221,73 @@ def ratio_features(spark, d):
     return loan_book(spark, d).select("loan_id", F.round(F.try_divide("loan_amount", "income_or_turnover"), 6).alias("a"), F.round(years, 6).alias("years"), F.round(corpora.mean_of([F.col("interest_rate"), F.col("collateral_value")]), 4).alias("mean_score"))
 
 
-@query("SELECT o_custkey, greatest(max(CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END), 0) AS worst, count(*) FILTER (WHERE o_orderstatus <> 'O') AS n_late FROM orders GROUP BY 1")
-def panel_row_stats(spark, d):
-    level = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1).otherwise(0)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max(level).alias("worst"), F.count_if(F.col("o_orderstatus") != "O").alias("n_late"))
+# ---- loaders: each over text and codes made from table values -------------------------------------------------------------
+
 
+def orders_with_owner(spark, d):
+    owner = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return table(spark, d, "orders").join(owner, F.col("o_custkey") == F.col("c_custkey"))
 
-@query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract('36 months', '[0-9]+') AS INT) AS term, (690 + 694) / 2 AS score, upper(l_returnflag) AS flag, substr(CAST(l_partkey AS VARCHAR), 1, 2) AS industry, year(l_shipdate) AS year, CAST(floor(l_extendedprice / nullif(l_quantity, 0) / 10) AS BIGINT) AS instalment FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_shipdate, l_extendedprice, l_quantity FROM lineitem)")
+
+_OWNED = "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, 12.0::DOUBLE * (1 + o_orderkey % 7) AS term, CAST(o_orderkey % 3 > 1 AS INT) AS franchise, o_orderstatus AS rev_line_cr, round(CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE floor(o_totalprice / 2) / round(o_totalprice, 2) END, 6) AS sba_portion, substr(CAST(o_custkey + 1000 AS VARCHAR), 1, 2) AS can_sector, CAST(o_orderkey % 4 = 0 AS INT) AS bank_state_same, CAST(year(o_orderdate) AS INT) AS time_key, CASE WHEN o_orderkey % 2 = 0 THEN 5.0 ELSE 0.5 END::DOUBLE AS can_emp_length, round(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE round(o_totalprice, 2) END / (12 * (1 + o_orderkey % 7)), 6) AS can_installment, n_name AS region " + _OWNED + " WHERE o_orderstatus IN ('F', 'O')")
+def sba_features(spark, d):
+    key = F.col("o_orderkey")
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 2), F.lit(" "))
+    gross, date = F.when(key % 10 == 0, 0.0).otherwise(F.col("o_totalprice")), F.col("o_orderdate").cast("date")
+    source = orders_with_owner(spark, d).select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", "CHGOFF").when(F.col("o_orderstatus") == "O", "P I F").otherwise("EXEMPT").alias("MIS_Status"), (12 * (1 + key % 7)).alias("Term"), (F.col("o_custkey") % 50).alias("NoEmp"), (1 + key % 2).cast("double").alias("NewExist"),
+        F.lit("0").alias("CreateJob"), F.lit("0").alias("RetainedJob"), (key % 3).alias("FranchiseCode"), (key % 3).alias("UrbanRural"), F.concat(F.lower("o_orderstatus"), F.lit("es")).alias("RevLineCr"), F.lit("n").alias("LowDoc"), money(F.col("o_totalprice")).alias("DisbursementGross"),
+        money(gross).alias("GrAppv"), money(F.floor(F.col("o_totalprice") / 2)).alias("SBA_Appv"), (F.col("o_custkey") + 1000).alias("NAICS"), F.when(key % 4 == 0, F.col("n_name")).otherwise("elsewhere").alias("BankState"), F.col("n_name").alias("State"),
+        F.when(key % 3 == 0, date.cast("string")).when(key % 3 == 1, F.date_format(date, "d-MMM-yy")).otherwise(F.date_format(date, "M/d/yyyy")).alias("ApprovalDate"),
+    )
+    x = loaders.sba(source, "o_orderkey").select("o_orderkey", "label", "term", "franchise", "rev_line_cr", "sba_portion", "can_sector", "bank_state_same", "time_key", "can_emp_length", "can_installment", "region")
+    # two-digit years are of this century to the date parser; the orders are of the last one
+    year = F.when((key % 3 == 1) & (F.col("time_key") >= 2050), F.col("time_key") - 100).when((key % 3 == 1), F.when(F.col("time_key") > 2024, F.col("time_key") - 100).otherwise(F.col("time_key"))).otherwise(F.col("time_key"))
+    return round_all(x.withColumn("time_key", year), ["sba_portion", "can_installment"])
+
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, 12.0::DOUBLE * (1 + o_orderkey % 7) AS term, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 13 = 12 THEN 10.0 ELSE o_custkey % 13 END::DOUBLE AS emp_length, round(300 + (o_custkey * 37) % 600 + 2.0::DOUBLE, 6) AS fico, round(least(1, greatest(0, ((o_custkey * 37) % 600 + 2) / 550)), 6) AS can_credit_score_n, round(o_totalprice / nullif(c_acctbal, 0), 6) AS can_loan_to_income, CAST(year(o_orderdate) AS INT) AS time_key, c_mktsegment AS can_sector " + _OWNED + " WHERE o_orderstatus IN ('F', 'O')")
 def lending_features(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity").distinct()
-    return x.select(
-        "l_orderkey", "l_linenumber", F.regexp_extract(F.lit("36 months"), "[0-9]+", 0).cast("int").alias("term"), ((F.lit(690) + F.lit(694)) / 2).alias("score"), F.upper("l_returnflag").alias("flag"),
-        F.substring(F.col("l_partkey").cast("string"), 1, 2).alias("industry"), F.year("l_shipdate").cast("bigint").alias("year"), F.floor(F.try_divide("l_extendedprice", "l_quantity") / 10).alias("instalment"))
+    key = F.col("o_orderkey")
+    worked, score = F.col("o_custkey") % 13, 300 + (F.col("o_custkey") * 37) % 600
+    source = orders_with_owner(spark, d).select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", "Charged Off").when(F.col("o_orderstatus") == "O", "Fully Paid").otherwise("Current").alias("loan_status"), F.col("o_totalprice").alias("loan_amnt"), F.concat(F.lit(" "), (12 * (1 + key % 7)).cast("string"), F.lit(" months")).alias("term"),
+        F.when(worked == 0, "n/a").when(worked == 1, "< 1 year").when(worked == 12, "10+ years").otherwise(F.concat(worked.cast("string"), F.lit(" years"))).alias("emp_length"), score.alias("fico_range_low"), (score + 4).alias("fico_range_high"), F.col("c_acctbal").alias("annual_inc"),
+        F.lit("13.5%").alias("int_rate"), F.lit(1).alias("installment"), F.lit(2).alias("dti"), F.lit(0).alias("delinq_2yrs"), F.lit(3).alias("open_acc"), F.lit(4).alias("revol_util"), F.col("c_mktsegment").alias("purpose"), F.col("n_name").alias("addr_state"), F.date_format(F.col("o_orderdate").cast("date"), "MMM-yyyy").alias("issue_d"),
+    )
+    x = loaders.lending(source, "o_orderkey").select("o_orderkey", "label", "term", "emp_length", "fico", "can_credit_score_n", "can_loan_to_income", "time_key", "can_sector")
+    return round_all(x, ["fico", "can_credit_score_n", "can_loan_to_income"])
+
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, CAST(20 + o_custkey % 50 AS DOUBLE) AS can_age, round(c_acctbal * 12, 6) AS can_income, round(o_totalprice / 1e6 * 100, 6) AS can_utilization, CAST(o_orderkey % 3 + o_orderkey % 4 + o_orderkey % 5 AS DOUBLE) AS can_delinq_count " + _OWNED + " WHERE o_orderstatus <> 'P'")
+def gmsc_features(spark, d):
+    key = F.col("o_orderkey")
+    late = dict(zip(C.LATE_COUNTERS, (key % 3, key % 4, key % 5)))
+    source = orders_with_owner(spark, d).select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", (F.col("o_orderstatus") == "F").cast("double")).alias("SeriousDlqin2yrs"), F.lit(0).alias("Unnamed: 0"), (20 + F.col("o_custkey") % 50).alias("age"), F.col("c_acctbal").cast("string").alias("MonthlyIncome"), F.lit(0.3).alias("DebtRatio"),
+        (F.col("o_totalprice") / 1e6).alias("RevolvingUtilizationOfUnsecuredLines"), F.lit(5).alias("NumberOfOpenCreditLinesAndLoans"), *[c.alias(n) for n, c in late.items()],
+    )
+    return round_all(loaders.delinquency(source, "o_orderkey").select("o_orderkey", "label", "can_age", "can_income", "can_utilization", "can_delinq_count"), ["can_income", "can_utilization"], 6)
+
+
+@query("""WITH p AS (SELECT *, """ + ", ".join(f"o_orderkey % {k + 5} - 2 AS p{k}" for k in range(6)) + """ FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, CAST(greatest(p0, p1, p2, p3, p4, p5) AS DOUBLE) AS pay_max, CAST((p0 > 0)::INT + (p1 > 0)::INT + (p2 > 0)::INT + (p3 > 0)::INT + (p4 > 0)::INT + (p5 > 0)::INT AS DOUBLE) AS can_delinq_count,
+round(o_totalprice / nullif(abs(c_acctbal), 0), 6) AS util_ratio, round(100 / nullif(o_totalprice, 0), 6) AS pay_ratio, round(least(500, greatest(0, o_totalprice / nullif(abs(c_acctbal), 0) * 100)), 4) AS can_utilization, CASE o_custkey % 3 WHEN 1 THEN 'male' WHEN 2 THEN 'female' ELSE 'nan' END AS gender FROM p""")
+def panel_row_stats(spark, d):
+    key = F.col("o_orderkey")
+    source = orders_with_owner(spark, d).select(
+        "o_orderkey", F.abs("c_acctbal").alias("LIMIT_BAL"), (F.col("o_custkey") % 3).alias("SEX"), F.lit(1).alias("EDUCATION"), F.lit(1).alias("MARRIAGE"), F.lit(40).alias("AGE"), *[(key % (k + 5) - 2).alias(f"PAY_{k}") for k in range(6)],
+        F.col("o_totalprice").alias("BILL_AMT1"), F.lit(100).alias("PAY_AMT1"), (F.col("o_orderstatus") == "F").cast("int").alias("target"),
+    )
+    x = loaders.card_panel(source, "o_orderkey").select("o_orderkey", "label", "pay_max", "can_delinq_count", "util_ratio", "pay_ratio", "can_utilization", "gender")
+    return round_all(round_all(x, ["util_ratio", "pay_ratio"]), ["can_utilization"], 4)
+
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, CAST(2 * (o_orderkey % 7) AS DOUBLE) AS can_term_months, o_totalprice AS can_loan_amount, CAST(o_custkey % 60 AS DOUBLE) AS can_age FROM orders")
+def german_features(spark, d):
+    key = F.col("o_orderkey")
+    values = {k: F.lit(k) for k in range(1, 21)} | {2: 2 * (key % 7), 5: F.col("o_totalprice"), 13: F.col("o_custkey") % 60}
+    source = table(spark, d, "orders").select("o_orderkey", *[v.alias(f"Attribute{k}") for k, v in values.items()], F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("class"))
+    return loaders.positional(source, "o_orderkey").select("o_orderkey", "label", "can_term_months", "can_loan_amount", "can_age")

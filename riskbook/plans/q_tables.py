@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import norm_name
+from riskbook.operators.staging import new_path, staged
 from riskbook.plans.fixtures import table
 from riskbook.sources import tables as T
 
@@ -28,14 +26,30 @@ def query(sql: str | None = None):
 
 
 def scratch(spark) -> str:
-    """A new folder for what a query writes: in the cluster's shared one, where it names it."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='riskbook-')}/q-{uuid.uuid4().hex}"
+    """A new folder for what a query writes."""
+    return new_path(spark)
 
 
 def columns_of(spark, d):
-    """(table_name, name, position, is_binary) of the given tables, from their schemas and two-valued columns."""
-    rows = [(n, c, i, c in ("l_linestatus",)) for n in NAMES for i, c in enumerate(table(spark, d, n).columns)]
-    return spark.createDataFrame(rows, "table_name string, name string, position int, is_binary boolean")
+    """The catalog of the given tables' columns, from all their rows."""
+    return staged(T.column_catalog({n: table(spark, d, n) for n in NAMES}))
+
+
+_WORDS = ", ".join(f"'{w}'" for w in C.BINARY_WORDS)
+_HINTS = ", ".join(f"({i}, '{f}', '{''.join(x for x in w.lower() if x.isalnum())}')" for i, (f, words) in enumerate(C.HINTS.items()) for w in words)
+_FIELDS = ", ".join(f"('{f}', '{role}')" for f, role in C.FIELDS.items())
+_CATALOG = "WITH RECURSIVE distinct_values AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, name, vals FROM (UNPIVOT (SELECT list(DISTINCT CAST(COLUMNS(*) AS VARCHAR)) FROM {n}) ON COLUMNS(*) INTO NAME name VALUE vals)" for n in NAMES) + f"""),
+places AS (SELECT table_name, column_name AS name, CAST(column_index AS INT) - 1 AS position FROM duckdb_columns() WHERE table_name IN ({", ".join(f"'{n}'" for n in NAMES)})),
+cat AS (SELECT table_name, name, position, len(vals) BETWEEN 1 AND 2 OR len(vals) <= 6 AND list_has_any([lower(trim(v)) FOR v IN vals], [{_WORDS}]) AS is_binary FROM distinct_values JOIN places USING (table_name, name)),
+hints(field_no, field, kw) AS (VALUES {_HINTS}), fields(field, role) AS (VALUES {_FIELDS}),
+named AS (SELECT *, regexp_replace(lower(name), '[^0-9a-z]', '', 'g') AS n FROM cat),
+scores AS (SELECT table_name, field_no, field, name, position, is_binary, max(CASE WHEN n = kw THEN 1.0 WHEN length(kw) >= 3 AND (starts_with(n, kw) OR ends_with(n, kw)) THEN 0.85 WHEN length(kw) >= 3 AND contains(n, kw) THEN 0.7 ELSE 0 END)::DOUBLE AS score FROM named, hints GROUP BY ALL),
+best AS (SELECT table_name, field_no, any_value(field) AS field, list({{'name': name, 'score': score}} ORDER BY score DESC, position) AS choices FROM scores WHERE score >= 0.7 AND field <> 'target' GROUP BY ALL),
+walk AS (SELECT DISTINCT table_name, -1 AS at, []::VARCHAR[] AS used, NULL::VARCHAR AS field, NULL::VARCHAR AS name, NULL::DOUBLE AS confidence FROM cat
+  UNION ALL SELECT w.table_name, w.at + 1, CASE WHEN len(free) > 0 THEN list_append(w.used, free[1].name) ELSE w.used END, b.field, free[1].name, free[1].score
+  FROM (SELECT w.*, b.field AS f, list_filter(coalesce(b.choices, []), lambda c: NOT list_contains(w.used, c.name)) AS free FROM walk w LEFT JOIN best b ON b.table_name = w.table_name AND b.field_no = w.at + 1 WHERE w.at < {len(C.HINTS) - 1}) w LEFT JOIN (SELECT DISTINCT field_no, field FROM hints) b ON b.field_no = w.at + 1),
+mapped AS (SELECT table_name, field, name, round(confidence, 2) AS confidence FROM walk WHERE name IS NOT NULL)
+"""
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
@@ -68,11 +82,12 @@ def scan_filtered(spark, d):
     return T.scan_filtered(table(spark, d, "orders"), keep, "o_custkey", ["o_totalprice", "o_orderstatus"])
 
 
-@query("SELECT o_orderkey, coalesce(x.l_partkey, -1) AS l_partkey, x.l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, o_custkey AS l_partkey, x.l_partkey AS l_partkey_1, x.l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey, l_quantity)) AS l_partkey, min_by(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey")
 def scan_glob(spark, d):
-    parts = spark.read.parquet(f"{d}/lineite*.parquet")
-    side = T.numeric_columns(parts, "l_orderkey")
-    return table(spark, d, "orders").select("o_orderkey").join(side, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"), "l_quantity")
+    """The first line of each order by line number, from all files of a pattern; a column of the base has the same name."""
+    parts = spark.read.parquet(f"{d}/lineite*.parquet").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    base = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("l_partkey"))
+    return T.scan_glob(base, [parts], "o_orderkey", [["l_linenumber", "l_partkey", "l_quantity"]]).select("o_orderkey", "l_partkey", "l_partkey_1", "l_quantity")
 
 
 @query("SELECT event_id, user_id, value FROM events")
@@ -120,48 +135,51 @@ def norm_names(spark, d):
 
 
 
-@query()
+@query(_CATALOG + "SELECT table_name, field, name, score FROM scores WHERE score > 0")
 def hint_scores(spark, d):
     return T.hint_scores(columns_of(spark, d)).where("score > 0").select("table_name", "field", "name", "score")
 
 
-@query()
+@query(_CATALOG + "SELECT * FROM mapped")
 def heuristic_map(spark, d):
     return T.heuristic_map(columns_of(spark, d))
 
 
-@query()
+@query(_CATALOG + """, t AS (SELECT s.*, s.is_binary AND m.name IS NULL AS able FROM scores s LEFT JOIN mapped m ON s.table_name = m.table_name AND s.name = m.name WHERE s.field = 'target'),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY able DESC, score DESC, CASE WHEN able THEN position ELSE -position END DESC) AS k FROM t)
+SELECT table_name, name, round(greatest(0.6, score), 2) AS confidence FROM r WHERE k = 1 AND (able OR score >= 0.7)""")
 def pick_target(spark, d):
-    return T.pick_target(columns_of(spark, d))
+    columns = columns_of(spark, d)
+    return T.pick_target(columns, T.heuristic_map(columns))
 
 
-@query()
+@query(_CATALOG + "SELECT table_name, field, name FROM mapped JOIN fields USING (field) WHERE role = 'protected'")
 def detect_protected(spark, d):
-    protected = [f for f, role in C.FIELDS.items() if role == "protected"]
-    return T.heuristic_map(columns_of(spark, d)).where(F.col("field").isin(protected)).select("table_name", "field", "name")
+    return T.detect_protected(T.heuristic_map(columns_of(spark, d)))
+
+
+_GIVEN = _CATALOG + """, o AS (SELECT table_name, 'loan_id' AS field, CASE WHEN table_name = 'part' THEN NULL WHEN table_name = 'nation' THEN 'no_such' ELSE name END AS given, 0.99::DOUBLE AS c FROM cat WHERE position = 0)"""
 
 
-@query()
+@query(_GIVEN + """ SELECT table_name, field, CASE WHEN o.field IS NOT NULL AND (o.given IS NULL OR o.given IN (SELECT name FROM cat x WHERE x.table_name = o.table_name)) THEN o.given ELSE m.name END AS name, coalesce(o.c, m.confidence) AS confidence FROM mapped m FULL JOIN o USING (table_name, field)""")
 def merge_mapping(spark, d):
+    """A user's edits: the first column is the id, but for one table without and one with a column that it doesn't have."""
     columns = columns_of(spark, d)
-    seed = T.heuristic_map(columns).select("table_name", "field", "name")
-    override = columns.where("position = 0").select("table_name", F.lit("loan_id").alias("field"), F.col("name").alias("override_name"))
-    return T.merge_mapping(seed, override, columns)
+    given = F.when(F.col("table_name") == "part", None).when(F.col("table_name") == "nation", "no_such").otherwise(F.col("name"))
+    override = columns.where("position = 0").select("table_name", F.lit("loan_id").alias("field"), given.alias("override_name"), F.lit(0.99).alias("confidence"))
+    return T.merge_mapping(T.heuristic_map(columns), override, columns)
 
 
-@query()
+@query(_CATALOG + "SELECT t.table_name, f.field, m.name FROM (SELECT DISTINCT table_name FROM cat) t CROSS JOIN fields f LEFT JOIN mapped m ON m.table_name = t.table_name AND m.field = f.field")
 def sanitise_mapping(spark, d):
     columns = columns_of(spark, d)
-    return T.sanitise_mapping(T.heuristic_map(columns).select("table_name", "field", "name"), columns)
+    junk = columns.where("position = 0").select("table_name", F.lit("dscr").alias("field"), F.lit("no_such").alias("name"))
+    return T.sanitise_mapping(T.heuristic_map(columns).select("table_name", "field", "name").unionByName(junk), columns)
 
 
-@query("SELECT table_name, name, n BETWEEN 1 AND 2 AS looks_binary FROM (SELECT 'lineitem' AS table_name, 'l_linestatus' AS name, count(DISTINCT l_linestatus) AS n FROM lineitem UNION ALL SELECT 'lineitem', 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem UNION ALL SELECT 'lineitem', 'l_linenumber', count(DISTINCT l_linenumber) FROM lineitem)")
+@query(_CATALOG + "SELECT table_name, name, is_binary AS looks_binary FROM cat")
 def looks_binary(spark, d):
-    names = ["l_linestatus", "l_returnflag", "l_linenumber"]
-    values = T.long_values(table(spark, d, "lineitem"), "l_orderkey", names).where("value IS NOT NULL").select("name", "value").distinct()
-    words = F.lower(F.trim("value")).isin("0", "yes", "no", "y", "true", "false", "default", "paid", "chargeoff", "charged off", "p i f", "pif", "clp", "good", "bad", "1.0", "0.0")
-    counts = values.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or(words).alias("worded"))
-    return counts.select(F.lit("lineitem").alias("table_name"), "name", (F.col("n").between(1, 2) | ((F.col("n") <= 6) & F.col("worded"))).alias("looks_binary"))
+    return columns_of(spark, d).select("table_name", "name", F.col("is_binary").alias("looks_binary"))
 
 
 @query("SELECT o_orderkey AS loan_id, o_totalprice AS loan_amount, o_orderpriority AS community FROM orders")

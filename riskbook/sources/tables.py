@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import clean_numeric, norm_name, sample_cell
+from riskbook.operators.corpora import multi_left_join
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",", columns: list[str] | None = None, order: str | None = None, most: int | None = None, drop_bad: bool = False) -> DataFrame:
@@ -33,10 +34,16 @@ def scan_filtered(big: DataFrame, keep: DataFrame, key: str, columns: list[str])
     return big.select(key, *columns).join(keep.select(key), key, "left_semi")
 
 
-def numeric_columns(df: DataFrame, key: str) -> DataFrame:
-    """The key and the numeric columns, one row for each key (that of the smallest values)."""
+def numeric_columns(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The key and the numeric columns, one row for each key: the first in an explicit order."""
     numbers = [c for c, t in df.dtypes if c != key and t in ("int", "bigint", "double", "float")]
-    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in numbers])
+    first = df.groupBy(key).agg(F.min_by(F.struct(*numbers), F.struct(*order)).alias("_first"))
+    return first.select(key, *[F.col(f"_first.{c}").alias(c) for c in numbers])
+
+
+def scan_glob(base: DataFrame, parts: list[DataFrame], key: str, orders: list[list[str]]) -> DataFrame:
+    """Part tables' numeric columns joined to a base, one row a key; a column that is there already gets the part's number."""
+    return multi_left_join(base, [(numeric_columns(df, key, order), key) for df, order in zip(parts, orders)])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
@@ -73,12 +80,28 @@ def friendly_dtype(profile: DataFrame) -> DataFrame:
     return profile.withColumn("kind", kind)
 
 
+def column_catalog(tables: dict[str, DataFrame], words: list[str] = C.BINARY_WORDS) -> DataFrame:
+    """(table_name, name, position, n_unique, is_binary) of the columns of many tables: binary are those with one or two
+    distinct values, or with six or fewer of which one is a word of an outcome."""
+    parts = []
+    for table_name, df in tables.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(df.columns)])
+        parts.append(df.select(F.lit(table_name).alias("table_name"), F.explode(cells).alias("c")).select("table_name", "c.*").distinct())
+    worded = F.coalesce(F.bool_or(F.lower(F.trim("value")).isin(words)), F.lit(False))
+    seen = reduce(DataFrame.unionByName, parts).groupBy("table_name", "name", "position").agg(F.count("value").alias("n_unique"), worded.alias("worded"))
+    return seen.select("table_name", "name", "position", "n_unique", looks_binary(F.col("n_unique"), F.col("worded")).alias("is_binary"))
+
+
+def looks_binary(n_unique: Column, worded: Column) -> Column:
+    return n_unique.between(1, 2) | ((n_unique <= 6) & worded)
+
+
 def hint_scores(columns: DataFrame) -> DataFrame:
     """(table_name, field, name, score): how well each column's name fits each field. columns: table_name, name, position.
 
     The hints are a fixed list, carried as literals: no join, and a shuffle of (table, column, field) rows only.
     """
-    name = norm_name(F.col("name"))
+    name = F.col("_n")
 
     def score(words: list[str]):
         fits = []
@@ -89,7 +112,8 @@ def hint_scores(columns: DataFrame) -> DataFrame:
         return reduce(lambda a, b: F.greatest(a, F.coalesce(b, F.lit(0.0))), fits, F.lit(0.0))
 
     cells = F.array(*[F.struct(F.lit(i).alias("field_no"), F.lit(f).alias("field"), score(words).alias("score")) for i, (f, words) in enumerate(C.HINTS.items())])
-    return columns.select("table_name", "name", "position", F.explode(cells).alias("c")).select("table_name", "name", "position", "c.*")
+    normed = columns.select("table_name", "name", "position", F.explode(F.array(norm_name(F.col("name")))).alias("_n"))  # made once
+    return normed.select("table_name", "name", "position", F.explode(cells).alias("c")).select("table_name", "name", "position", "c.*")
 
 
 def heuristic_map(columns: DataFrame) -> DataFrame:
@@ -113,20 +137,31 @@ def heuristic_map(columns: DataFrame) -> DataFrame:
     return scores.groupBy("table_name").applyInPandas(walk, "table_name string, field string, name string, confidence double")
 
 
-def pick_target(columns: DataFrame) -> DataFrame:
-    """The target of each table: of its binary columns that of the best (score, position), else the best score of 0.7 or more."""
+def pick_target(columns: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """The target of each table: of its binary columns that aren't mapped that of the best (score, position); where there is
+    none, the column of the best score, if that is 0.7 or more."""
     scores = hint_scores(columns).where("field = 'target'").join(columns.select("table_name", "name", "is_binary"), ["table_name", "name"])
-    w = Window.partitionBy("table_name").orderBy(F.desc("is_binary"), F.desc("score"), F.desc("position"))
-    best = scores.withColumn("r", F.row_number().over(w)).where("r = 1 AND (is_binary OR score >= 0.7)")
-    return best.select("table_name", "name", F.greatest(F.lit(0.6), "score").alias("confidence"))
+    used = (mapping if mapping is not None else columns.limit(0)).select("table_name", "name", F.lit(True).alias("used"))
+    able = scores.join(used, ["table_name", "name"], "left").withColumn("able", F.col("is_binary") & F.col("used").isNull())
+    place = F.when(F.col("able"), F.col("position")).otherwise(-F.col("position"))
+    w = Window.partitionBy("table_name").orderBy(F.desc("able"), F.desc("score"), place.desc())
+    best = able.withColumn("r", F.row_number().over(w)).where("r = 1 AND (able OR score >= 0.7)")
+    return best.select("table_name", "name", F.round(F.greatest(F.lit(0.6), "score"), 2).alias("confidence"))
+
+
+def detect_protected(mapping: DataFrame) -> DataFrame:
+    """The mapped columns of protected fields."""
+    return mapping.where(F.col("field").isin([f for f, role in C.FIELDS.items() if role == "protected"])).select("table_name", "field", "name")
 
 
 def merge_mapping(seed: DataFrame, override: DataFrame, columns: DataFrame) -> DataFrame:
-    """An override takes a field where it names a real column, or null; else the seed stays."""
+    """(table_name, field, name, confidence): an override takes a field where it names a real column, or null; else the seed
+    stays. Its confidence, where it gives one, takes the seed's place."""
     o = override.join(columns.select("table_name", F.col("name").alias("override_name"), F.lit(True).alias("real")), ["table_name", "override_name"], "left")
-    both = seed.join(o.withColumn("given", F.lit(True)), ["table_name", "field"], "full")
-    takes = F.col("given").isNotNull() & (F.col("override_name").isNull() | F.col("real"))
-    return both.select("table_name", "field", F.when(takes, F.col("override_name")).otherwise(F.col("name")).alias("name"))
+    o = o.withColumnRenamed("confidence", "override_confidence").withColumn("given", F.lit(True))
+    both = seed.join(o, ["table_name", "field"], "full")
+    takes = F.col("given").isNotNull() & (F.col("override_name").isNull() | F.coalesce("real", F.lit(False)))
+    return both.select("table_name", "field", F.when(takes, F.col("override_name")).otherwise(F.col("name")).alias("name"), F.coalesce("override_confidence", "confidence").alias("confidence"))
 
 
 def sanitise_mapping(mapping: DataFrame, columns: DataFrame) -> DataFrame:
