@@ -66,6 +66,11 @@ def format_value(x: Column) -> Column:
     return F.when(x.isNull(), "missing").when(whole | (F.abs(x) >= 1e6), F.format_number(x, 0)).otherwise(F.format_number(x, 2))
 
 
+def format_text(x: Column) -> Column:
+    """A text for reading: beyond 60 characters, 57 and dots."""
+    return F.when(x.isNull(), "missing").when(F.length(x) > 60, F.concat(F.substring(x, 1, 57), F.lit("..."))).otherwise(x)
+
+
 def sample_cell(text: Column) -> Column:
     """A sample for a profile: longer texts are cut to 77 characters and dots."""
     return F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 77), F.lit("..."))).otherwise(text)

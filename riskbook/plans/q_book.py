@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskbook import catalog as C
-from riskbook.functions import clean_numeric, format_value, onset_month, risk_band, text_distress, weibull_curve
+from riskbook.functions import clean_numeric, format_text, format_value, onset_month, risk_band, text_distress, weibull_curve
 from riskbook.operators import cleaning, corpora, evaluation, portfolio, prior, records, splits
 from riskbook.operators.evaluation import round_all
 from riskbook.plans.fixtures import DIRTY_BOOK, LOAN_BOOK, dirty_book, loan_book, table
@@ -94,9 +94,9 @@ def one_hot(spark, d):
 
 
 @query(BOOK + """, v AS (SELECT 'loan_amount' AS feature, var_samp(loan_amount) AS variance FROM loan_book UNION ALL SELECT 'interest_rate', var_samp(interest_rate) FROM loan_book UNION ALL SELECT 'credit_score', var_samp(credit_score) FROM loan_book UNION ALL SELECT 'term_months', var_samp(term_months) FROM loan_book)
-SELECT feature, CAST(floor(log10(variance)) AS BIGINT) AS magnitude FROM v ORDER BY variance DESC LIMIT 3""")
+SELECT feature, round(log10(variance), 6) AS magnitude FROM v ORDER BY variance DESC LIMIT 3""")
 def variance_cap(spark, d):
-    return cleaning.variance_cap(loan_book(spark, d), ["loan_amount", "interest_rate", "credit_score", "term_months"], 3).select("feature", F.floor(F.log10("variance")).alias("magnitude"))
+    return cleaning.variance_cap(loan_book(spark, d), ["loan_amount", "interest_rate", "credit_score", "term_months"], 3).select("feature", F.round(F.log10("variance"), 6).alias("magnitude"))
 
 
 @query(BOOK + "SELECT loan_id, coalesce(CASE WHEN term_months > 60 THEN 0.0 ELSE collateral_value END, 0.0) AS value FROM loan_book")
@@ -325,9 +325,9 @@ def shap_linear(spark, d):
     return records.shap_linear(loan_book(spark, d)).select("loan_id", "feature", F.round("contribution", 4).alias("contribution"))
 
 
-@query(_SHAP + "SELECT loan_id, CAST(rank AS INT) AS rank, feature, direction, code FROM d")
+@query(_SHAP + "SELECT loan_id, CAST(rank AS INT) AS rank, feature, contribution, weight, direction, code FROM d")
 def top_drivers(spark, d):
-    return drivers(spark, d).select("loan_id", "rank", "feature", "direction", "code")
+    return drivers(spark, d).select("loan_id", "rank", "feature", "contribution", "weight", "direction", "code")
 
 
 def claims(spark, d):
@@ -337,9 +337,9 @@ def claims(spark, d):
     return x.select("loan_id", F.when(F.col("loan_id") % 11 == 0, F.concat(F.lit("x_"), "feature")).otherwise(F.col("feature")).alias("feature"), turned.alias("direction"))
 
 
-@query(_SHAP + "SELECT loan_id, CAST(CASE WHEN loan_id % 11 = 0 THEN count(*) ELSE 0 END AS BIGINT) AS unsupported, CAST(CASE WHEN loan_id % 7 = 0 AND loan_id % 11 <> 0 THEN count(*) ELSE 0 END AS BIGINT) AS flips, loan_id % 7 <> 0 AND loan_id % 11 <> 0 AS faithful FROM d WHERE rank <= 2 GROUP BY loan_id")
+@query(_SHAP + "SELECT loan_id, CASE WHEN loan_id % 11 = 0 THEN string_agg('x_' || feature, ',' ORDER BY feature) ELSE '' END AS unsupported, CASE WHEN loan_id % 7 = 0 AND loan_id % 11 <> 0 THEN string_agg(feature, ',' ORDER BY feature) ELSE '' END AS flips, loan_id % 7 <> 0 AND loan_id % 11 <> 0 AS faithful FROM d WHERE rank <= 2 GROUP BY loan_id")
 def structural_faithfulness(spark, d):
-    return records.structural_faithfulness(claims(spark, d), drivers(spark, d))
+    return records.structural_faithfulness(claims(spark, d), drivers(spark, d)).withColumns({c: F.concat_ws(",", c) for c in ("unsupported", "flips")})
 
 
 @query(_SHAP + ", l AS (SELECT DISTINCT loan_id FROM d) SELECT count(*) AS n, round(avg(CAST(loan_id % 7 <> 0 AND loan_id % 11 <> 0 AS INT)), 6) AS rate FROM l")
@@ -356,10 +356,16 @@ def merge_codes(spark, d):
 
 
 @query(_SHAP + """, b AS (SELECT loan_id, p, CASE WHEN p >= 0.5 THEN 'high' WHEN p >= 0.2 THEN 'medium' ELSE 'low' END AS band FROM loan_book)
-SELECT b.loan_id, 'Risk is ' || band || '. Main driver: ' || feature || '.' AS explanation FROM b JOIN d ON b.loan_id = d.loan_id AND rank = 1""")
+SELECT b.loan_id, 'Risk is ' || band || ' (' || format('{:.1f}', round(p * 100, 1)) || '%).' || CASE WHEN feature IS NULL THEN '' ELSE ' Main driver: ' || feature || '.' END AS explanation, round(greatest(0.02::DOUBLE, CASE WHEN feature IS NULL THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END * p), 2) AS pd_after FROM b LEFT JOIN d ON b.loan_id = d.loan_id AND rank = 1 AND b.loan_id % 9 <> 0""")
 def template_explanations(spark, d):
-    x = records.template_explanation(loan_book(spark, d).withColumn("band", risk_band(F.col("p"))), drivers(spark, d))
-    return x.select("loan_id", F.regexp_replace("explanation", r" \([0-9.]+%\)", "").alias("explanation"))
+    """Loans of every ninth id have no drivers."""
+    return records.template_explanation(loan_book(spark, d).withColumn("band", risk_band(F.col("p"))), drivers(spark, d).where("loan_id % 9 <> 0"))
+
+
+@query(BOOK + """SELECT loan_id, CASE WHEN collateral_value IS NULL THEN 'missing' WHEN collateral_value = floor(collateral_value) THEN format('{:,.0f}', collateral_value) ELSE format('{:,.2f}', collateral_value) END AS collateral, CASE WHEN loan_id % 4 = 0 THEN 'missing' WHEN loan_id % 4 = 1 THEN substr(repeat(sector || ' ', 10), 1, 57) || '...' ELSE sector END AS text FROM loan_book""")
+def format_missing_and_text(spark, d):
+    text = F.when(F.col("loan_id") % 4 == 0, None).when(F.col("loan_id") % 4 == 1, F.repeat(F.concat("sector", F.lit(" ")), F.lit(10))).otherwise(F.col("sector"))
+    return loan_book(spark, d).select("loan_id", format_value(F.col("collateral_value")).alias("collateral"), format_text(text).alias("text"))
 
 
 @query(BOOK + """SELECT loan_id, CASE WHEN loan_amount = floor(loan_amount) THEN format('{:,.0f}', loan_amount) ELSE format('{:,.2f}', loan_amount) END AS amount FROM loan_book""")

@@ -32,12 +32,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query(_SHAP + """, s0 AS (SELECT loan_id, loan_id % 7 <> 0 AND loan_id % 11 <> 0 AS faithful FROM d WHERE rank <= 2 GROUP BY loan_id)
-SELECT loan_id, CASE WHEN loan_id % 4 = 0 THEN faithful ELSE faithful AND (loan_id % 3 = 0 OR loan_id % 5 <> 0) END AS faithful FROM s0""")
+@query(_SHAP + """, s0 AS (SELECT loan_id, loan_id % 7 <> 0 AND loan_id % 11 <> 0 AS faithful, CASE WHEN loan_id % 7 = 0 AND loan_id % 11 <> 0 THEN string_agg(feature, ',' ORDER BY feature) END AS f FROM d WHERE rank <= 2 GROUP BY loan_id)
+SELECT loan_id, CASE WHEN loan_id % 4 = 0 THEN faithful ELSE faithful AND (loan_id % 3 = 0 OR loan_id % 5 <> 0) END AS faithful, concat_ws(',', f, CASE WHEN loan_id % 4 <> 0 THEN 'x' END) AS flips, CASE WHEN loan_id % 4 <> 0 AND loan_id % 5 = 0 THEN 'a claim' ELSE '' END AS claims FROM s0""")
 def combine_verdict(spark, d):
-    structure = records.structural_faithfulness(claims(spark, d), drivers(spark, d)).select("loan_id", "faithful", F.array().cast("array<string>").alias("flips"))
+    structure = records.structural_faithfulness(claims(spark, d), drivers(spark, d)).select("loan_id", "faithful", "flips")
     judged = structure.where("loan_id % 4 <> 0").select("loan_id", (F.col("loan_id") % 3 == 0).alias("judged"), F.when(F.col("loan_id") % 5 == 0, F.array(F.lit("a claim"), F.lit(" "))).otherwise(F.array(F.lit(" "))).alias("claims"), F.array(F.lit("x")).alias("judged_flips"))
-    return verdicts.combine_verdict(structure, judged).select("loan_id", "faithful")
+    return verdicts.combine_verdict(structure, judged).select("loan_id", "faithful", *[F.concat_ws(",", F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in ("flips", "claims")])
 
 
 @query("SELECT o_orderkey AS loan_id, CASE WHEN o_orderkey % 6 = 0 THEN 1 WHEN o_orderkey % 3 = 0 OR o_orderkey % 4 < o_orderkey % 5 THEN 2 ELSE 1 END AS attempt FROM orders")

@@ -117,9 +117,9 @@ def friendly_dtype(spark, d):
     return T.friendly_dtype(order_profile(spark, d)).select("name", "kind")
 
 
-@query(_PROFILE + "SELECT 'orders' AS filename, max(n) AS n_rows, count(*) AS n_columns FROM p")
+@query(_PROFILE + "SELECT 'orders' AS filename, max(n) AS n_rows, string_agg(name || ' ' || dtype || ' ' || n_unique || ' ' || array_to_string(sample, ','), '|' ORDER BY name) AS columns FROM p JOIN s USING (name)")
 def profile_file(spark, d):
-    return order_profile(spark, d).agg(F.lit("orders").alias("filename"), F.max("n").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"))
+    return T.profile_file(order_profile(spark, d), "orders").select("filename", "n_rows", F.concat_ws("|", F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["dtype"], c["n_unique"].cast("string"), F.concat_ws(",", c["sample"])))).alias("columns"))
 
 
 @query("SELECT item_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 77) || '...' ELSE text END AS sample FROM benchmark")

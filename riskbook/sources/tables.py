@@ -67,11 +67,17 @@ def profile_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     sums = values.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg(clean_numeric(F.col("value")).isNotNull().cast("double")).alias("castable"))
     firsts = values.where("value IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("key"))).where("r <= 5")  # five a task, by the group limit
-    sample = firsts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: sample_cell(x["value"])).alias("sample"))
+    sample = firsts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.when(types[F.col("name")].isin("double", "float"), F.round(x["value"].try_cast("double"), 4).cast("string")).otherwise(sample_cell(x["value"]))).alias("sample"))
     out = sums.join(unique, "name", "left").join(sample, "name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
     return out.select("name", types[F.col("name")].alias("dtype"), "sample", F.round(F.coalesce(F.try_divide(100 * F.col("nulls"), "n"), F.lit(0.0)), 1).alias("null_pct"), "n_unique", "n", "castable")
 
 
+def profile_file(profile: DataFrame, filename: str) -> DataFrame:
+    """One row for a table: filename, n_rows, columns (their profiles, in order of name)."""
+    columns = F.array_sort(F.collect_list(F.struct("name", "dtype", "sample", "null_pct", "n_unique")))  # a row a column
+    return profile.agg(F.lit(filename).alias("filename"), F.max("n").alias("n_rows"), columns.alias("columns"))
+
+
 def friendly_dtype(profile: DataFrame) -> DataFrame:
     """What a column is for people: boolean, integer, float, datetime, categorical, numeric_text or text."""
     t = F.col("dtype")
