@@ -110,8 +110,24 @@ def recover_json(df: DataFrame, column: str) -> DataFrame:
     return direct.unionByName(rest).withColumn("status", F.when(F.col("layer").isNull(), "failed").when(F.col("layer") == 4, "repaired").otherwise("ok"))
 
 
+RECORD = "pd double, pd_after double, drivers array<struct<feature string, weight double, direction string, code string>>"
+DIRECTIONS = ["increases_risk", "decreases_risk"]
+
+
 def validate_records(df: DataFrame, column: str, codes: list[str]) -> DataFrame:
-    """Records against their contract: weight and pd in [0, 1], code known (else OTHER); others are quarantined."""
-    r = F.from_json(column, "code string, weight double, pd double", {"mode": "PERMISSIVE"})
-    out = df.withColumn("_r", r).select(*df.columns, F.when(F.upper("_r.code").isin(codes), F.upper("_r.code")).otherwise("OTHER").alias("code"), F.col("_r.weight").alias("weight"), F.col("_r.pd").alias("pd"))
-    return out.withColumn("valid", F.coalesce(F.col("weight").between(0, 1) & F.col("pd").between(0, 1), F.lit(False)))
+    """Records against their contract: probabilities and weights in [0, 1], known directions, codes in capitals (unknown
+    ones are OTHER). One that breaks it is degraded: it keeps its probability, if that is one, and loses its drivers.
+
+    Added are pd, pd_after, drivers, valid and status.
+    """
+    r = F.from_json(column, RECORD, {"mode": "PERMISSIVE"})
+    known = lambda x: F.when(F.upper(x["code"]).isin(codes), F.upper(x["code"])).otherwise("OTHER")
+    share = lambda x: F.coalesce(x.between(0, 1), F.lit(False))
+    out = df.withColumn("_r", r).withColumn("_d", F.coalesce("_r.drivers", F.array().cast("array<struct<feature string, weight double, direction string, code string>>")))
+    sound = F.forall("_d", lambda x: share(x["weight"]) & F.coalesce(x["direction"].isin(DIRECTIONS), F.lit(False)) & x["feature"].isNotNull())
+    out = out.withColumn("valid", share(F.col("_r.pd")) & (F.col("_r.pd_after").isNull() | share(F.col("_r.pd_after"))) & sound)
+    drivers = F.transform("_d", lambda x: F.struct(x["feature"].alias("feature"), x["weight"].alias("weight"), x["direction"].alias("direction"), known(x).alias("code")))
+    return out.select(
+        *df.columns, F.when(share(F.col("_r.pd")), F.col("_r.pd")).alias("pd"), F.when(F.col("valid"), F.col("_r.pd_after")).alias("pd_after"),
+        F.when(F.col("valid"), drivers).otherwise(F.slice(drivers, 1, 0)).alias("drivers"), "valid", F.when(F.col("valid"), "ok").otherwise("degraded").alias("status"),
+    )

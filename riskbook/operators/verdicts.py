@@ -25,9 +25,10 @@ def choose_retry(attempts: DataFrame) -> DataFrame:
     return sides.select("loan_id", F.when(better, 2).otherwise(1).alias("attempt"))
 
 
-def consensus(choice: Column, a: Column, b: Column, merged: Column) -> Column:
-    """The text that a verdict chose; a where it chose nothing known."""
-    return F.when(choice == "b", b).when((choice == "merged") & (F.length(F.trim(merged)) > 0), merged).otherwise(a)
+def consensus(choice: Column, a: Column, b: Column, merged: Column, high: Column) -> Column:
+    """For a loan of the high band, the text that a verdict chose; a where it chose nothing known, and in other bands."""
+    chosen = F.when(choice == "b", b).when((choice == "merged") & (F.length(F.trim(merged)) > 0), merged).otherwise(a)
+    return F.when(high & b.isNotNull(), chosen).otherwise(a)
 
 
 def ground_action(records: DataFrame, recourse: DataFrame) -> DataFrame:

@@ -330,6 +330,14 @@ def top_drivers(spark, d):
     return drivers(spark, d).select("loan_id", "rank", "feature", "contribution", "weight", "direction", "code")
 
 
+@query(BOOK + "SELECT loan_id, CASE loan_id % 5 WHEN 0 THEN 'sector' WHEN 1 THEN 'loan_amount' WHEN 2 THEN NULL WHEN 3 THEN 'text_purpose' ELSE 'credit_score' END AS base, CASE loan_id % 5 WHEN 0 THEN 'SECTOR_RISK' WHEN 1 THEN 'LEVERAGE_HIGH' WHEN 2 THEN 'OTHER' WHEN 3 THEN 'TEXT_DISTRESS_SIGNAL' ELSE 'REPAYMENT_HISTORY_POOR' END AS code FROM loan_book")
+def feature_base(spark, d):
+    """Columns of a feature matrix, named after fields and levels."""
+    k = F.col("loan_id") % 5
+    name = F.when(k == 0, F.concat(F.lit("sector_"), "sector")).when(k == 1, "loan_amount").when(k == 2, F.concat(F.lit("x_"), "region")).when(k == 3, "text_purpose_distress").otherwise("credit_score")
+    return loan_book(spark, d).select("loan_id", records.feature_base(name).alias("base"), records.reason_of(name).alias("code"))
+
+
 def claims(spark, d):
     """Claims about drivers, of which every seventh loan's are turned and every eleventh loan's name no driver."""
     x = drivers(spark, d).where("rank <= 2")

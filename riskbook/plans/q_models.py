@@ -154,11 +154,15 @@ def recover_json(spark, d):
     return json_recovery.recover_json(json_lines(spark, d), "line").select("event_id", "layer", "status", "object")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'SECTOR_RISK' ELSE 'OTHER' END AS code, value / 10 <= 1 AND value >= 0 AS valid FROM events")
+@query("""WITH e AS (SELECT event_id, value, value / 10 <= 1 AND value >= 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS valid FROM events)
+SELECT event_id, valid, CASE WHEN valid THEN 'ok' ELSE 'degraded' END AS status, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS pd, CASE WHEN valid AND event_id % 2 = 0 THEN 0.25 END::DOUBLE AS pd_after, CASE WHEN valid THEN CASE WHEN event_id % 3 = 0 THEN 'SECTOR_RISK' ELSE 'OTHER' END || ',LIQUIDITY_STRESS' ELSE '' END AS codes FROM e""")
 def validate_record(spark, d):
-    text = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "sector_risk").otherwise("unheard_of").alias("code"), (F.col("value") / 10).alias("weight"), F.lit(0.5).alias("pd")))
-    rows = table(spark, d, "events").select("event_id", text.alias("record"))
-    return json_recovery.validate_records(rows, "record", [*dict.fromkeys(C.REASONS.values()), "OTHER"]).select("event_id", "code", "valid")
+    k = F.col("event_id")
+    one = F.struct(F.lit("sector").alias("feature"), (F.col("value") / 10).alias("weight"), F.when(k % 11 == 0, "sideways").otherwise("increases_risk").alias("direction"), F.when(k % 3 == 0, "sector_risk").otherwise("unheard_of").alias("code"))
+    two = F.struct(F.lit("dscr").alias("feature"), F.lit(1.0).alias("weight"), F.lit("decreases_risk").alias("direction"), F.lit("Liquidity_Stress").alias("code"))
+    text = F.to_json(F.struct(F.when(k % 7 == 0, 1.5).otherwise(0.5).alias("pd"), F.when(k % 2 == 0, 0.25).alias("pd_after"), F.array(one, two).alias("drivers")))
+    rows = json_recovery.validate_records(table(spark, d, "events").select("event_id", text.alias("record")), "record", [*dict.fromkeys(C.REASONS.values()), "OTHER"])
+    return rows.select("event_id", "valid", "status", "pd", "pd_after", F.concat_ws(",", F.transform("drivers", lambda x: x["code"])).alias("codes"))
 
 
 @query("SELECT r.corpus, coalesce(e.n, 0) AS n, e.base_rate, e.auc, e.pr_auc, e.ece, CASE WHEN e.n IS NULL THEN 'failed' ELSE 'ok' END AS status FROM (SELECT DISTINCT c_mktsegment AS corpus FROM customer UNION ALL SELECT 'NONE') r LEFT JOIN (" + BOOK_SQL["evaluate"] + ") e ON r.corpus = e.sector")

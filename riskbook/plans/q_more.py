@@ -48,11 +48,11 @@ def choose_retry(spark, d):
     return verdicts.choose_retry(attempts)
 
 
-@query("SELECT o_orderkey AS loan_id, CASE o_orderkey % 4 WHEN 1 THEN 'B' WHEN 2 THEN 'AB' ELSE 'A' END AS text FROM orders")
+@query("SELECT o_orderkey AS loan_id, CASE WHEN o_orderkey % 3 = 0 THEN 'A' ELSE CASE o_orderkey % 4 WHEN 1 THEN 'B' WHEN 2 THEN 'AB' ELSE 'A' END END AS text FROM orders")
 def consensus_choice(spark, d):
     k = F.col("o_orderkey") % 4
     choice = F.when(k == 0, "a").when(k == 1, "b").otherwise("merged")
-    text = verdicts.consensus(choice, F.lit("A"), F.lit("B"), F.when(k == 2, "AB").otherwise(" "))
+    text = verdicts.consensus(choice, F.lit("A"), F.lit("B"), F.when(k == 2, "AB").otherwise(" "), F.col("o_orderkey") % 3 != 0)
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("loan_id"), text.alias("text"))
 
 
@@ -189,4 +189,6 @@ def portfolio_result(spark, d):
     bands = portfolio.risk_distribution(book).agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("distribution"))  # three
     top = portfolio.top_risk(book, 50).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("by"), "loan_id"))).alias("top"))  # fifty
     audit = portfolio.fairness_audit(book, ATTRIBUTES).agg(F.collect_list(F.struct("attribute", "dp_diff", "eo_diff", "verdict")).alias("fairness"))  # one an attribute
-    return bands.crossJoin(top).crossJoin(audit).crossJoin(evaluation.evaluate(book))
+    mapped = F.create_map(*[F.lit(x) for pair in MAPPING.items() for x in pair])
+    facts = evaluation.evaluate(book).withColumns({"model": F.lit("fixed formula"), "mapping": mapped, "warnings": F.array_distinct(F.array(F.lit("scores are a fixed formula's"), F.lit("scores are a fixed formula's")))})
+    return bands.crossJoin(top).crossJoin(audit).crossJoin(facts)  # one row each
