@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty
+from .common import give_back, mix64, text_or_empty
 from .quality_rules import base_counts
 
 WORDS, SHAPES, BINS = 1 << 12, 1 << 11, 12
@@ -113,7 +113,9 @@ def scores_of(model: dict | None, texts: list[str], neighbours: int = 11) -> np.
     """The score of each text, block by block; 1 without a model."""
     if model is None or not texts:
         return np.ones(len(texts))
-    return np.concatenate([vote(model, latent(model, terms(texts[at : at + BLOCK])), neighbours) for at in range(0, len(texts), BLOCK)]).astype(np.float64)
+    out = np.concatenate([vote(model, latent(model, terms(texts[at : at + BLOCK])), neighbours) for at in range(0, len(texts), BLOCK)]).astype(np.float64)
+    give_back()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty, written
+from .common import give_back, mix64, text_or_empty, written
 
 ORDER = 5
 BEGIN = 2  # the code point that stands before a text
@@ -140,6 +140,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
             held.append(unique(some))
             if len(held) > 3:
                 held = [merged(held)]
+                give_back()
                 if len(held[0][0]) > 1 << 21:  # enough for one table
                     yield from rows(held)
                     held = []
@@ -357,6 +358,7 @@ def document_measures(docs: DataFrame, order: int = ORDER, most_bytes: int = 1 <
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     yield measured(batch.slice(at, 2000), shared.value)
+                    give_back()
 
         out = texts.mapInArrow(measure, schema)
     else:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
 from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
@@ -255,6 +257,8 @@ class UnitEncoder:
             ends = ends + np.arange(1, len(ends) + 1)
         for k, i, j in zip(owners, [0, *ends[:-1].tolist()], ends.tolist()):
             out[k].append(ids[i:j])
+        del numbers, names, new
+        give_back()
 
 
 def encoder(path: str, units: Callable, _made: dict = {}) -> UnitEncoder:
