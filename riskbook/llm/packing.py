@@ -11,7 +11,7 @@ A sequence whose length is a power of two needs no padding, so patterns may end
 parts fill sequences without a gap, again by arithmetic on ranks.
 
 Defined results. Null or empty text: the end id alone. Repeated rows of a doc_id: each is packed; their pieces have the
-same start. Empty table: no row. Very long texts: many full sequences and a rest. Other columns are ignored.
+same start. A null doc_id: packed as any other. Empty table: no row. Very long texts: many full sequences and a rest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,7 +206,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array(to["tail"], np.int64)
         for batch in batches:
-            doc, start, length, crc, tokens, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            start, length, crc, tokens, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+            row = np.arange(batch.num_rows)  # ids may be null, so rows stand for them
             sequence, offset = np.full(len(length), -1), np.zeros(len(length), np.int64)
             parts = []
             for n in np.unique(length).tolist():
@@ -224,11 +225,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
                         k = np.searchsorted(tail, run, "right") - 1
                         full = np.where(last, tail[0] // capacity + k, full)
                         inside = np.where(last, run - tail[np.maximum(k, 0)], inside)
-                        parts.append((doc[over], start[over] + of, np.full(len(over), power), crcs[:, j], tokens[over], to["sequences"] + full, inside))
+                        parts.append((row[over], start[over] + of, np.full(len(over), power), crcs[:, j], tokens[over], to["sequences"] + full, inside))
                         of += power
             whole = sequence >= 0
-            rows = [(doc[whole], start[whole], length[whole], crc[whole], tokens[whole], sequence[whole], offset[whole]), *parts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=columns)
+            rows = [(row[whole], start[whole], length[whole], crc[whole], tokens[whole], sequence[whole], offset[whole]), *parts]
+            which, *rest = (np.concatenate(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *map(pa.array, rest)], names=columns)
 
     ranked = pieces.join(by_task.select("length", "task", "before"), ["length", "task"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local_rank")).alias("rank"), "part_crcs")
