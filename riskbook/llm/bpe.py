@@ -7,9 +7,8 @@ first such place is the seam. The pieces between seams are then encoded in paral
 together in order. If two neighbours have no common boundary in the overlap (a run of thousands of letters, say), they
 are one piece. Decoding concatenates the raw bytes of the ids.
 
-Defined results. Null: an empty text, no ids. Repeated rows of a doc_id: each gets a row. A null doc_id: the row is left out.
-Empty table: no row. Other
-columns are ignored.
+Defined results. Null: an empty text, no ids. Repeated rows of a doc_id: each gets a row. A null doc_id: a row as any other.
+Empty table: no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,31 +96,31 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, overl
     found_schema = pa.schema([*chunk_schema, ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
     seam_schema = pa.schema([*chunk_schema, ("last", pa.bool_()), ("seam", pa.int64())])
 
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
     limit = chunk + overlap
     short = texts.where(F.length("t") <= limit).mapInArrow(whole, "doc_id long, n_tokens long, ids binary").withColumn("row", F.lit(0).cast("long"))
     long = texts.where(F.length("t") > limit).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "t")
     parts = written(long.mapInArrow(chunks, "doc_id long, row long, k int, at long, part string"), "chunks")
     # spread by chunk, so one huge document is pre-tokenised by many tasks
     found = written(parts.repartition("doc_id", "row", "k").mapInArrow(pretokenise, "doc_id long, row long, k int, at long, part string, head array<long>, tail array<long>"), "boundaries")
-    heads = found.select("doc_id", "row", (F.col("k") - 1).alias("k"), F.col("head").alias("next_head"))
-    seams = found.join(heads, ["doc_id", "row", "k"], "left").withColumn("last", F.col("next_head").isNull())
+    heads = found.select("row", (F.col("k") - 1).alias("k"), F.col("head").alias("next_head"))
+    seams = found.join(heads, ["row", "k"], "left").withColumn("last", F.col("next_head").isNull())
     seams = written(seams.select("doc_id", "row", "k", "at", "part", "tail", "next_head", "last").mapInArrow(stitch, "doc_id long, row long, k int, at long, part string, last boolean, seam long"), "seams")
     # A chunk whose seam before it is missing goes on with its predecessor's piece: it is cut where its successor starts.
-    ends = seams.select("doc_id", "row", (F.col("k") + 1).alias("k"), F.col("seam").alias("from"), F.lit(True).alias("after"))
-    cut = seams.join(ends, ["doc_id", "row", "k"], "left")
+    ends = seams.select("row", (F.col("k") + 1).alias("k"), F.col("seam").alias("from"), F.lit(True).alias("after"))
+    cut = seams.join(ends, ["row", "k"], "left")
     own = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.coalesce("from", "at")) - F.col("at")
     until = F.when(F.col("last"), F.lit(2**31 - 1)).otherwise(F.coalesce("seam", F.col("at") + chunk) - F.col("at"))
     pieces = cut.withColumn("piece", F.substring("part", own.cast("int") + 1, (until - own).cast("int")))
     pieces = pieces.withColumn("joins", (F.col("k") > 0) & F.col("from").isNull())
-    clean = pieces.groupBy("doc_id", "row").agg(F.bool_or("joins").alias("joined"))
-    whole_docs = clean.where("joined").select("doc_id", "row")
-    good = pieces.join(clean.where("not joined").select("doc_id", "row"), ["doc_id", "row"], "left_semi").select("doc_id", "row", "k", "piece")
+    clean = pieces.groupBy("row").agg(F.bool_or("joins").alias("joined"))
+    whole_docs = clean.where("joined").select("row")
+    good = pieces.join(clean.where("not joined").select("row"), "row", "left_semi").select("doc_id", "row", "k", "piece")
     # without a seam somewhere, the document's runs of chunks between seams are put together before they are encoded
-    runs = pieces.join(whole_docs, ["doc_id", "row"], "left_semi").select("doc_id", "row", "k", "piece", F.coalesce(F.when(~F.col("joins"), F.col("k")), F.lit(None)).alias("first"))
+    runs = pieces.join(whole_docs, "row", "left_semi").select("doc_id", "row", "k", "piece", F.coalesce(F.when(~F.col("joins"), F.col("k")), F.lit(None)).alias("first"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id", "row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.last("first", ignorenulls=True).over(w)).groupBy("doc_id", "row", "run").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
     runs = runs.select("doc_id", "row", F.col("run").alias("k"), F.concat_ws("", F.col("p.piece")).alias("piece"))
     encoded = good.unionByName(runs).repartition("doc_id", "row", "k").mapInArrow(encode_pieces, "doc_id long, row long, k int, ids binary")

@@ -400,6 +400,9 @@ def test_bpe_round_trip(docs, none, rows, chunk, overlap):
         assert (got[d]["n_tokens"], got[d]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert got[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.round_trip(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    nameless = docs.sparkSession.createDataFrame([(None, "a b " * 200, 1), (None, None, 1)], "doc_id long, text string, row int")
+    got = [(r["doc_id"], r["n_tokens"]) for r in bpe.round_trip(nameless, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk, overlap).collect()]
+    assert sorted(n for _, n in got) == [0, len(encoding.encode_ordinary("a b " * 200))] and {d for d, _ in got} == {None}
 
 
 def test_bpe_without_a_seam(spark):
