@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_files
+from . import bpe, exact_dedup, html_text, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_files
 from .common import shared_dir, table
 from .units import bare_units
 
@@ -55,10 +55,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_substring_dedup, op2_license_scan, op3_packing, op4_simhash, op5_quality_rules, op6_html_extraction, op7_bpe_round_trip, op8_token_files, op9_quality_classifier, op10_exact_dedup)
+        for f in (op1_substring_dedup, op2_license_scan, op3_packing, op4_simhash, op5_quality_rules, op6_html_extraction, op7_bpe_round_trip, op8_token_files, op9_quality_classifier, op10_exact_dedup, op13_token_alignment)
     }
 
 
