@@ -32,6 +32,7 @@ from .common import give_back, utf8_rows, written
 from .units import SAFE_CUT, SLICE, WHITE, _Table, encoder, slices, spaced_units
 
 GROUP = 1 << 21  # bytes of texts that are tokenised and aligned together
+MOST = 120_000  # stretches of text that a worker remembers the ids of
 PAIR = 32  # bits of the B id in a pair's number
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -126,11 +127,11 @@ class Tokens:
         parts = [part if at == 0 else part[1:] for text in texts for at, part in enumerate(slices(text))]
         per_text = [sum(1 for _ in slices(text)) if len(text) > SLICE else 1 for text in texts]
         numbers, counts, names = led_units(pa.array(parts, pa.string()))
-        if len(self.a.table.index) > self.a.most:
+        if len(self.a.table.index) > MOST:
             self.a.table = _Table()
-        if len(self.a.parts.index) > self.a.most:
+        if len(self.a.parts.index) > 2 * MOST:
             self.a.parts = _Table()
-        if len(self.table_b.index) > self.a.most:
+        if len(self.table_b.index) > MOST:
             self.table_b = _Table()
         out = []
         ends = np.cumsum(counts)[np.cumsum(per_text) - 1]
@@ -229,8 +230,8 @@ def written_groups(got: Aligned, both: Tokens) -> Iterator[memoryview]:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """The ids and texts of about GROUP bytes at a time."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
+    for some in (batch.slice(at, 200) for batch in batches for at in range(0, batch.num_rows, 200)):
+        for doc_id, text in zip(some.column(0).to_pylist(), utf8_rows(some.column(1))):
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
