@@ -27,13 +27,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import give_back, mix64, text_or_empty, utf8_rows
 
 GROUP = 1 << 22  # bytes of texts that are sampled together
 SAMPLES = 128
-LEAST_ID = -(2**63)  # stands for a null id
+LEAST_ID = -(2**63)  # stands for a null id in the order
 UNIT = 2.0**-32
 
 
@@ -108,24 +107,6 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return _texts(docs).mapInArrow(rows, "doc_id long, fingerprint binary")
 
 
-def near_fingerprints(prints: DataFrame, threshold: float = 0.8, band: int = 4) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, likeness) of distinct fingerprints that agree in `threshold` of their samples or more, found
-    by bands of `band` samples: a pair at 0.8 shares one of 32 bands of four all but surely. Copies have one fingerprint, which is
-    their class; documents join it by `prints`."""
-    classes = prints.select("fingerprint").distinct()
-    bands = classes.select("fingerprint", F.explode(F.sequence(F.lit(0), F.expr(f"cast(length(fingerprint) / {2 * band} as int) - 1"))).alias("k"))
-    bands = bands.select("fingerprint", "k", F.expr(f"substring(fingerprint, {2 * band} * k + 1, {2 * band})").alias("part"))
-    other = bands.select(F.col("fingerprint").alias("fingerprint_b"), "k", "part")
-    pairs = bands.withColumnRenamed("fingerprint", "fingerprint_a").join(other, ["k", "part"]).where("fingerprint_a < fingerprint_b").select("fingerprint_a", "fingerprint_b").distinct()
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.stack([np.frombuffer(v, "<u2") for v in s]) if len(s) else np.zeros((0, 1), np.uint16) for s in (a, b))
-        return pd.Series(likeness(x, y))
-
-    return pairs.withColumn("likeness", alike("fingerprint_a", "fingerprint_b")).where(F.col("likeness") >= threshold)
-
-
 def edited(text: str, after: str) -> str:
     """The text with its last third's code points replaced by the first as many of the text after it."""
     n = len(text) // 3

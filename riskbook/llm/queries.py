@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, license_scan, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_files
+from . import bpe, exact_dedup, fingerprints, html_text, license_scan, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, token_alignment, token_files
 from .common import shared_dir, table
 from .units import bare_units
 
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_substring_dedup, op2_license_scan, op3_packing, op4_simhash, op5_quality_rules, op6_html_extraction, op7_bpe_round_trip, op8_token_files, op9_quality_classifier, op10_exact_dedup, op12_periodic_runs, op13_token_alignment)
+        for f in (op1_substring_dedup, op2_license_scan, op3_packing, op4_simhash, op5_quality_rules, op6_html_extraction, op7_bpe_round_trip, op8_token_files, op9_quality_classifier, op10_exact_dedup, op11_fingerprints, op12_periodic_runs, op13_token_alignment)
     }
 
 
