@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import rank_normalise
+from .evaluation import rank_columns
 from .splits import hash_rank
 
 
@@ -80,9 +80,7 @@ def mean_of(columns: list[Column]) -> Column:
 def build_pool(df: DataFrame, corpus: str, key: str, columns: list[str], cap: int) -> DataFrame:
     """Corpora in one table: each capped in a repeatable random order, its columns rank-normalised within it."""
     ranked = hash_rank(df, corpus, key).where(F.col("_rank") <= cap).drop("_rank", "_size")
-    for c in columns:
-        ranked = rank_normalise(ranked, c, corpus, f"{c}_rank")
-    return ranked
+    return rank_columns(ranked, columns, corpus, {c: f"{c}_rank" for c in columns})
 
 
 def corpus_summary(df: DataFrame, corpus: str, label: str) -> DataFrame:

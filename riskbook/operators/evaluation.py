@@ -1,36 +1,73 @@
-"""Evaluation of scores against labels, by segment. All frames carry columns y (0/1) and p."""
+"""Evaluation of scores against labels, by segment. All frames carry columns y (0/1) and p.
+
+Metrics come from a score table: positives and rows of each distinct score. Tables of several days add up (`merged_scores`), and
+all metrics of all segments take one running sum over one written table.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskbook.functions import calibration_bin
 
 from .running import same, with_sums_before
+from .staging import staged
+
+
+def score_table(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, p, pos, n, known): positives, rows and labelled rows of each distinct score."""
+    return df.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"), F.count("y").alias("known"))
+
+
+def merged_scores(tables: list[DataFrame], keys: list[str] = ()) -> DataFrame:
+    """The score table of all rows of several, from theirs alone."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*keys, "p").agg(*[F.sum(c).alias(c) for c in ("pos", "n", "known")])
 
 
-def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Positives and rows of each distinct score: what follows works on scores, not rows."""
-    return df.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+def _bins(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of each segment's calibration bins, from a score table with one running sum."""
+    pos, n, p, known = F.col("pos"), F.col("n"), F.col("p"), F.col("known")
+    ranked = with_sums_before(scores, keys, "p", {"_pos": "pos", "_n": "n"}, overall=True)
+    precision = (F.col("_pos_all") - F.col("_pos")) / (F.col("_n_all") - F.col("_n"))  # of all at this score or above
+    return ranked.groupBy(*keys, calibration_bin(p).alias("_bin")).agg(
+        F.sum(pos * (F.col("_n") + (n + 1) / 2)).alias("ranks"), F.sum(pos * precision).alias("gained"), F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum("known").alias("known"),
+        F.sum(pos * F.pow(p - 1, 2) + (known - pos) * F.pow(p, 2)).alias("squares"), F.sum(F.when(p.isNotNull(), known)).alias("squared"), F.sum(n * p).alias("scores"), F.sum(F.when(p.isNotNull(), n)).alias("scored"),
+    )
+
+
+def _area(ranks: str = "ranks") -> Column:
+    area = F.try_divide(F.col(ranks) - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
+    return F.coalesce(area, F.lit(0.5)).alias("auc")
+
+
+def evaluate_scores(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """All metrics of each segment of a score table."""
+    keys = list(keys)
+    gap = F.col("n") * F.abs(F.col("pos") / F.col("known") - F.col("scores") / F.col("scored"))
+    sums = _bins(scores, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("ranks", "gained", "pos", "n", "known", "squares", "squared")], F.sum(gap).alias("gaps"))
+    sums = sums.withColumn("n", F.coalesce("n", F.lit(0)))
+    return sums.select(
+        *keys, "n", F.try_divide("pos", "known").alias("base_rate"), _area(), (2 * _area() - 1).alias("gini"), F.coalesce(F.try_divide("gained", "pos"), F.lit(0.0)).alias("pr_auc"),
+        F.try_divide("squares", "squared").alias("brier"), F.try_divide("gaps", "n").alias("ece"),
+    )
+
+
+def evaluate(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """All metrics of each segment; null is a segment too. The input is read once, into a written score table."""
+    return evaluate_scores(staged(score_table(df, list(keys))), keys)
 
 
 def auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """auc and gini; ties count a half; 0.5 where a class is missing."""
-    keys = list(keys)
-    ranked = with_sums_before(by_score(df, keys), keys, "p", {"before": "n"})
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    area = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
-    return sums.select(*keys, F.coalesce(area, F.lit(0.5)).alias("auc")).withColumn("gini", 2 * F.col("auc") - 1)
+    return evaluate(df, keys).select(*keys, "auc", "gini")
 
 
 def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """The sum over falling thresholds of the recall gained times the precision; the base rate where there is no positive."""
-    keys = list(keys)
-    steps = with_sums_before(by_score(df, keys), keys, "p", {"tp": "pos", "seen": "n"}, falling=True)
-    precision = (F.col("tp") + F.col("pos")) / (F.col("seen") + F.col("n"))
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("pos") * precision).alias("gained"), F.sum("pos").alias("pos"))
-    return sums.select(*keys, F.coalesce(F.try_divide("gained", "pos"), F.lit(0.0)).alias("pr_auc"))
+    return evaluate(df, keys).select(*keys, "pr_auc")
 
 
 def brier(df: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -48,18 +85,6 @@ def ece(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     return reliability(df, keys).groupBy(*keys).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
-def evaluate(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """All metrics of each segment; null is a segment too."""
-    keys = list(keys)
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate"))
-    for part in (auc(df, keys), average_precision(df, keys), brier(df, keys), ece(df, keys)):
-        if keys:
-            base = base.join(part, same(base, part, keys)).select(base["*"], *[part[c] for c in part.columns if c not in keys])
-        else:
-            base = base.crossJoin(F.broadcast(part))  # one row each
-    return base
-
-
 def metrics_report(df: DataFrame, expected: DataFrame) -> DataFrame:
     """A row for each corpus that was expected: n, base rate, AUC, average precision and ECE, or status `failed` where it has
     no scores. df: corpus, y, p; expected: corpus."""
@@ -68,13 +93,30 @@ def metrics_report(df: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("corpus", F.coalesce("n", F.lit(0)).alias("n"), "base_rate", "auc", "pr_auc", "ece", F.when(F.col("n").isNull(), "failed").otherwise("ok").alias("status"))
 
 
+def rank_columns(df: DataFrame, columns: list[str], group: str, names: dict[str, str]) -> DataFrame:
+    """df with, for each column, its average-tie rank among the group's values by their number under the name that `names` gives;
+    null for groups of under ten values. A column may take its own name.
+
+    All columns go together: one count of distinct (group, column, value), one deal over ranges, one join back; the input is
+    read once, whatever the number of columns.
+    """
+    rows = staged(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = F.array(*[F.struct(F.lit(k).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for k, c in enumerate(columns)])
+    long = rows.select("_row", F.col(f"`{group}`").alias("_g"), F.explode(cells).alias("_x")).select("_row", "_g", "_x.*").where("_v IS NOT NULL")
+    counts = staged(long.groupBy("_g", "_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ranks = with_sums_before(counts, ["_g", "_c"], "_v", {"_before": "_n"}, overall=True)
+    ranks = staged(ranks.select("_g", "_c", "_v", F.when(F.col("_before_all") >= 10, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_before_all")).alias("_r")))
+    found = long.join(ranks, same(long, ranks, ["_g", "_c", "_v"])).select("_row", long["_c"], "_r")
+    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == k, F.col("_r"))).alias(f"_r{k}") for k in range(len(columns))])
+    kept = [c for c in df.columns if c not in names.values()]
+    return rows.join(wide, "_row", "left").select(*[f"`{c}`" for c in kept], *[F.col(f"_r{k}").alias(names[c]) for k, c in enumerate(columns)])
+
+
 def rank_normalise(df: DataFrame, column: str, group: str, to: str) -> DataFrame:
     """A value's average-tie rank among the group's values by their number; null for groups of under ten values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(group).agg(F.sum("_n").alias("_all"))
-    ranks = with_sums_before(counts, [group], column, {"_before": "_n"})
-    ranks = ranks.join(sizes, same(ranks, sizes, [group])).select(ranks["*"], "_all")
-    ranks = ranks.select(F.col(group).alias("_g"), F.col(column).alias("_v"), F.when(F.col("_all") >= 10, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(to))
+    counts = staged(df.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count(F.lit(1)).alias("_n")))
+    ranks = with_sums_before(counts, [group], column, {"_before": "_n"}, overall=True)
+    ranks = ranks.select(F.col(group).alias("_g"), F.col(column).alias("_v"), F.when(F.col("_before_all") >= 10, (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_before_all")).alias(to))
     return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_v")), "left").drop("_g", "_v")
 
 

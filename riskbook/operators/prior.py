@@ -9,7 +9,6 @@ from riskbook import catalog as C
 from riskbook.functions import clean_numeric
 
 from . import evaluation, training
-from .staging import staged
 
 NUMBERS = [c for c in C.POOLED if c != "can_sector"]
 
@@ -42,8 +41,8 @@ def coverage(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
 def score_prior(prior: training.Bundle, df: DataFrame, mapping: dict[str, str | None], normalised: list[str] = ()) -> DataFrame:
     """df with prior_pd. A prior that was trained on ranks gets ranks: of the columns in `normalised`, within the book."""
     out = to_canonical(df, mapping).withColumn("_book", F.lit("book"))
-    for c in normalised:  # each written, as the next reads it several times
-        out = evaluation.rank_normalise(staged(out), c, "_book", "_rank").drop(c).withColumnRenamed("_rank", c)
+    if normalised:
+        out = evaluation.rank_columns(out, list(normalised), "_book", {c: c for c in normalised})
     return prior.score(out).withColumnRenamed("p", "prior_pd").select(*df.columns, "prior_pd")
 
 

@@ -1,7 +1,8 @@
 """Running sums and fills over whole tables without one task for all rows.
 
-Rows are dealt over ranges of the order column (cut at its approximate quantiles), summed up or filled inside each range,
-and the ranges' totals, a bounded number, are added on top.
+Rows are dealt over ranges of the order column, on its own type (numbers, dates and times are cut at their approximate
+quantiles; text, structs and the like at the quantiles of a bounded sample), summed up or filled inside each range, and the ranges'
+totals, a bounded number, are added on top.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGES = 1024
 
@@ -20,10 +22,20 @@ def range_of(value: Column, cuts: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
 
 
+def cuts_of(df: DataFrame, order: str) -> DataFrame:
+    """One row, _cuts: RANGES - 1 rising values of the order column. Cuts decide how evenly rows are dealt, never a result."""
+    if isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    mixed = F.xxhash64(*[f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+    some = df.where(F.col(order).isNotNull()).select(F.col(order).alias("_v"), mixed.alias("_h")).orderBy("_h", "_v").limit(16 * RANGES)
+    values = some.agg(F.array_sort(F.collect_list("_v")).alias("_all"))  # the bounded sample
+    return values.select(F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda k: F.get("_all", (k * F.size("_all") / RANGES).cast("int"))).alias("_cuts"))
+
+
 def dealt(df: DataFrame, order: str) -> DataFrame:
-    """df with _range, the number of the range of the order column."""
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("_range", range_of(F.col(order).cast("double"), F.col("_cuts"))).drop("_cuts")  # one row
+    """df with _range, the number of the range of the order column; null is in the first."""
+    cuts = cuts_of(df, order)
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_range", range_of(F.col(order), F.col("_cuts"))).drop("_cuts")  # one row
 
 
 def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
@@ -31,18 +43,19 @@ def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
 
 
-def with_sums_before(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], falling: bool = False) -> DataFrame:
+def with_sums_before(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], falling: bool = False, overall: bool = False) -> DataFrame:
     """df with, for each new name in columns, the sum of the old one over the rows of the same keys before a row; `order`
-    must tell these rows apart."""
+    must tell these rows apart. With `overall`, also the sum over all rows of the same keys, as <new>_all."""
     ranged = dealt(df, order)
     direction = F.desc if falling else F.asc
     before = Window.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in columns.items()])
-    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in columns])
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in columns], *[F.sum(f"_t_{new}").over(Window.partitionBy(*keys)).alias(f"{new}_all") for new in columns if overall])
+    extra = [f"{new}_all" for new in columns if overall]
     inside = Window.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged.withColumns({new: F.coalesce(F.sum(old).over(inside), F.lit(0)) for new, old in columns.items()})
-    joined = rows.join(totals, same(rows, totals, [*keys, "_range"])).select(rows["*"], *[totals[f"_b_{new}"] for new in columns])
-    return joined.withColumns({new: F.col(new) + F.col(f"_b_{new}") for new in columns}).select(*df.columns, *columns)
+    joined = rows.join(totals, same(rows, totals, [*keys, "_range"])).select(rows["*"], *[totals[f"_b_{new}"] for new in columns], *[totals[x] for x in extra])
+    return joined.withColumns({new: F.col(new) + F.col(f"_b_{new}") for new in columns}).select(*df.columns, *columns, *extra)
 
 
 def filled(df: DataFrame, column: str, order: str, keys: list[str]) -> DataFrame:

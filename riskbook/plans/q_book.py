@@ -188,9 +188,13 @@ def rank_normalise(spark, d):
     return evaluation.rank_normalise(loan_book(spark, d), "loan_amount", "sector", "r").select("loan_id", F.round("r", 6).alias("amount_rank"))
 
 
-@query(BOOK + ", r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY md5(loan_id || '|20260502'), loan_id) AS k FROM loan_book), c AS (SELECT * FROM r WHERE k <= 200) SELECT loan_id, sector, round((rank() OVER (PARTITION BY sector ORDER BY credit_score) + (count(*) OVER (PARTITION BY sector, credit_score) - 1) / 2) / count(*) OVER (PARTITION BY sector), 6) AS credit_score_rank FROM c")
+_POOLED = ["loan_amount", "term_months", "interest_rate", "income_or_turnover", "credit_score", "prior_delinquencies", "collateral_value"]
+
+
+@query(BOOK + ", r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY md5(loan_id || '|20260502'), loan_id) AS k FROM loan_book), c AS (SELECT * FROM r WHERE k <= 200) SELECT loan_id, sector, " + ", ".join(f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER (PARTITION BY sector) >= 10 THEN round((rank() OVER (PARTITION BY sector, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY sector, {c}) - 1) / 2) / count({c}) OVER (PARTITION BY sector), 6) END AS {c}_rank" for c in _POOLED) + " FROM c")
 def build_pool(spark, d):
-    return round_all(corpora.build_pool(loan_book(spark, d), "sector", "loan_id", ["credit_score"], 200).select("loan_id", "sector", "credit_score_rank"), ["credit_score_rank"])
+    ranks = [f"{c}_rank" for c in _POOLED]
+    return round_all(corpora.build_pool(loan_book(spark, d), "sector", "loan_id", _POOLED, 200).select("loan_id", "sector", *ranks), ranks)
 
 
 @query(BOOK + "SELECT sector, count(*) AS n, 14 AS width, round(avg(label), 6) AS default_rate FROM loan_book GROUP BY 1")

@@ -121,8 +121,7 @@ RANKED = ["can_loan_amount", "can_income", "can_credit_score_n"]
 def sector_prior(spark, d):
     """A prior of all sectors but one, trained on ranks within each sector."""
     x = staged(prior.to_canonical(numbers(spark, d).where("sector <> 'BUILDING'"), MAPPING))
-    for c in RANKED:
-        x = staged(evaluation.rank_normalise(x, c, "sector", "_rank").drop(c).withColumnRenamed("_rank", c))
+    x = evaluation.rank_columns(x, RANKED, "sector", {c: c for c in RANKED})
     use = ["can_loan_amount", "can_term_months", "can_interest_rate", "can_income", "can_credit_score_n", "can_delinq_count", "can_installment"]
     return training.fit(x.select("loan_id", "label", *use), "label", "loan_id", use, [], ("gbt", "logistic"), trees=5)[0]
 
@@ -151,9 +150,7 @@ def stack_prior(spark, d):
 @query()
 def pool_normalised_vs_raw(spark, d):
     """Mean transfer AUC over held-out sectors, with raw and with rank-normalised columns."""
-    x, parts = numbers(spark, d), []
-    for c in NUMERIC:
-        x = evaluation.rank_normalise(x, c, "sector", f"{c}_rank")
+    x, parts = staged(evaluation.rank_columns(numbers(spark, d), NUMERIC, "sector", {c: f"{c}_rank" for c in NUMERIC})), []
     for name, columns in (("raw", NUMERIC), ("ranks", [f"{c}_rank" for c in NUMERIC])):
         parts.append(training.leave_one_out(x, "sector", "label", "loan_id", columns, members=("logistic",)).withColumn("variant", F.lit(name)))
     return parts[0].unionByName(parts[1]).groupBy("variant").agg(F.round(F.avg("auc"), 5).alias("mean_auc"))
