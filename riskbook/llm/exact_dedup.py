@@ -2,7 +2,8 @@
 
 The bytes of a text are cut into chunks. Each chunk has a polynomial hash, H(b) = sum b[i] * B**i mod p, in two
 lanes (two primes, two bases); hashes of neighbouring chunks combine by length-shifted arithmetic,
-H(x + y) = H(x) + B**len(x) * H(y), so chunks of one huge document can be hashed apart. Texts of equal fingerprint and
+H(x + y) = H(x) + B**len(x) * H(y). So a text of more than one chunk becomes rows of chunks, which any tasks hash, each shifted by
+what lies before it; a text's hash is the sum of its chunks' by a grouping. Texts of equal fingerprint and
 length are then compared with the group's representative chunk by chunk, as rows of a join; what differs (a
 collision) goes into another round with a representative of its own, so the groups are exact.
 
@@ -50,24 +51,44 @@ def combine(left: int, left_length: int, right: int, lane: int) -> int:
     return (left + pow(base, left_length, p) * right) % p
 
 
-def fingerprint(data: bytes) -> int:
-    """Both lanes of a text in one 62-bit number."""
-    out, flat = [], np.frombuffer(data, np.uint8)
-    for lane in range(len(LANES)):
-        h = 0
-        for at in range(0, len(flat), CHUNK):
-            h = combine(h, at, chunk_hash(flat[at : at + CHUNK], lane), lane)
-        out.append(h)
-    return out[0] << 31 | out[1]
+def shifted(data: bytes, at: int) -> list[int]:
+    """What a chunk that begins at byte `at` adds to its text's hash, in each lane."""
+    return [combine(0, at, chunk_hash(np.frombuffer(data, np.uint8), lane), lane) for lane in range(len(LANES))]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(3).cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(map(len, texts), pa.int64()), pa.array(map(fingerprint, texts), pa.int64())],
-            names=["key", "doc_id", "text_sha256", "n_bytes", "fp"],
-        )
+def fingerprint(data: bytes) -> int:
+    """Both lanes of a text in one 62-bit number."""
+    parts = [shifted(data[at : at + CHUNK], at) for at in range(0, max(1, len(data)), CHUNK)]
+    left, right = (sum(x) % p for x, (p, _) in zip(zip(*parts), LANES))
+    return left << 31 | right
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """(key, doc_id, text_sha256, n_bytes, fp) of each row; fp is the hash of _t's bytes."""
+    hash_one = fingerprint
+    long = F.octet_length("_t") > CHUNK
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(3).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(len, found), pa.int64()), pa.array(map(hash_one, found), pa.int64())], names=["key", "doc_id", "text_sha256", "n_bytes", "fp"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, chunks = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            left, right = zip(*(shifted(x, k * CHUNK) for k, x in zip(places, chunks))) if places else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["key", "doc_id", "text_sha256", "n_bytes", "chunk_no", "left", "right"])
+
+    texts = texts.select("key", "doc_id", F.substring_index("key", ":", -1).alias("text_sha256"), "_t")
+    short = texts.where(~long).mapInArrow(whole, "key string, doc_id long, text_sha256 string, n_bytes long, fp long")
+    rows = _chunks(texts.where(long).withColumn("n_bytes", F.octet_length("_t").cast("long"))).select("key", "doc_id", "text_sha256", "n_bytes", "chunk_no", "chunk")
+    hashed = rows.repartition("key", "chunk_no").mapInArrow(parts, "key string, doc_id long, text_sha256 string, n_bytes long, chunk_no int, left long, right long")
+    # repeated rows have equal chunks: each is taken once, with how often it occurs
+    once = hashed.groupBy("key", "doc_id", "text_sha256", "n_bytes", "chunk_no").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.count(F.lit(1)).alias("m"))
+    lanes = [F.sum(x) % F.lit(p) for x, (p, _) in zip(("left", "right"), LANES)]
+    sums = once.groupBy("key", "doc_id", "text_sha256", "n_bytes").agg(F.shiftleft(lanes[0], 31).bitwiseOR(lanes[1]).alias("fp"), F.max("m").alias("m"))
+    many = sums.select("key", "doc_id", "text_sha256", "n_bytes", "fp", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("_")).drop("_")
+    return short.unionByName(many)
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
@@ -87,7 +108,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows (key, doc_id, text_sha256, n_bytes, fp), and for each row whose text equals another's with
     a larger doc_id, that of the largest: key, rep_id, rep_key."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t"))
-    prints = written(texts.select("key", "doc_id", F.substring_index("key", ":", -1).alias("text_sha256"), "_t").mapInArrow(_fingerprints, "key string, doc_id long, text_sha256 string, n_bytes long, fp long"), "prints")
+    prints = written(_prints(texts), "prints")
     # A row of `left` is not yet settled; round after round its fingerprint's largest doc_id is the representative.
     left, settled, round_no = prints, None, 0
     while True:

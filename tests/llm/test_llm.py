@@ -82,6 +82,29 @@ def test_fingerprints_compose_and_collisions_are_told_apart(spark, monkeypatch):
     assert exact_dedup.fingerprint(data) == h[0] << 31 | h[1]
 
 
+def test_chunks_of_huge_texts_are_hashed_apart(spark):
+    """Against the polynomial itself; texts of several chunks, repeated rows, and two that differ in one byte of the last."""
+    size = exact_dedup.CHUNK
+    body = "".join(chr(97 + k * k % 26) for k in range(3 * size + 77))
+    rows = [(1, body), (2, body), (2, body), (3, body[:-1] + "~"), (None, body), (5, "short"), (6, "é" * (size // 2)), (7, "é" * (size // 2) + "x"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(exact_dedup.row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["fp"]) for r in exact_dedup._prints(texts).collect())
+
+    def plain(data):
+        out = []
+        for p, base in exact_dedup.LANES:
+            h, power = 0, 1
+            for c in data:
+                h, power = (h + c * power) % p, power * base % p
+            out.append(h)
+        return out[0] << 31 | out[1]
+
+    assert got == sorted((str(d), len((t or "").encode()), plain((t or "").encode())) for d, t in rows)
+    groups = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert groups == {(1, 2, 4), (2, 2, 4), (None, 2, 4), (3, 3, 1), (5, 5, 1), (6, 6, 1), (7, 7, 1), (8, 9, 2), (9, 9, 2)}
+
+
 def bits(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
