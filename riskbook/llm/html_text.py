@@ -69,9 +69,14 @@ OTHER_TOKENS = {
 MODIFIERS = {"no", "not", "non", "with", "without", "has", "have", "is", "category", "cat", "tag", "topic", "type", "format", "status", "layout", "template", "theme", "single", "postid", "term", "hide", "show", "js", "wp"}
 STATES = {"open", "opened", "closed", "close", "enabled", "disabled", "allowed", "on", "off", "visible", "hidden", "active", "inactive", "below", "above", "layout", "wrap", "wrapper", "container", "page", "template"}
 #: Words that notices, footers and forms are made of.
-NOTICE_WORDS = re.compile(
-    r"\u00a9|\b(?:copyright|all rights|rights reserved|alle rechte|tous droits|todos los derechos|reservados|r\u00e9serv\u00e9s|vorbehalten|cookies?|consent|privacy|datenschutz|confidentialit\u00e9|privacidad|terms of|impressum|"
-    r"subscribe|abonnieren|newsletter|sign up|log ?in|sign in|register|share (?:this|on)|follow us|tweet|comments?|reply|powered by|advertisement|sponsored|read more|related|next page|previous|accept)\b", re.I)
+NOTICE_WORDS = frozenset(
+    word + end
+    for word in (
+        "\u00a9", "copyright", "rights", "reserved", "rechte", "vorbehalten", "droits", "r\u00e9serv\u00e9s", "derechos", "reservados", "cookie", "cookies", "consent", "privacy", "datenschutz", "datenschutz-erkl\u00e4rung", "confidentialit\u00e9", "privacidad",
+        "terms", "impressum", "subscribe", "abonnieren", "newsletter", "sign", "log", "login", "register", "share", "follow", "tweet", "comment", "comments", "reply", "powered", "advertisement", "sponsored", "related", "previous", "accept",
+    )
+    for end in ("", ".", ",", ":")
+)
 #: Tokens that inside named main text may be part of it.
 INNER_TOKENS = {"header", "tags", "side", "form", "foot", "legal", "alert", "notice"}
 OTHER_KINDS = {"nav", "aside", "footer", "form", "head"}
@@ -274,7 +279,7 @@ class Page:
             marks[node] += sum(map(text.count, ".,;:!?"))
             words[node] += text.count(" ") + 1
             count[node] += 1
-            notices[node] += len(NOTICE_WORDS.findall(text))
+            notices[node] += len(NOTICE_WORDS.intersection(text.lower().split()))
         parent = np.array(self.parent)
         all_own, all_links, all_marks, all_words, all_count, all_notices = (x.copy() for x in (own, links, marks, words, count, notices))
         tags, kids, depth = np.array(self.n_tags, float), np.zeros(n), np.zeros(n)
@@ -374,17 +379,21 @@ def training_rows(page: Page, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def main_text(source: str | None, model: dict | None) -> str:
-    """The main text of a page: kept blocks in page order, one to a line."""
-    page = Page(source or "")
-    if not page.texts:
-        return ""
+def main_texts(sources: list[str | None], model: dict | None) -> list[str]:
+    """The main text of each page: kept blocks in page order, one to a line. Nodes of all pages go through the trees together."""
+    pages = [Page(x or "") for x in sources]
     if model is None:
-        keep = np.array(page.named()) != 0
+        keeps = [np.array(x.named()) != 0 for x in pages]
     else:
-        p = np.clip(boosting.probability(model, page.features()), 1e-6, 1 - 1e-6)
-        keep = page.decode(p)
-    return "\n".join(text for node, text, _ in page.texts if keep[node])
+        features = [x.features() for x in pages]
+        p = np.clip(boosting.probability(model, np.concatenate([*features, np.zeros((0, features[0].shape[1]))])), 1e-6, 1 - 1e-6) if pages else np.zeros(0)
+        keeps = [x.decode(y) for x, y in zip(pages, np.split(p, np.cumsum([len(f) for f in features])[:-1]))] if pages else []
+    return ["\n".join(text for node, text, _ in x.texts if keep[node]) for x, keep in zip(pages, keeps)]
+
+
+def main_text(source: str | None, model: dict | None) -> str:
+    """The main text of one page."""
+    return main_texts([source], model)[0]
 
 
 def fit_on(pages: DataFrame, most: int = 300, nodes: int = 1000) -> dict | None:
@@ -415,9 +424,9 @@ def extract(pages: DataFrame, most: int = 300) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                out = [main_text(x, model.value) for x in some.column(2).to_pylist()]
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                out = main_texts(some.column(2).to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
