@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from riskbook import catalog as C
 from riskbook.functions import classify_outcome, clean_numeric
 
+from .order_stats import medians
+from .staging import staged
+
 OTHER, MISSING = "__OTHER__", "__NA__"
 
 
@@ -50,21 +53,27 @@ def loan_ids(df: DataFrame, column: str, order: str, to: str = "loan_id") -> Dat
 
 
 def kind_decision(df: DataFrame, columns: list[str], known_numeric: list[str] = ()) -> DataFrame:
-    """(feature, share, n_distinct, numeric): which columns are numbers, from one pass over the table."""
+    """(feature, share, n_distinct, numeric): which columns are numbers, from one pass over the table with bounded states."""
     aggs = []
     for c in columns:
         v = clean_numeric(F.col(f"`{c}`"))
-        aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(v.isNotNull().cast("double")).alias("share"), F.count_distinct(v).alias("n_distinct")).alias(c))
-    rows = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("x")).select("x.*")
+        aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(v.isNotNull().cast("double")).alias("share"), n_distinct(v.cast("string")).alias("n_distinct")))
+    rows = df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     known = F.col("feature").isin(list(known_numeric)) if known_numeric else F.lit(False)
     return rows.withColumn("numeric", F.coalesce(((F.col("share") > 0.6) & (F.col("n_distinct") > 10)) | (known & (F.col("share") > 0.3)), F.lit(False)))
 
 
+def n_distinct(text: Column) -> Column:
+    """How many distinct texts a column has, as an aggregate of bounded, mergeable state: exact up to 65,536, beyond that an
+    estimate (standard error 0.4 %). The mark in front keeps the empty text, which the sketch would leave out."""
+    return F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(F.concat(F.lit("="), text), 16)), F.lit(0)).cast("long")
+
+
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the exact median of the column (0 if it has no value)."""
-    medians = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
-    filled = df.crossJoin(F.broadcast(medians))
-    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    """Nulls become the exact median of the column (0 if it has no value). The table is written once, as selection reads it again."""
+    df = staged(df)
+    found = medians(df, {c: F.col(f"`{c}`") for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(found[c] or 0.0)) for c in columns})
 
 
 def top_levels(df: DataFrame, column: str, n: int = 25) -> DataFrame:
@@ -81,10 +90,23 @@ def keep_levels(df: DataFrame, column: str, n: int = 25) -> DataFrame:
     return df.join(F.broadcast(top), value == F.col("level"), "left").withColumn(column, F.coalesce("level", F.lit(OTHER))).drop("level")
 
 
+def distinct_names(names: list[str]) -> list[str]:
+    """The names in letters, digits and underscores; those that clean to one name (in any case) are numbered."""
+    out, taken = [], set()
+    for name in names:
+        clean = "".join(x if x.isalnum() else "_" for x in name)
+        k, free = 2, clean
+        while free.lower() in taken:
+            free, k = f"{clean}_{k}", k + 1
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """A 0/1 column for each level, named after it."""
-    clean = lambda s: "".join(x if x.isalnum() else "_" for x in s)
-    return df.withColumns({f"{column}_{clean(v)}": (F.col(column) == v).cast("int") for v in levels})
+    names = distinct_names([f"{column}_{v}" for v in levels])
+    return df.withColumns({n: (F.col(column) == v).cast("int") for n, v in zip(names, levels)})
 
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -56,11 +56,11 @@ def bureau_rollup(parents: DataFrame, children: DataFrame, key: str, amount: str
 
 
 def panel_aggregate(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Of every column: mean, sample deviation, smallest, largest and last non-null value, and the number of rows."""
-    at = F.struct(*order)
+    """Of every column: mean, sample deviation, smallest, largest and last non-null value, and the number of rows, in one grouping.
+    Of rows that tie in the order, the larger value is the last."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for c in columns:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"{c}_last")]
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(f"{c}_last")]
     return df.groupBy(key).agg(*aggs)
 
 

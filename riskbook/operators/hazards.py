@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import medians
 from .running import filled
 
 
@@ -18,9 +19,10 @@ def term_fill(df: DataFrame, column: str, order: str, group: str) -> DataFrame:
 def cox_columns(df: DataFrame, duration: str, columns: list[str], most: int = 10) -> tuple[DataFrame, list[str]]:
     """df prepared for cox_fit: the duration with nulls as its median and 0.1 at least, and the `most` columns of highest
     sample variance, nulls as their medians, standardised as z_<column>. A column without variance becomes 0."""
-    facts = df.agg(F.median(duration).alias("d"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("median", F.median), ("variance", F.var_samp))]).first()
+    facts = df.agg(F.lit(0).alias("_"), *[F.var_samp(c).alias(f"variance_{c}") for c in columns]).first()
+    middle = medians(df, {c: F.col(c) for c in dict.fromkeys([duration, *columns])})
     chosen = sorted((c for c in columns if facts[f"variance_{c}"] is not None), key=lambda c: (-facts[f"variance_{c}"], c))[:most]
-    full = df.withColumns({duration: F.greatest(F.lit(0.1), F.coalesce(F.col(duration).cast("double"), F.lit(float(facts["d"] or 0.0)))), **{f"z_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"median_{c}"]))) for c in chosen}})
+    full = df.withColumns({duration: F.greatest(F.lit(0.1), F.coalesce(F.col(duration).cast("double"), F.lit(middle[duration] or 0.0))), **{f"z_{c}": F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) for c in chosen}})
     if not chosen:
         return full, []
     stats = full.agg(*[f(f"z_{c}").alias(f"{name}_{c}") for c in chosen for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()

@@ -6,6 +6,8 @@ Each loader takes the corpus's table and gives a frame with its key, `label` (1:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,25 @@ def nonzero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
-def mixed_date(name: str) -> Column:
-    """A date from text in any of some common forms."""
+#: A two-digit year from here on is of the last century.
+PIVOT = 69
+#: The forms of dates, by what they look like; two-digit years are written out before.
+DATE_FORMS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]{3}-\d{4}$", "MMM-yyyy"),
+)
+
+
+def mixed_date(name: str, pivot: int = PIVOT) -> Column:
+    """A date from text in any of some common forms, each value by its own; two-digit years below `pivot` are of this century,
+    the others of the last. What looks like no date is null."""
     text = F.trim(F.col(name).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)).cast("date") for form in ("yyyy-MM-dd", "d-MMM-yy", "M/d/yyyy", "MMM-yyyy")])
+    short = r"^(\d{1,2}-[A-Za-z]{3}-|\d{1,2}/\d{1,2}/|\d{1,2} [A-Za-z]{3} |[A-Za-z]{3}-)(\d{2})$"
+    year = F.regexp_extract(text, short, 2)
+    century = F.when(year.try_cast("int") >= pivot, "19").otherwise("20")
+    full = F.when(year != "", F.concat(F.regexp_extract(text, short, 1), century, year)).otherwise(text)
+    form = reduce(lambda other, x: F.when(full.rlike(x[0]), F.try_to_timestamp(F.substring_index(F.substring_index(full, "T", 1), " ", 1) if x[1] == "yyyy-M-d" else full, F.lit(x[1]))).otherwise(other), reversed(DATE_FORMS), F.lit(None).cast("timestamp"))
+    return form.cast("date")
 
 
 def shaped(df: DataFrame, key: str, own: dict[str, Column], pooled: dict[str, Column], protected: dict[str, Column] | None = None, time_key: Column | None = None) -> DataFrame:

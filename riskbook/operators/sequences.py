@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskbook.functions import clean_numeric
+from riskbook.functions import clean_numeric, gap_bucket
 
+from .order_stats import quantiles
 from .running import with_sums_before
 
-from riskbook.functions import gap_bucket
-
 
 def signed_amount(kind: Column, amount: Column) -> Column:
     """Withdrawals (V...) negative, all else positive."""
@@ -19,9 +18,9 @@ def signed_amount(kind: Column, amount: Column) -> Column:
 
 def amount_bucket(df: DataFrame, column: str, to: str = "amt_bucket") -> DataFrame:
     """Signed buckets 0..31 of log amounts, scaled by the table's 99.5th percentile (1 if that is 0)."""
-    hi = df.agg(F.percentile(F.log1p(F.abs(F.col(column))), 0.995).alias("_hi"))
-    size = F.greatest(F.lit(0.0), F.least(F.lit(15.0), F.log1p(F.abs(F.col(column))) / F.when(F.col("_hi") == 0, 1.0).otherwise(F.col("_hi")) * 15))
-    return df.crossJoin(F.broadcast(hi)).withColumn(to, (F.signum(F.col(column)) * size).cast("int") + 16).drop("_hi")
+    hi = quantiles(df, {"hi": F.log1p(F.abs(F.col(column)))}, [0.995])["hi"][0] or 1.0
+    size = F.greatest(F.lit(0.0), F.least(F.lit(15.0), F.log1p(F.abs(F.col(column))) / hi * 15))
+    return df.withColumn(to, (F.signum(F.col(column)) * size).cast("int") + 16)
 
 
 def category_codes(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -55,7 +54,8 @@ def standardise(df: DataFrame, client: str, column: str, to: str) -> DataFrame:
     """z-scores by client; without spread the deviation itself."""
     stats = df.groupBy(client).agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_std"))
     std = F.when(F.coalesce("_std", F.lit(0.0)) == 0, 1.0).otherwise(F.col("_std"))
-    return df.join(stats, client).withColumn(to, (F.col(column) - F.col("_mean")) / std).drop("_mean", "_std")
+    stats = stats.withColumnRenamed(client, "_client")  # null is a client too
+    return df.join(stats, F.col(client).eqNullSafe(F.col("_client"))).drop("_client").withColumn(to, (F.col(column) - F.col("_mean")) / std).drop("_mean", "_std")
 
 
 def equal_width_bins(df: DataFrame, column: str, bins: int, to: str) -> DataFrame:

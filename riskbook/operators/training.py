@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, Normalizer, OneHotEncoder, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evaluation, splits
@@ -62,20 +65,27 @@ class Bundle:
     def score(self, df: DataFrame) -> DataFrame:
         """df with p_<member>, p_raw and the calibrated p, all distributed."""
         if self.constant is not None:
-            return df.withColumns({"p_raw": F.lit(self.constant), "p": clip(F.lit(self.constant))})
+            return df.withColumns({c: F.lit(self.constant) for c in [*(f"p_{m}" for m in self.members), "p_raw"]} | {"p": clip(F.lit(self.constant))})
         out = with_members(self.model, df, self.members)
         calibrated = self.calibrator.transform(out.withColumn("_iso", F.col("p_raw")))
         return calibrated.withColumn("p", clip(F.col("calibrated"))).drop("_iso", "calibrated", "features")
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        self.calibrator.write().overwrite().save(f"{path}/calibrator")
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """Writes the bundle into a folder that Spark can reach: what it consists of as JSON, beside it the fitted parts."""
+        spark = spark or SparkSession.active()
+        state = json.dumps({"members": list(self.members), "constant": self.constant})
+        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
+            self.calibrator.write().overwrite().save(f"{path}/calibrator")
 
     @staticmethod
-    def load(path: str, members: tuple[str, ...] = MEMBERS) -> Bundle:
-        from pyspark.ml.regression import IsotonicRegressionModel
-
-        return Bundle(PipelineModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibrator"), members)
+    def load(path: str, spark: SparkSession | None = None) -> Bundle:
+        """The bundle that save() wrote."""
+        state = json.loads((spark or SparkSession.active()).read.text(f"{path}/state").first()["value"])
+        if state["constant"] is not None:
+            return Bundle(None, None, tuple(state["members"]), state["constant"])
+        return Bundle(PipelineModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibrator"), tuple(state["members"]))
 
 
 def fit(df: DataFrame, label: str, key: str, numeric: list[str], categorical: list[str], members: tuple[str, ...] = MEMBERS, trees: int = 15, depth: int = 4) -> tuple[Bundle, DataFrame]:
@@ -116,8 +126,11 @@ def leave_one_out(df: DataFrame, corpus: str, label: str, key: str, numeric: lis
     df = staged(df.select(corpus, label, key, *numeric))
     sizes = df.groupBy(corpus).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).where(f"n >= {least} AND classes = 2")
     out = df.sparkSession.createDataFrame([], "held_out string, y double, p double")
-    for name in sorted(r[corpus] for r in sizes.collect()):  # one model a corpus
-        bundle, _ = fit(df.where(~F.col(corpus).eqNullSafe(F.lit(name))), label, key, numeric, [], members, trees)
+    names = sorted(r[corpus] for r in sizes.collect())  # one model a corpus
+    others = lambda name: fit(df.where(~F.col(corpus).eqNullSafe(F.lit(name))), label, key, numeric, [], members, trees)[0]
+    with ThreadPoolExecutor(4) as pool:  # their small jobs run side by side
+        bundles = list(pool.map(others, names))
+    for name, bundle in zip(names, bundles):
         out = out.unionByName(bundle.score(df.where(F.col(corpus) == name)).select(F.col(corpus).cast("string").alias("held_out"), F.col(label).cast("double").alias("y"), F.col("p").cast("double").alias("p")))
     return evaluation.round_all(evaluation.auc(out, ["held_out"]), ["auc", "gini"], 5)
 

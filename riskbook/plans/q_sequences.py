@@ -193,10 +193,7 @@ _PANEL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("SELECT l_suppkey, count(*) AS n_rows, " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max, max_by({c}, (l_shipdate, l_orderkey, l_linenumber, l_partkey, {c})) AS {c}_last" for c in _PANEL) + " FROM lineitem GROUP BY 1")
 def panel_aggregate(spark, d):
-    parts = [corpora.panel_aggregate(table(spark, d, "lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", c], [c]) for c in _PANEL]
-    x = parts[0]
-    for p in parts[1:]:
-        x = x.join(p.drop("n_rows"), "l_suppkey")
+    x = corpora.panel_aggregate(table(spark, d, "lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], _PANEL)
     return round_all(x, [f"{c}_{m}" for c in _PANEL for m in ("mean", "std")], 4)
 
 
@@ -243,9 +240,7 @@ def sba_features(spark, d):
         F.when(key % 3 == 0, date.cast("string")).when(key % 3 == 1, F.date_format(date, "d-MMM-yy")).otherwise(F.date_format(date, "M/d/yyyy")).alias("ApprovalDate"),
     )
     x = loaders.sba(source, "o_orderkey").select("o_orderkey", "label", "term", "franchise", "rev_line_cr", "sba_portion", "can_sector", "bank_state_same", "time_key", "can_emp_length", "can_installment", "region")
-    # two-digit years are of this century to the date parser; the orders are of the last one
-    year = F.when((key % 3 == 1) & (F.col("time_key") >= 2050), F.col("time_key") - 100).when((key % 3 == 1), F.when(F.col("time_key") > 2024, F.col("time_key") - 100).otherwise(F.col("time_key"))).otherwise(F.col("time_key"))
-    return round_all(x.withColumn("time_key", year), ["sba_portion", "can_installment"])
+    return round_all(x, ["sba_portion", "can_installment"])
 
 
 @query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, 12.0::DOUBLE * (1 + o_orderkey % 7) AS term, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 13 = 12 THEN 10.0 ELSE o_custkey % 13 END::DOUBLE AS emp_length, round(300 + (o_custkey * 37) % 600 + 2.0::DOUBLE, 6) AS fico, round(least(1, greatest(0, ((o_custkey * 37) % 600 + 2) / 550)), 6) AS can_credit_score_n, round(o_totalprice / nullif(c_acctbal, 0), 6) AS can_loan_to_income, CAST(year(o_orderdate) AS INT) AS time_key, c_mktsegment AS can_sector " + _OWNED + " WHERE o_orderstatus IN ('F', 'O')")

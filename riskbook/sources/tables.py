@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import clean_numeric, norm_name, sample_cell
+from riskbook.operators.cleaning import n_distinct
 from riskbook.operators.corpora import multi_left_join
 
 
@@ -52,23 +53,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     return df.sparkSession.read.format(fmt).load(path)
 
 
-def long_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(name, key, value as text) of each cell."""
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    return df.select(F.col(key).alias("key"), F.explode(cells).alias("c")).select("c.name", "key", "c.value")
+def column_states(df: DataFrame, states: dict[str, dict[str, Column]]) -> DataFrame:
+    """(name, and each state's value): aggregates of bounded, mergeable state for each column, in one grouping of the table as it
+    is: no cell becomes a row, and what is shuffled is one row of states a task."""
+    cells = [F.struct(F.lit(c).alias("name"), *[x.alias(n) for n, x in aggs.items()]) for c, aggs in states.items()]
+    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def profile_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(name, dtype, sample, null_pct, n_unique, castable_pct) of each column, from one grouping with bounded samples."""
-    types = F.create_map(*[F.lit(x) for c, t in df.dtypes if c in columns for x in (c, t)])
-    values = long_values(df, key, columns)
-    distinct = values.where("value IS NOT NULL").groupBy("name", "value").agg(F.min("key").alias("first"))
-    unique = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
-    sums = values.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg(clean_numeric(F.col("value")).isNotNull().cast("double")).alias("castable"))
-    firsts = values.where("value IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("key"))).where("r <= 5")  # five a task, by the group limit
-    sample = firsts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.when(types[F.col("name")].isin("double", "float"), F.round(x["value"].try_cast("double"), 4).cast("string")).otherwise(sample_cell(x["value"]))).alias("sample"))
-    out = sums.join(unique, "name", "left").join(sample, "name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+    """(name, dtype, sample, null_pct, n_unique, castable_pct) of each column, from one grouping with bounded states. n_unique is
+    exact up to 65,536 (see n_distinct). The sample is of the first five values by key, each column's top rows a task."""
+    kinds = dict(df.dtypes)
+    types = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
+    states, firsts = {}, []
+    for c in columns:
+        text = F.col(f"`{c}`").cast("string")
+        states[c] = {"n": F.count(F.lit(1)), "nulls": F.count_if(text.isNull()), "castable": F.avg(clean_numeric(text).isNotNull().cast("double")), "n_unique": n_distinct(text)}
+        shown = F.round(text.try_cast("double"), 4).cast("string") if kinds[c] in ("double", "float") else sample_cell(text)
+        top = df.where(text.isNotNull()).select(F.lit(c).alias("name"), F.col(f"`{key}`").alias("_k"), shown.alias("value")).orderBy("_k", "value").limit(5)
+        firsts.append(top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("sample")))
+    out = column_states(df, states).join(reduce(DataFrame.unionByName, firsts), "name", "left")
     return out.select("name", types[F.col("name")].alias("dtype"), "sample", F.round(F.coalesce(F.try_divide(100 * F.col("nulls"), "n"), F.lit(0.0)), 1).alias("null_pct"), "n_unique", "n", "castable")
 
 
@@ -91,10 +95,12 @@ def column_catalog(tables: dict[str, DataFrame], words: list[str] = C.BINARY_WOR
     distinct values, or with six or fewer of which one is a word of an outcome."""
     parts = []
     for table_name, df in tables.items():
-        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(df.columns)])
-        parts.append(df.select(F.lit(table_name).alias("table_name"), F.explode(cells).alias("c")).select("table_name", "c.*").distinct())
-    worded = F.coalesce(F.bool_or(F.lower(F.trim("value")).isin(words)), F.lit(False))
-    seen = reduce(DataFrame.unionByName, parts).groupBy("table_name", "name", "position").agg(F.count("value").alias("n_unique"), worded.alias("worded"))
+        states = {}
+        for i, c in enumerate(df.columns):
+            text = F.col(f"`{c}`").cast("string")
+            states[c] = {"position": F.lit(i), "n_unique": n_distinct(text), "worded": F.coalesce(F.bool_or(F.lower(F.trim(text)).isin(words)), F.lit(False))}
+        parts.append(column_states(df, states).withColumn("table_name", F.lit(table_name)))
+    seen = reduce(DataFrame.unionByName, parts)
     return seen.select("table_name", "name", "position", "n_unique", looks_binary(F.col("n_unique"), F.col("worded")).alias("is_binary"))
 
 
