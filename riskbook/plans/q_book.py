@@ -250,7 +250,7 @@ def residual_gap(spark, d):
     return round_all(portfolio.residual_gap(scored(spark, d), ATTRIBUTES), ["residual_gap"])
 
 
-@query(_LONG + "SELECT attribute, round(dp_diff, 4) AS dp_diff, round(eo_diff, 4) AS eo_diff, n_groups, round(residual_gap, 4) AS residual_gap, verdict FROM audit")
+@query(_LONG + "SELECT attribute, round(dp_diff, 4) AS dp_diff, round(eo_diff, 4) AS eo_diff, n_groups, round(residual_gap, 4) AS residual_gap, verdict, CASE WHEN dp_diff < 0.10 AND eo_diff < 0.10 THEN 'groups are treated alike' WHEN residual_gap IS NULL THEN 'gaps among all loans; too few of medium risk or more to tell whether risk explains them' WHEN residual_gap < 0.06 THEN 'gaps among all loans are explained by risk' ELSE 'gaps remain among loans of like risk' END AS note FROM audit")
 def fairness_audit(spark, d):
     return round_all(portfolio.fairness_audit(scored(spark, d), ATTRIBUTES), ["dp_diff", "eo_diff", "residual_gap"], 4)
 

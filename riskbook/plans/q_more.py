@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from riskbook import catalog as C
 from riskbook.functions import risk_band, weibull_curve
 from riskbook.operators import attribution, evaluation, portfolio, prior, records, training, verdicts
+from riskbook.operators import run_book as book_runs
 from riskbook.operators.staging import staged
 from riskbook.plans.fixtures import LOAN_BOOK, loan_book, table
 from riskbook.plans.q_book import _SHAP, _TRIALS, ATTRIBUTES, claims, drivers, recourse_score
 from riskbook.plans.q_book import SQL as BOOK_SQL
 from riskbook.plans.q_models import _SPARSE, NUMERIC, numbers, sparse_shape
 from riskbook.plans.q_tables import scratch
+from riskbook.streaming.score import score_files as run_files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -179,13 +181,46 @@ def shap_tree(spark, d):
     return parts.join(sums.join(margin, "loan_id").select("loan_id", F.round(F.col("margin") - F.col("explained") - F.col("base"), 6).alias("left_over")), "loan_id").select("loan_id", "feature", "contribution", "left_over")
 
 
+#: What the book's columns are, for a whole run.
+RUN_MAP = {"loan_id": "loan_id", "loan_amount": "loan_amount", "term_months": "term_months", "interest_rate": "interest_rate", "income_or_turnover": "income_or_turnover", "credit_score": "credit_score", "prior_delinquencies": "prior_delinquencies", "collateral_value": "collateral_value", "sector": "sector", "region": "region", "community": "community", "target": "label"}
+
+
+def book_run(spark, d):
+    """The loan book of the given tables, of which every fiftieth loan has no outcome yet."""
+    book = loan_book(spark, d).drop("p", "u").withColumn("label", F.when(F.col("loan_id") % 50 != 0, F.col("label")))
+    return book_runs.run_book(book, RUN_MAP, "loan_id", "label", ATTRIBUTES)
+
+
+@query()
+def run_book(spark, d):
+    """A record for each loan of a whole run with a fitted ensemble."""
+    x = book_run(spark, d).records
+    return x.select("loan_id", "pd", "p", "band", "curve", "onset", "drivers", "explanation", "pd_after", F.col("recourse.lever").alias("lever"), F.col("recourse.new_p").alias("new_p"), F.col("fairness.review").alias("review"))
+
+
 @query()
 def portfolio_result(spark, d):
-    """One row: distribution, top loans, fairness and model quality of the book."""
-    book = loan_book(spark, d).withColumn("y", F.col("label"))
-    bands = portfolio.risk_distribution(book).agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("distribution"))  # three
-    top = portfolio.top_risk(book, 50).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("by"), "loan_id"))).alias("top"))  # fifty
-    audit = portfolio.fairness_audit(book, ATTRIBUTES).agg(F.collect_list(F.struct("attribute", "dp_diff", "eo_diff", "verdict")).alias("fairness"))  # one an attribute
-    mapped = F.create_map(*[F.lit(x) for pair in MAPPING.items() for x in pair])
-    facts = evaluation.evaluate(book).withColumns({"model": F.lit("fixed formula"), "mapping": mapped, "warnings": F.array_distinct(F.array(F.lit("scores are a fixed formula's"), F.lit("scores are a fixed formula's")))})
-    return bands.crossJoin(top).crossJoin(audit).crossJoin(facts)  # one row each
+    """One row: model, metrics, distribution, top loans, fairness, mapping and warnings of a whole run."""
+    return book_runs.report(book_run(spark, d), RUN_MAP, "loan_id", "label", ATTRIBUTES)
+
+
+@query()
+def score_stream_bundle(spark, d):
+    """Loans that arrive in files (two more are of another make) scored by a saved model, in several batches and after a
+    restart, beside the same model's batch scores."""
+    book = loan_book(spark, d).drop("p", "u")
+    model, _ = book_runs.fit_book(book, RUN_MAP, "loan_id", "label", trees=5)
+    path = scratch(spark)
+    model.save(f"{path}/model")
+    loaded = book_runs.BookModel.load(f"{path}/model")
+    files = book.drop("label")
+    files.repartition(4, "loan_id").write.parquet(f"{path}/in/a")
+    files.limit(5).withColumn("loan_amount", F.col("loan_amount").cast("string")).coalesce(1).write.parquet(f"{path}/in/b")
+    score = lambda df: loaded.score(df, ["term_months"])
+    parts = (f"{path}/in", files.schema, score, f"{path}/out", f"{path}/quarantine", f"{path}/checkpoint", 2)
+    run_files(spark, *parts)
+    files.limit(5).drop("sector").coalesce(1).write.parquet(f"{path}/in/c")
+    run_files(spark, *parts)  # goes on where it ended
+    n_bad = spark.read.parquet(f"{path}/quarantine").count()
+    batch = model.score(book, ["term_months"]).select("loan_id", F.round("p", 6).alias("p_batch"))
+    return spark.read.parquet(f"{path}/out").select("loan_id", "band", F.round("p", 6).alias("p")).join(batch, "loan_id", "full").withColumn("n_bad_files", F.lit(n_bad))

@@ -65,7 +65,9 @@ HOLDS = {
     "stack_prior": lambda x: len(x) == 2 and better_than_chance(x) and x.set_index("mapping")["done"]["one field"].startswith("prior left out"),
     "pool_normalised_vs_raw": lambda x: set(x["variant"]) == {"raw", "ranks"} and (x["mean_auc"] > 0.55).all(),
     "shap_tree": lambda x: (x["left_over"].abs() < 1e-5).all() and x.groupby("loan_id").size().eq(3).all(),
-    "portfolio_result": lambda x: len(x) == 1 and sum(x["distribution"][0].values()) == x["n"][0] and len(x["top"][0]) == 50 and len(x["fairness"][0]) == 3,
+    "run_book": lambda x: x["loan_id"].is_unique and probability(x, "p") and all((b == "high") == (p >= 0.5) for p, b in zip(x["p"], x["band"])) and all(abs(c[-1] - p) < 2e-4 for c, p in zip(x["curve"], x["p"])) and (x["new_p"] <= x["p"] + 1e-9).all() and x["drivers"].notna().mean() > 0.99 and (x["lever"] != "monitor").any() and x["explanation"].str.startswith("Risk is ").all() and x["p"].nunique() > 20,
+    "score_stream_bundle": lambda x: x["loan_id"].is_unique and x["p"].notna().all() and (x["p"] == x["p_batch"]).all() and (x["n_bad_files"] == 2).all(),
+    "portfolio_result": lambda x: len(x) == 1 and sum(x["distribution"][0].values()) == x["n"][0] and len(x["top"][0]) == 50 and len(x["fairness"][0]) == 3 and x["model"][0] != "fixed formula" and x["auc"][0] > 0.7 and len(x["warnings"][0]) == len(set(x["warnings"][0])) > 0,
 }
 
 
