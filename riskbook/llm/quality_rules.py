@@ -11,12 +11,16 @@ Scoring takes the distinct n-grams of a batch of documents and looks these up. U
 broadcast. Beyond, documents are dealt over batches, and the model over ranges of hashes; the distinct n-grams of a batch go
 to the ranges, what these have on them comes back, and each batch is scored with that.
 
-A document's perplexity is that per character. The band of a language is drawn from its own documents that pass the base
-rules: beyond the quartiles of the log perplexity by more than `spread` times their distance (and `least` at least),
+The model learns from all texts that may be a reference: those with at most `REFERENCE_SYMBOLS` symbols in a hundred characters,
+since junk that teaches the model looks likely to it. All texts are scored.
+
+A document's perplexity is that per character. The band of a language is drawn from its own reference documents that pass the
+base rules: beyond the quartiles of the log perplexity by more than `spread` times their distance (and `least` at least),
 documents are rejected; to that comes the mean's standard error, `error` over the root of the text's length, so that short
 texts aren't rejected by chance.
 
-Defined results. Null or empty text: no words, zero counts, base_failed. Texts without characters have no perplexity. A
+Defined results. Null or empty text: no words, zero counts, base_failed. A language without a reference
+document has no band: only the base rules judge it. Texts without characters have no perplexity. A
 null language is a language of its own. Repeated rows: each gets its row; their n-grams count, but as those of one text. Empty table: no row.
 Other columns are ignored.
 """
@@ -29,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, mix64, text_or_empty, written
@@ -37,6 +41,7 @@ from .common import give_back, mix64, text_or_empty, written
 ORDER = 5
 BEGIN = 2  # the code point that stands before a text
 SYMBOLS = "#*$%&|<>"
+REFERENCE_SYMBOLS = 1.0  # of a hundred characters, at most, in a text that the language model learns from
 GROUP = 1 << 22  # characters that are worked on at once
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 POWERS = [pow(int(STEP), k, 1 << 64) for k in range(32)]
@@ -336,11 +341,16 @@ def scores_of(texts: list[str], arrays: dict[str, np.ndarray], order: int) -> li
     return out
 
 
+def is_reference(text: Column, per_hundred: float = REFERENCE_SYMBOLS) -> Column:
+    """Whether a text may teach the language model: at most so many symbols in a hundred characters."""
+    return 100 * (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) <= per_hundred * F.length(text)
+
+
 def document_measures(docs: DataFrame, order: int = ORDER, most_bytes: int = 1 << 27) -> DataFrame:
     """doc_id, lang, the counts, base_failed and log_perplexity (null where there are no characters) of each row."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("t"))
-    arrays = sorted_arrays(kneser_ney(count_grams(texts, order), order))
+    arrays = sorted_arrays(kneser_ney(count_grams(texts.where(is_reference(F.col("t"))), order), order))
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
@@ -411,7 +421,7 @@ def quality_verdicts(docs: DataFrame, spread: float = 3.0, least: float = 0.1, e
     """doc_id, the base counts, base_failed, kept, and with them lang, log_perplexity and the band's ends."""
     rows = written(document_measures(docs), "measures")
     quartile = lambda p: F.percentile_approx("log_perplexity", p, 10_000)
-    bands = rows.where("not base_failed").groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    bands = rows.where(~F.col("base_failed") & (100 * F.col("n_symbols") <= REFERENCE_SYMBOLS * F.col("word_chars"))).groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     room = F.greatest(F.lit(spread) * (F.col("q3") - F.col("q1")), F.lit(least))
     bands = bands.select(F.col("lang").alias("_lang"), (F.col("q1") - room).alias("lower"), (F.col("q3") + room).alias("upper"))
     judged = rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
