@@ -11,8 +11,8 @@
    less a linear gap cost, by a Fenwick tree of prefix maxima. A chain goes if too few seeds in the 50 words around it can be in its
    earlier document at all, which lies outside of their first and last ones. The chains of a document are aligned longest first; one is
    left out only where spans that were reported already cover all links of the stretch around it.
-4. Alignment. The stretches of both texts around a chain are cut out of the texts (with room for min_words on both
-   sides) and aligned word by word along the chain: what lies between two anchors is aligned whole, and beyond the first
+4. Alignment. The stretches of both texts around a chain are cut out of the texts (with min_words words on both
+   sides, however long these are) and aligned word by word along the chain: what lies between two anchors is aligned whole, and beyond the first
    and the last it goes on over small edits. Of the alignment, spans of min_words words or more, of which at least
    `similarity` match, are reported, longest first.
 
@@ -27,9 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -38,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, give_back, mix64, quoted, text_or_empty, utf8_rows, written
@@ -249,7 +248,8 @@ def _global_links(parts: int):
 
 
 def chain(places: np.ndarray, others: np.ndarray, weight: float = 30.0, gap: float = 0.05) -> list[list[int]]:
-    """Collinear chains of matches, best first; each match is in one chain. Places and gaps are in bytes.
+    """Collinear chains of matches, best first; each match is in one chain. Places and gaps are in bytes; `gap` is the cost of a
+    byte in a text of usual words, and less where words are longer.
 
     The best chain that ends in match i comes after a match j with smaller places in both texts:
     score(i) = weight + max(0, max over j of score(j) - gap * (distance in one text + distance in the other)).
@@ -358,7 +358,7 @@ def _chains(min_words: int, similarity: float):
         if not len(doc):
             return
         # Of matches in a row along one diagonal, some are enough: the first, the last, and one every STEP words or so.
-        same = (np.diff(doc) == 0) & (np.diff(ref) == 0) & (np.diff(byte) == np.diff(ref_byte)) & (np.diff(byte) < 8 * K)
+        same = (np.diff(doc) == 0) & (np.diff(ref) == 0) & (np.diff(byte) == np.diff(ref_byte)) & (np.diff(at) <= K)
         inner = np.concatenate([[False], same]) & np.concatenate([same, [False]])
         inner[1:] &= byte[1:] // (STEP * 7) == byte[:-1] // (STEP * 7)
         heavy = np.add.reduceat(n >> 2, np.flatnonzero(~inner))  # how many links each anchor stands for
@@ -374,8 +374,13 @@ def _chains(min_words: int, similarity: float):
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)]):
             split = np.flatnonzero(np.diff(ref[i:j])) + 1 + i
             found = []
+            # bytes of a word in these stretches of the document
+            steps = at[i + 1 : j] - at[i : j - 1]
+            near = (steps > 0) & (steps <= min_words)
+            width = (byte[i + 1 : j] - byte[i : j - 1])[near].sum() / max(1, steps[near].sum())
+            gap = 0.05 * WIDTH / max(WIDTH, width)
             for k, m in zip([i, *split.tolist()], [*split.tolist(), j]):
-                found += [[k + x for x in one] for one in (chain(byte[k:m], ref_byte[k:m]) if m - k > 1 else [[0]])]
+                found += [[k + x for x in one] for one in (chain(byte[k:m], ref_byte[k:m], gap=gap) if m - k > 1 else [[0]])]
             found = [one for one in found if heavy[one].sum() >= own]
             found.sort(key=lambda one: (-len(one), one[0]))
             found = [one for one in found if possible(int(at[one[0]]), int(at[one[-1]]), int(ref[one[0]]))]
@@ -535,6 +540,42 @@ def _passing(step):
     return run
 
 
+#: Bytes a word that a window is tried with, one after another; beyond the last the window goes to the end of the text.
+ROOMS = (12, 48, 192)
+
+
+def _words_in(first: str, size: str) -> str:
+    return rf"regexp_count(cast(substring(t, int({first}) + 1, int({size})) as string), '[ \\t\\n\\x0b\\f\\r]+')"
+
+
+def window_begin(min_words: int) -> Column:
+    """The byte from which on a window has min_words words or more before column `low` in t, or 0."""
+    tries = "0"
+    for room in reversed([x * min_words for x in ROOMS]):
+        tries = f"CASE WHEN low <= {room} THEN 0 WHEN {_words_in(f'low - {room}', str(room))} > {min_words} THEN low - {room} ELSE {tries} END"
+    return F.expr(f"bigint({tries})")
+
+
+def window_end(min_words: int) -> Column:
+    """The byte up to which a window has K + min_words words or more from column `high` in t on, or the end."""
+    tries = "length(t)"
+    for room in reversed([x * (min_words + K) for x in ROOMS]):
+        tries = f"CASE WHEN high + {room} >= length(t) THEN length(t) WHEN {_words_in('high', str(room))} > {min_words + K} THEN high + {room} ELSE {tries} END"
+    return F.expr(f"bigint({tries})")
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
     """doc_id, ref_doc_id, start, end (bytes of the UTF-8 text), ref_start, ref_end, n_words, similarity: the spans of
     documents that an earlier document (smaller doc_id) has too."""
@@ -544,22 +585,17 @@ def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     dealt = texts.mapInArrow(_local_links(parts), PACKED).repartition(2 * deal, "part").sortWithinPartitions("part")
     # the local links pass by the step that links the batches' first occurrences
     links = dealt.mapInArrow(_passing(_global_links(parts)), PACKED).repartition(2 * deal, "part").sortWithinPartitions("part")
-    chains = written(links.mapInArrow(_chains(min_words, similarity), "doc long, rank long, ref long, d array<long>, r array<long>, begin long, end long"), "chains")
-    del dealt, links
-    for _ in range(5):  # the listeners' queue still holds the plan for a while, and Spark drops shuffle files behind collections
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()  # so that seeds are off the disks before texts are dealt out
-        time.sleep(1.5)
-    room = 12 * min_words  # bytes on both sides of a chain: room for min_words words of eleven letters
+    with shuffles_removed(docs.sparkSession):  # seeds and links are off the disks before texts are dealt out
+        chains = written(links.mapInArrow(_chains(min_words, similarity), "doc long, rank long, ref long, d array<long>, r array<long>, begin long, end long"), "chains")
 
     def side(name: str, id_: str, places: str):
-        begin, end = F.greatest(F.lit(0), F.array_min(places) - room), F.array_max(places) + room + 30 * K
-        return F.struct(F.lit(name).alias("side"), F.col(id_).alias("id"), F.col(places).alias("places"), begin.alias("from"), end.alias("to"))
+        return F.struct(F.lit(name).alias("side"), F.col(id_).alias("id"), F.col(places).alias("places"), F.array_min(places).alias("low"), F.array_max(places).alias("high"))
 
     # each text is dealt out once, to all windows that are cut from it
     wanted = chains.select("doc", "rank", "ref", "begin", "end", F.explode(F.array(side("d", "doc", "d"), side("r", "ref", "r"))).alias("w")).select("doc", "rank", "ref", "begin", "end", "w.*")
     cut = F.expr("substring(t, int(`from`) + 1, int(`to` - `from`))")
-    both = wanted.join(texts, F.col("id") == F.col("doc_id")).select("doc", "rank", "side", "ref", "begin", "end", "places", "from", cut.alias("words"), (F.length("t") > F.col("to")).alias("more"))
+    both = wanted.join(texts, F.col("id") == F.col("doc_id")).withColumns({"from": window_begin(min_words), "to": window_end(min_words)})
+    both = both.select("doc", "rank", "side", "ref", "begin", "end", "places", "from", cut.alias("words"), (F.length("t") > F.col("to")).alias("more"))
     both = both.repartition("doc").sortWithinPartitions("doc", "rank", "side")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
