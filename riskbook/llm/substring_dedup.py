@@ -620,15 +620,16 @@ def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.
             if inside(x["begin"], x["end"], reported):
                 continue
             # so many words must match at least
-            if sum(map(set(x["rw"].lower().split()).__contains__, x["dw"].lower().split())) < similarity * min_words:
+            d_words, r_words = x["dw"].lower().split(), x["rw"].lower().split()
+            if sum(map(set(r_words).__contains__, d_words)) < similarity * min_words:
                 continue
             sides = []
-            for text, first, more in ((x["dw"], x["d_from"], x["d_more"]), (x["rw"], x["r_from"], x["r_more"])):
-                words, begins = text.lower().split(), word_begins(text)
+            for text, words, first, more in ((x["dw"], d_words, x["d_from"], x["d_more"]), (x["rw"], r_words, x["r_from"], x["r_more"])):
+                begins = word_begins(text)
                 # words that the window cuts are left out
                 skip = 1 if first and len(words) and begins[0] == 0 else 0
                 stop = len(words) - (1 if more and len(words) and not text[-1:].isspace() else 0)
-                sides.append((words[skip:stop], begins[skip:stop] + first, np.array([len(w) for w in words[skip:stop]], np.int64)))
+                sides.append((words[skip:stop], begins[skip:stop] + first, np.fromiter(map(len, words[skip:stop]), np.int64, max(0, stop - skip))))
             (a, a_at, a_len), (b, b_at, b_len) = sides
             where = [{p: k for k, p in enumerate(y.tolist())} for y in (a_at, b_at)]
             anchors = [(where[0][p], where[1][q]) for p, q in zip(x["d"], x["r"]) if p in where[0] and q in where[1]]
