@@ -126,7 +126,7 @@ class _Table:
 class UnitEncoder:
     """Encodes by a tokenizer file; `units` splits texts into their units."""
 
-    def __init__(self, path: str, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[str]]], most: int = 500_000):
+    def __init__(self, path: str, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[str]]], most: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.units, self.most = units, most
