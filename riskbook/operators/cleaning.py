@@ -13,6 +13,7 @@ from riskbook import catalog as C
 from riskbook.functions import classify_outcome, clean_numeric
 
 from .order_stats import medians
+from .running import with_sums_before
 from .staging import staged
 
 OTHER, MISSING = "__OTHER__", "__NA__"
@@ -45,8 +46,12 @@ def binarize_target(df: DataFrame, column: str, to: str = "label") -> DataFrame:
     return joined.withColumn(to, F.col("_label")).drop("_text", "_value", "_label")
 
 
-def loan_ids(df: DataFrame, column: str, order: str, to: str = "loan_id") -> DataFrame:
-    """Ids as text; if any repeats, every id gets the number of its row."""
+def loan_ids(df: DataFrame, column: str | None, order: str, to: str = "loan_id") -> DataFrame:
+    """Ids as text; if any repeats, every id gets the number of its row. Without an id column: L000001 and so on, in the order
+    of `order`, which must tell rows apart."""
+    if column is None:
+        rows = with_sums_before(df.withColumn("_one", F.lit(1)), [], order, {"_row": "_one"})
+        return rows.withColumn(to, F.format_string("L%06d", F.col("_row") + 1)).drop("_one", "_row")
     repeated = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("_repeated"))
     text = F.col(column).cast("string")
     return df.crossJoin(F.broadcast(repeated)).withColumn(to, F.when(F.col("_repeated"), F.concat(text, F.lit("__"), F.col(order).cast("string"))).otherwise(text)).drop("_repeated")

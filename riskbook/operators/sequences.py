@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from riskbook.functions import clean_numeric, gap_bucket
 
 from .order_stats import quantiles
 from .running import with_sums_before
+from .staging import staged
 
 
 def signed_amount(kind: Column, amount: Column) -> Column:
@@ -81,6 +84,28 @@ def tokenise(df: DataFrame, client: str, day: str, order: list[str], most: int =
     return df.select(client, *order, "amt_bucket", "kind_code", "channel_code", "dt_bucket")
 
 
+def code_book(events: DataFrame, column: str) -> DataFrame:
+    """(value, n, code): the values of a column of all corpora, from 0 by falling count, then value. Counts are summed before the
+    shuffle, and places come from ranges of (count, value), so no task numbers all values."""
+    counts = staged(events.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    return numbered(counts.withColumn("_order", F.struct((-F.col("n")).alias("n"), "value")), "_order", "code").drop("_order")
+
+
+def union_tokens(corpora: dict[str, DataFrame], client: str, day: str, order: list[str], most: int = 128) -> DataFrame:
+    """Token events of several corpora as one table: client keys carry the corpus's name, so they never meet; amounts are scaled
+    within a corpus, as currencies differ; kinds and channels have one code book."""
+    parts = []
+    for name, df in corpora.items():
+        own = df.withColumns({client: F.concat(F.lit(f"{name}_"), F.col(client).cast("string")), "amount": signed_amount(F.col("type"), F.col("amount"))})
+        own = staged(tail_events(own, client, order, most).select(client, day, *[c for c in order if c != day], "type", "channel", "amount"))
+        parts.append(amount_bucket(event_gap(own, client, day, order), "amount"))
+    events = staged(reduce(DataFrame.unionByName, parts))
+    for column, to in (("type", "kind_code"), ("channel", "channel_code")):
+        codes = code_book(events, column).select(F.col("value").alias("_value"), F.col("code").cast("int").alias(to))
+        events = events.join(codes, F.col(column) == F.col("_value"), "left").withColumn(to, F.coalesce(to, F.lit(-1))).drop("_value")
+    return events.select(client, *order, "amt_bucket", "kind_code", "channel_code", "dt_bucket")
+
+
 def sequence_store(tokens: DataFrame, client: str, order: list[str], least: int = 8) -> DataFrame:
     """A client's events as one ordered array; clients of fewer than `least` events go. Tails bound the arrays."""
     event = F.struct(*order, F.greatest(F.lit(0), F.least(F.lit(31), "amt_bucket")).alias("amt"), F.pmod("channel_code", F.lit(512)).alias("channel"), "dt_bucket")

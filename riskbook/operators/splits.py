@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from .evaluation import hash_order
 
+SEED = "20260502"
 
-def hash_rank(df: DataFrame, by: str, key: str) -> DataFrame:
+
+def hash_rank(df: DataFrame, by: str, key: str, seed: str = SEED) -> DataFrame:
     """df with _rank, the row's place (from 1) in its class in the order of a hash, and _size, the size of the class.
 
     The hash's leading digits deal a class over 256 ranges; ranks within a range follow the sizes of the ranges before. Null
     is a class too.
     """
-    h = hash_order(key)
+    h = hash_order(key, seed)
     df = df.withColumns({"_h": h, "_part": F.conv(F.substring(h, 1, 2), 16, 10).cast("int")})
     sizes = df.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -31,14 +33,14 @@ def three_way_split(df: DataFrame, label: str, key: str, cuts: tuple[float, floa
     return hash_rank(df, label, key).withColumn("fold", F.when(share <= cuts[0], "fit").when(share <= cuts[1], "cal").otherwise("test")).drop("_rank", "_size")
 
 
-def split_for(df: DataFrame, label: str, key: str) -> DataFrame:
+def split_for(df: DataFrame, label: str, key: str, seed: str = SEED) -> DataFrame:
     """The three-way split; for tables of under 400 rows or 40 positives, 75/25 with the calibration fold as test too.
 
     Column `evaluated` marks the rows that metrics are taken on.
     """
     small = df.agg(((F.count(F.lit(1)) < 400) | (F.coalesce(F.sum(label), F.lit(0)) < 40)).alias("_small"))
     share = F.col("_rank") / F.col("_size")
-    ranked = hash_rank(df, label, key).crossJoin(F.broadcast(small))
+    ranked = hash_rank(df, label, key, seed).crossJoin(F.broadcast(small))
     fold = F.when(F.col("_small"), F.when(share <= 0.75, "fit").otherwise("cal")).when(share <= 0.60, "fit").when(share <= 0.75, "cal").otherwise("test")
     evaluated = F.col("fold") == F.when(F.col("_small"), "cal").otherwise("test")
     return ranked.withColumn("fold", fold).withColumn("evaluated", evaluated).drop("_rank", "_size", "_small")

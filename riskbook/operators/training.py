@@ -18,6 +18,7 @@ from .staging import staged
 
 LOW, HIGH = 1e-4, 1 - 1e-4
 MEMBERS = ("gbt", "forest", "logistic")
+FOLDS = "folds"  # the seed of training folds: not that of other draws from the same keys, with which folds would be correlated
 
 
 def feature_stages(numeric: list[str], categorical: list[str]) -> list:
@@ -32,7 +33,9 @@ def member(name: str, label: str, trees: int, depth: int):
     common = {"labelCol": label, "weightCol": "_weight", "probabilityCol": f"{name}_prob", "rawPredictionCol": f"{name}_raw", "predictionCol": f"{name}_pred"}
     if name == "gbt":
         named = {k: common[k] for k in ("labelCol", "weightCol", "predictionCol")}
-        return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, **named).setProbabilityCol(common["probabilityCol"]).setRawPredictionCol(common["rawPredictionCol"])
+        # each tree sees a share of rows, each node of columns
+        sampled = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20}
+        return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, **sampled, **named).setProbabilityCol(common["probabilityCol"]).setRawPredictionCol(common["rawPredictionCol"])
     if name == "forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, **common)
     return LogisticRegression(regParam=0.01, **common)
@@ -95,7 +98,7 @@ def fit(df: DataFrame, label: str, key: str, numeric: list[str], categorical: li
     The folds and the assembled features are written once; every member reads these. With one class only, the bundle gives
     the base rate.
     """
-    folded = staged(splits.split_for(staged(df.where(F.col(label).isNotNull())), label, key))
+    folded = staged(splits.split_for(staged(df.where(F.col(label).isNotNull())), label, key, FOLDS))
     rate = folded.agg(F.avg(label).alias("rate")).first()["rate"]
     if rate is None or rate in (0.0, 1.0):
         return Bundle(None, None, members, float(rate or 0.0)), folded

@@ -65,6 +65,12 @@ def loan_ids(spark, d):
     return cleaning.loan_ids(dirty_book(spark, d), "Loan ID", "row").select("row", "loan_id")
 
 
+@query(DIRTY + """SELECT row, printf('L%06d', row_number() OVER (ORDER BY row)) AS loan_id FROM dirty_book""")
+def loan_ids_made(spark, d):
+    """A book without an id column."""
+    return cleaning.loan_ids(dirty_book(spark, d).drop("Loan ID"), None, "row").select("row", "loan_id")
+
+
 @query(DIRTY + """, v AS (SELECT TRY_CAST(regexp_replace("Amount", '[,$%\\s]', '', 'g') AS DOUBLE) AS a, TRY_CAST(regexp_replace("Rate", '[,$%\\s]', '', 'g') AS DOUBLE) AS r, TRY_CAST("Status" AS DOUBLE) AS s FROM dirty_book),
 k AS (SELECT 'Amount' AS feature, avg(CAST(a IS NOT NULL AS INT)) AS share, count(DISTINCT a) AS n_distinct FROM v UNION ALL SELECT 'Rate', avg(CAST(r IS NOT NULL AS INT)), count(DISTINCT r) FROM v UNION ALL SELECT 'Status', avg(CAST(s IS NOT NULL AS INT)), count(DISTINCT s) FROM v)
 SELECT feature, round(share, 6) AS share, n_distinct, share > 0.6 AND n_distinct > 10 AS numeric FROM k""")

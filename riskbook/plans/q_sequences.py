@@ -112,6 +112,18 @@ def tokenise(spark, d):
     return tokens(spark, d).drop("day")
 
 
+@query(TXN + """, a AS (SELECT 'ev' AS corpus, 'ev_' || client_id AS client_id, day, event_id, type, channel, CASE WHEN type = 'V' THEN -abs(amount) ELSE abs(amount) END AS a FROM txn
+  UNION ALL SELECT 'or', 'or_' || o_custkey, CAST(o_orderdate AS DATE), o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'V' ELSE 'P' END, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * abs(o_totalprice) FROM orders),
+s AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY day DESC, event_id DESC) AS k FROM a), l AS (SELECT * FROM s WHERE k <= 128), h AS (SELECT corpus, quantile_cont(ln(1 + abs(a)), 0.995) AS hi FROM l GROUP BY 1),
+g AS (SELECT *, CAST(coalesce(date_diff('day', lag(day) OVER (PARTITION BY client_id ORDER BY day, event_id), day), 0) AS INT) AS gap_days FROM l),
+c AS (SELECT channel, CAST(row_number() OVER (ORDER BY count(*) DESC, channel) - 1 AS INT) AS channel_code FROM l GROUP BY 1), t AS (SELECT type, CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS INT) AS kind_code FROM l GROUP BY 1)
+SELECT client_id, event_id, CAST(trunc(sign(a) * greatest(0, least(15, ln(1 + abs(a)) / CASE WHEN hi = 0 THEN 1 ELSE hi END * 15))) AS INT) + 16 AS amt_bucket, kind_code, channel_code, """ + _BUCKET + """ AS dt_bucket FROM g JOIN h USING (corpus) JOIN c USING (channel) JOIN t USING (type)""")
+def union_tokens(spark, d):
+    """Events and orders as two corpora of one token table."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("client_id"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "F", "V").otherwise("P").alias("type"), F.col("o_orderpriority").alias("channel"), F.col("o_totalprice").alias("amount"))
+    return sequences.union_tokens({"ev": transactions(spark, d), "or": orders}, "client_id", "day", ["day", "event_id"]).drop("day")
+
+
 @query(_TOKENS + "SELECT client_id, count(*) AS n, string_agg(CAST(amt_bucket AS VARCHAR), ',' ORDER BY day, event_id) AS amts FROM tokens GROUP BY 1 HAVING count(*) >= 8")
 def sequence_store(spark, d):
     store = sequences.sequence_store(tokens(spark, d), "client_id", ["day", "event_id"])

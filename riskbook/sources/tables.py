@@ -13,15 +13,16 @@ from riskbook.operators.cleaning import n_distinct
 from riskbook.operators.corpora import multi_left_join
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",", columns: list[str] | None = None, order: str | None = None, most: int | None = None, drop_bad: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ",", columns: list[str] | None = None, order: str | None = None, most: int | None = None, drop_bad: bool = False, label: str | None = None) -> DataFrame:
     """A table from CSV, parquet, ORC or JSON: names trimmed, nameless columns dropped, bad values null (or bad lines
-    dropped), optionally some columns, and the first `most` rows by a key."""
+    dropped), optionally some columns, only rows with a `label`, and the first `most` rows by a key."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=True, sep=sep, mode="DROPMALFORMED" if drop_bad else "PERMISSIVE")
     df = reader.load(path)
     df = df.toDF(*[c.strip() for c in df.columns])
     df = df.select(*[f"`{c}`" for c in (columns or [c for c in df.columns if not c.startswith(("Unnamed", "_c"))])])
+    df = df.where(F.col(f"`{label}`").isNotNull()) if label else df
     return row_cap(df, order, most) if most else df
 
 
