@@ -11,7 +11,9 @@ A sequence whose length is a power of two needs no padding, so patterns may end
 parts fill sequences without a gap, again by arithmetic on ranks.
 
 Defined results. Null or empty text: the end id alone. Repeated rows of a doc_id: each is packed; their pieces have the
-same start. A null doc_id: packed as any other. Empty table: no row. Very long texts: many full sequences and a rest. Other columns are ignored.
+same start. A null doc_id: packed as any other. Empty table: no row. Very long texts: many full sequences and a rest.
+Strings of special tokens in a text are plain text (the library would by default take them for the tokens). Other columns are
+ignored.
 """
 
 from __future__ import annotations

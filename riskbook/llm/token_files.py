@@ -7,7 +7,8 @@ block: the shard, the number of ids before it in the shard, and which documents'
 every block can be read alone, and a document's ids are found without reading others.
 
 Defined results. Null or empty text: the end id alone. Repeated rows of a doc_id: each is written, side by side. Empty
-table: no block. Very long texts go over many blocks. Other columns are ignored.
+table: no block. Very long texts go over many blocks. Strings of special tokens in a text are plain text (the library
+would by default take them for the tokens). Other columns are ignored.
 """
 
 from __future__ import annotations
