@@ -73,7 +73,7 @@ def profile_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         shown = F.round(text.try_cast("double"), 4).cast("string") if kinds[c] in ("double", "float") else sample_cell(text)
         top = df.where(text.isNotNull()).select(F.lit(c).alias("name"), F.col(f"`{key}`").alias("_k"), shown.alias("value")).orderBy("_k", "value").limit(5)
         firsts.append(top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("sample")))
-    out = column_states(df, states).join(reduce(DataFrame.unionByName, firsts), "name", "left")
+    out = column_states(df, states).where("n > 0").join(reduce(DataFrame.unionByName, firsts), "name", "left")
     return out.select("name", types[F.col("name")].alias("dtype"), "sample", F.round(F.coalesce(F.try_divide(100 * F.col("nulls"), "n"), F.lit(0.0)), 1).alias("null_pct"), "n_unique", "n", "castable")
 
 
@@ -99,8 +99,8 @@ def column_catalog(tables: dict[str, DataFrame], words: list[str] = C.BINARY_WOR
         states = {}
         for i, c in enumerate(df.columns):
             text = F.col(f"`{c}`").cast("string")
-            states[c] = {"position": F.lit(i), "n_unique": n_distinct(text), "worded": F.coalesce(F.bool_or(F.lower(F.trim(text)).isin(words)), F.lit(False))}
-        parts.append(column_states(df, states).withColumn("table_name", F.lit(table_name)))
+            states[c] = {"n": F.count(F.lit(1)), "position": F.lit(i), "n_unique": n_distinct(text), "worded": F.coalesce(F.bool_or(F.lower(F.trim(text)).isin(words)), F.lit(False))}
+        parts.append(column_states(df, states).where("n > 0").withColumn("table_name", F.lit(table_name)))
     seen = reduce(DataFrame.unionByName, parts)
     return seen.select("table_name", "name", "position", "n_unique", looks_binary(F.col("n_unique"), F.col("worded")).alias("is_binary"))
 
