@@ -544,15 +544,18 @@ def _passing(step):
 ROOMS = (12, 48, 192)
 
 
-def _words_in(first: str, size: str) -> str:
-    return rf"regexp_count(cast(substring(t, int({first}) + 1, int({size})) as string), '[ \\t\\n\\x0b\\f\\r]+')"
+def _has_words(first: str, size: str, n: int) -> str:
+    """Whether a stretch of t parts more than n words: by its single spaces, or where there are others, by all white space."""
+    part = f"cast(substring(t, int({first}) + 1, int({size})) as string)"
+    spaces = f"(instr({part}, '  ') = 0 AND length({part}) - length(replace({part}, ' ', '')) > {n})"
+    return rf"({spaces} OR regexp_count({part}, '[ \\t\\n\\x0b\\f\\r]+') > {n})"
 
 
 def window_begin(min_words: int) -> Column:
     """The byte from which on a window has min_words words or more before column `low` in t, or 0."""
     tries = "0"
     for room in reversed([x * min_words for x in ROOMS]):
-        tries = f"CASE WHEN low <= {room} THEN 0 WHEN {_words_in(f'low - {room}', str(room))} > {min_words} THEN low - {room} ELSE {tries} END"
+        tries = f"CASE WHEN low <= {room} THEN 0 WHEN {_has_words(f'low - {room}', str(room), min_words)} THEN low - {room} ELSE {tries} END"
     return F.expr(f"bigint({tries})")
 
 
@@ -560,7 +563,7 @@ def window_end(min_words: int) -> Column:
     """The byte up to which a window has K + min_words words or more from column `high` in t on, or the end."""
     tries = "length(t)"
     for room in reversed([x * (min_words + K) for x in ROOMS]):
-        tries = f"CASE WHEN high + {room} >= length(t) THEN length(t) WHEN {_words_in('high', str(room))} > {min_words + K} THEN high + {room} ELSE {tries} END"
+        tries = f"CASE WHEN high + {room} >= length(t) THEN length(t) WHEN {_has_words('high', str(room), min_words + K)} THEN high + {room} ELSE {tries} END"
     return F.expr(f"bigint({tries})")
 
 
