@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,13 @@ def give_back() -> None:
         trim(0)
 
 
+def forget_encoders() -> None:
+    """Drops the encoders and their tables that an earlier stage has left in this worker, for a stage that needs the memory."""
+    if units := sys.modules.get("riskbook.llm.units"):
+        units.encoder.__defaults__[0].clear()
+        give_back()
+
+
 def in_task(spark: SparkSession, f: Callable):
     """The result of f(), computed in one task: bounded numeric work that would weigh on the driver."""
 

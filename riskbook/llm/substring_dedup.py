@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, mix64, quoted, text_or_empty, utf8_rows, written
+from .common import forget_encoders, fresh, give_back, mix64, quoted, text_or_empty, utf8_rows, written
 
 K, APART = 4, 30
 LOW = (1 << 32) - 1  # a place is the number of the word, shifted by 32, and the byte where it begins
@@ -161,6 +161,7 @@ def _links_out(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.nd
 def _local_links(parts: int):
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first occurrence in the batch of each seed, and the links of the others."""
+        forget_encoders()
         for batch in batches:
             # so many rows at once that working memory stays small
             ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -614,6 +615,7 @@ def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.
                         mine = None
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         last, reported, of_pair, out = None, [], {}, []
         for x in pairs(batches):
             if x["doc"] != last:
