@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import clean_numeric, format_text, format_value, onset_month, risk_band, text_distress, weibull_curve
-from riskbook.operators import cleaning, corpora, evaluation, portfolio, prior, records, splits
+from riskbook.operators import cleaning, corpora, evaluation, portfolio, prior, records, splits, training
 from riskbook.operators.evaluation import round_all
 from riskbook.plans.fixtures import DIRTY_BOOK, LOAN_BOOK, dirty_book, loan_book, table
 
@@ -138,9 +138,8 @@ def stratified_sample(spark, d):
 
 @query(BOOK + "SELECT label, CASE WHEN label = 1 THEN round((SELECT count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1) FROM loan_book), 6) ELSE 1.0 END AS weight, count(*) AS n FROM loan_book GROUP BY 1")
 def class_weight(spark, d):
-    book = loan_book(spark, d)
-    facts = book.agg((F.count_if(F.col("label") == 0) / F.count_if(F.col("label") == 1)).alias("w"))
-    return book.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(facts)).select("label", F.when(F.col("label") == 1, F.round("w", 6)).otherwise(1.0).alias("weight"), "n")
+    book = training.weighted(loan_book(spark, d).select("label"), "label")
+    return book.groupBy("label").agg(F.round(F.max("_weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- metrics -----------------------------------------------------------------------------------------------------------

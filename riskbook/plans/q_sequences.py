@@ -158,11 +158,12 @@ def contrastive_loss(spark, d):
     return round_all(sequences.contrastive_loss(rows, "b", "s", "i", "embedding"), ["loss"], 4)
 
 
-@query("WITH " + LOAN_BOOK + " SELECT loan_id, loan_book.label, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS INT) AS width, (SELECT count(*) FROM loan_book) AS n_loans, (SELECT count(*) FROM loan_book WHERE loan_id IN (SELECT vec_id FROM embeddings)) AS n_matched FROM loan_book JOIN embeddings ON loan_id = vec_id")
+@query("WITH " + LOAN_BOOK + " SELECT loan_id, loan_book.label, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS INT) AS width, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(range(1, len(embedding) + 1) AS DOUBLE[])), 3) AS placed, (SELECT count(*) FROM loan_book) AS n_loans, (SELECT count(*) FROM loan_book WHERE loan_id IN (SELECT vec_id FROM embeddings)) AS n_matched FROM loan_book JOIN embeddings ON loan_id = vec_id")
 def attach_embeddings(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("loan_id"), "embedding")
+    placed = F.round(F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)  # every number at its place
     joined, report = sequences.attach_embeddings(loan_book(spark, d), vectors, "loan_id", "embedding")
-    return joined.select("loan_id", "label", F.element_at("embedding", 1).cast("double").alias("first"), F.size("embedding").alias("width")).crossJoin(F.broadcast(report))  # one row
+    return joined.select("loan_id", "label", F.element_at("embedding", 1).cast("double").alias("first"), F.size("embedding").alias("width"), placed.alias("placed")).crossJoin(F.broadcast(report))  # one row
 
 
 # ---- corpora -----------------------------------------------------------------------------------------------------------
@@ -255,17 +256,18 @@ def sba_features(spark, d):
     return round_all(x, ["sba_portion", "can_installment"])
 
 
-@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, 12.0::DOUBLE * (1 + o_orderkey % 7) AS term, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 13 = 12 THEN 10.0 ELSE o_custkey % 13 END::DOUBLE AS emp_length, round(300 + (o_custkey * 37) % 600 + 2.0::DOUBLE, 6) AS fico, round(least(1, greatest(0, ((o_custkey * 37) % 600 + 2) / 550)), 6) AS can_credit_score_n, round(o_totalprice / nullif(c_acctbal, 0), 6) AS can_loan_to_income, CAST(year(o_orderdate) AS INT) AS time_key, c_mktsegment AS can_sector " + _OWNED + " WHERE o_orderstatus IN ('F', 'O')")
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, 12.0::DOUBLE * (1 + o_orderkey % 7) AS term, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 13 = 12 THEN 10.0 ELSE o_custkey % 13 END::DOUBLE AS emp_length, round(300 + (o_custkey * 37) % 600 + 2.0::DOUBLE, 6) AS fico, round(least(1, greatest(0, ((o_custkey * 37) % 600 + 2) / 550)), 6) AS can_credit_score_n, round(o_totalprice / nullif(c_acctbal, 0), 6) AS can_loan_to_income, CAST(year(o_orderdate) AS INT) AS time_key, c_mktsegment AS can_sector, 8 + (o_custkey % 33) * 0.5::DOUBLE AS can_interest_rate, round(o_totalprice / 16, 6) AS can_installment, CAST(o_custkey % 40 AS DOUBLE) AS can_dti, CAST(o_custkey % 4 AS DOUBLE) AS can_delinq_count, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 9 END::DOUBLE AS can_open_accounts, CAST(o_orderkey % 100 AS DOUBLE) AS can_utilization " + _OWNED + " WHERE o_orderstatus IN ('F', 'O')")
 def lending_features(spark, d):
     key = F.col("o_orderkey")
     worked, score = F.col("o_custkey") % 13, 300 + (F.col("o_custkey") * 37) % 600
     source = orders_with_owner(spark, d).select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "F", "Charged Off").when(F.col("o_orderstatus") == "O", "Fully Paid").otherwise("Current").alias("loan_status"), F.col("o_totalprice").alias("loan_amnt"), F.concat(F.lit(" "), (12 * (1 + key % 7)).cast("string"), F.lit(" months")).alias("term"),
         F.when(worked == 0, "n/a").when(worked == 1, "< 1 year").when(worked == 12, "10+ years").otherwise(F.concat(worked.cast("string"), F.lit(" years"))).alias("emp_length"), score.alias("fico_range_low"), (score + 4).alias("fico_range_high"), F.col("c_acctbal").alias("annual_inc"),
-        F.lit("13.5%").alias("int_rate"), F.lit(1).alias("installment"), F.lit(2).alias("dti"), F.lit(0).alias("delinq_2yrs"), F.lit(3).alias("open_acc"), F.lit(4).alias("revol_util"), F.col("c_mktsegment").alias("purpose"), F.col("n_name").alias("addr_state"), F.date_format(F.col("o_orderdate").cast("date"), "MMM-yyyy").alias("issue_d"),
+        F.concat((8 + (F.col("o_custkey") % 33) * 0.5).cast("string"), F.lit(" %")).alias("int_rate"), (F.col("o_totalprice") / 16).alias("installment"), (F.col("o_custkey") % 40).cast("string").alias("dti"), (F.col("o_custkey") % 4).alias("delinq_2yrs"),
+        F.when(key % 9 > 0, (key % 9).cast("string")).otherwise("n/a").alias("open_acc"), F.concat((key % 100).cast("string"), F.lit("%")).alias("revol_util"), F.col("c_mktsegment").alias("purpose"), F.col("n_name").alias("addr_state"), F.date_format(F.col("o_orderdate").cast("date"), "MMM-yyyy").alias("issue_d"),
     )
-    x = loaders.lending(source, "o_orderkey").select("o_orderkey", "label", "term", "emp_length", "fico", "can_credit_score_n", "can_loan_to_income", "time_key", "can_sector")
-    return round_all(x, ["fico", "can_credit_score_n", "can_loan_to_income"])
+    x = loaders.lending(source, "o_orderkey").select("o_orderkey", "label", "term", "emp_length", "fico", "can_credit_score_n", "can_loan_to_income", "time_key", "can_sector", "can_interest_rate", "can_installment", "can_dti", "can_delinq_count", "can_open_accounts", "can_utilization")
+    return round_all(x, ["fico", "can_credit_score_n", "can_loan_to_income", "can_installment"])
 
 
 @query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, CAST(20 + o_custkey % 50 AS DOUBLE) AS can_age, round(c_acctbal * 12, 6) AS can_income, round(o_totalprice / 1e6 * 100, 6) AS can_utilization, CAST(o_orderkey % 3 + o_orderkey % 4 + o_orderkey % 5 AS DOUBLE) AS can_delinq_count " + _OWNED + " WHERE o_orderstatus <> 'P'")
