@@ -542,7 +542,7 @@ def _passing(step):
 
 
 #: Bytes a word that a window is tried with, one after another; beyond the last the window goes to the end of the text.
-ROOMS = (12, 48, 192)
+ROOMS = (8, 12, 24, 48, 192)
 
 
 def _has_words(first: str, size: str, n: int) -> str:
