@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskbook import catalog as C
 from riskbook.functions import clean_numeric, norm_name, sample_cell
-from riskbook.operators.cleaning import n_distinct
+from riskbook.operators.cleaning import n_distinct, with_exact_counts
 from riskbook.operators.corpora import multi_left_join
 
 
@@ -62,18 +62,19 @@ def column_states(df: DataFrame, states: dict[str, dict[str, Column]]) -> DataFr
 
 
 def profile_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(name, dtype, sample, null_pct, n_unique, castable_pct) of each column, from one grouping with bounded states. n_unique is
-    exact up to 65,536 (see n_distinct). The sample is of the first five values by key, each column's top rows a task."""
+    """(name, dtype, sample, null_pct, n_unique, castable_pct) of each column, from one grouping with bounded states, and one
+    of the values of columns with more than 60,000 (n_unique is exact). The sample is of the first five values by key, each column's top rows a task."""
     kinds = dict(df.dtypes)
     types = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
-    states, firsts = {}, []
+    states, firsts, texts = {}, [], {}
     for c in columns:
-        text = F.col(f"`{c}`").cast("string")
+        text = texts[c] = F.col(f"`{c}`").cast("string")
         states[c] = {"n": F.count(F.lit(1)), "nulls": F.count_if(text.isNull()), "castable": F.avg(clean_numeric(text).isNotNull().cast("double")), "n_unique": n_distinct(text)}
         shown = F.round(text.try_cast("double"), 4).cast("string") if kinds[c] in ("double", "float") else sample_cell(text)
         top = df.where(text.isNotNull()).select(F.lit(c).alias("name"), F.col(f"`{key}`").alias("_k"), shown.alias("value")).orderBy("_k", "value").limit(5)
         firsts.append(top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("sample")))
-    out = column_states(df, states).where("n > 0").join(reduce(DataFrame.unionByName, firsts), "name", "left")
+    counted = with_exact_counts(column_states(df, states).where("n > 0"), df, "name", "n_unique", texts)
+    out = counted.join(reduce(DataFrame.unionByName, firsts), "name", "left")
     return out.select("name", types[F.col("name")].alias("dtype"), "sample", F.round(F.coalesce(F.try_divide(100 * F.col("nulls"), "n"), F.lit(0.0)), 1).alias("null_pct"), "n_unique", "n", "castable")
 
 
