@@ -52,7 +52,7 @@ def give_back() -> None:
 def forget_encoders() -> None:
     """Drops the encoders and their tables that an earlier stage has left in this worker, for a stage that needs the memory."""
     if units := sys.modules.get("riskbook.llm.units"):
-        units.encoder.__defaults__[0].clear()
+        units.encoder.__defaults__[-1].clear()
         give_back()
 
 

@@ -174,8 +174,9 @@ def plan(histogram: dict[int, int], capacity: int) -> dict:
     return {"slots": {n: np.array(x, np.int64).reshape(-1, 4) for n, x in slots.items()}, "placed": placed, "part_from": part_from, "tail": bounds[-1 - len(powers_of(tokens % capacity)) :], "sequences": sequences}
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece. capacity: a power of two."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, most: int = 1_000_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece. capacity: a power of two; most:
+    the entries of a worker's encoding tables."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -183,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 out = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(tokenizer, spaced_units).batch(some.column(1).to_pylist(), end_id)):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(tokenizer, spaced_units, most).batch(some.column(1).to_pylist(), end_id)):
                     for start in range(0, len(ids), capacity):
                         part = ids[start : start + capacity]
                         crcs, of = [], 0
