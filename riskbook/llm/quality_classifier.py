@@ -18,7 +18,7 @@ doc_id are no inputs of a score. Other columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, mix64, text_or_empty
+from .common import forget_encoders, give_back, mix64, text_or_empty
 from .quality_rules import base_counts
 
 WORDS, SHAPES, BINS = 1 << 12, 1 << 11, 12
@@ -127,6 +127,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = 3000, rank: int = 48)
     """The model from at most `most` labelled documents that aren't held out; None if there are none."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         rows = [(t, y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         if rows:
             rows.sort()  # the order that rows arrive in doesn't matter
@@ -148,6 +149,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, most))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(model.value, batch.column(1).to_pylist(), neighbours), pa.float64())], names=["doc_id", "score"])
 
@@ -162,9 +164,16 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mos
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, most))
 
-    @F.pandas_udf("double")
-    def scorer(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield pd.Series(scores_of(model.value, some.tolist()))
-
+    scorer = F.pandas_udf(scorer_of(model), "double")
     return docs.where(scorer(text_or_empty()) >= threshold)
+
+
+def scorer_of(model) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """The scores of a column of texts by a broadcast model, in batches."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_encoders()
+        for some in batches:
+            yield pd.Series(scores_of(model.value if model else None, some.tolist()))
+
+    return score
