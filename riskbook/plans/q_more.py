@@ -208,7 +208,7 @@ def portfolio_result(spark, d):
 def score_stream_bundle(spark, d):
     """Loans that arrive in files (two more are of another make) scored by a saved model, in several batches and after a
     restart, beside the same model's batch scores."""
-    book = loan_book(spark, d).drop("p", "u")
+    book = staged(loan_book(spark, d).drop("p", "u"))  # fitting reads it a few times for each column
     model, _ = book_runs.fit_book(book, RUN_MAP, "loan_id", "label", trees=5)
     path = scratch(spark)
     model.save(f"{path}/model")
