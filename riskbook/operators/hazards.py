@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .order_stats import medians
 from .running import filled
+from .staging import staged
 
 
 def term_fill(df: DataFrame, column: str, order: str, group: str) -> DataFrame:
@@ -18,7 +19,8 @@ def term_fill(df: DataFrame, column: str, order: str, group: str) -> DataFrame:
 
 def cox_columns(df: DataFrame, duration: str, columns: list[str], most: int = 10) -> tuple[DataFrame, list[str]]:
     """df prepared for cox_fit: the duration with nulls as its median and 0.1 at least, and the `most` columns of highest
-    sample variance, nulls as their medians, standardised as z_<column>. A column without variance becomes 0."""
+    sample variance, nulls as their medians, standardised as z_<column>. A column without variance becomes 0. The table is written once, as each step of a fit reads it."""
+    df = staged(df)
     facts = df.agg(F.lit(0).alias("_"), *[F.var_samp(c).alias(f"variance_{c}") for c in columns]).first()
     middle = medians(df, {c: F.col(c) for c in dict.fromkeys([duration, *columns])})
     chosen = sorted((c for c in columns if facts[f"variance_{c}"] is not None), key=lambda c: (-facts[f"variance_{c}"], c))[:most]
