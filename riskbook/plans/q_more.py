@@ -173,12 +173,13 @@ def build_curves(spark, d):
 def shap_tree(spark, d):
     """Attributions of a small boosted model's margin, with what is left unexplained (zero)."""
     names = ["credit_score", "prior_delinquencies", "loan_amount"]
-    x = VectorAssembler(inputCols=names, outputCol="features").transform(numbers(spark, d))
+    x = VectorAssembler(inputCols=names, outputCol="features").transform(staged(numbers(spark, d).select("loan_id", "label", *names)))
     model = training.GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=7).fit(x)
     parts = attribution.shap_tree(x, "loan_id", "features", attribution.tree_arrays(model, scratch(spark)), names)
     margin = model.transform(x).select("loan_id", (vector_to_array("rawPrediction")[1] / 1).alias("margin"))
-    sums = parts.groupBy("loan_id").agg(F.sum("contribution").alias("explained"), F.first("base").alias("base"))
-    return parts.join(sums.join(margin, "loan_id").select("loan_id", F.round(F.col("margin") - F.col("explained") - F.col("base"), 6).alias("left_over")), "loan_id").select("loan_id", "feature", "contribution", "left_over")
+    sums = parts.groupBy("loan_id").agg(F.sum("contribution").alias("explained"), F.first("base").alias("base"), F.collect_list(F.struct("feature", "contribution")).alias("own"))  # three
+    rows = sums.join(margin, "loan_id").select("loan_id", F.round(F.col("margin") - F.col("explained") - F.col("base"), 6).alias("left_over"), F.explode("own").alias("x"))
+    return rows.select("loan_id", "x.feature", "x.contribution", "left_over")
 
 
 #: What the book's columns are, for a whole run.
