@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskbook import catalog as C
-from riskbook.functions import clean_numeric
+from riskbook.functions import number_of
 
 from . import evaluation, training
 
@@ -20,8 +20,7 @@ def to_canonical(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     out = {c: F.lit(None).cast("string" if c == "can_sector" else "double") for c in C.POOLED}
     for field, pooled in C.TO_POOLED.items():
         if field in source:
-            column = F.col(f"`{source[field]}`")
-            out[pooled] = column.cast("string") if pooled == "can_sector" else clean_numeric(column)
+            out[pooled] = F.col(f"`{source[field]}`").cast("string") if pooled == "can_sector" else number_of(df, source[field])
     if "credit_score" in source:
         big = df.agg(F.coalesce(F.max(out["can_credit_score_n"]) > 1.5, F.lit(False)).alias("_big"))
         df = df.crossJoin(F.broadcast(big))  # one row
