@@ -30,12 +30,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has too are cut out (operator 1)."""
-    return substring_dedup.cut_passages(docs)
+    return substring_dedup.cut_passages(docs, batch_bytes=1 << 22)  # the stages before leave less memory
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences of 1024 (operator 3)."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=500_000)  # the stages before leave less memory
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=100_000)  # the stages before leave less memory
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("substring dedup", passages), ("packing", packed)]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, text_or_empty, utf8_rows, word_offsets, written
+from .common import fresh, give_back, quoted, text_or_empty, utf8_rows, word_offsets, written
 from .components import connected_components
 from .exact_dedup import row_key
 
@@ -127,6 +127,7 @@ def _prints_of(words_per_shingle: int):
         for batch in batches:
             prints = np.array([simhash(x, words_per_shingle) for x in utf8_rows(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[batch.schema.names[0], "fp"])
+            give_back()
 
     return prints_of
 

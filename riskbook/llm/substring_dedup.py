@@ -158,7 +158,7 @@ def _links_out(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.nd
     yield from _dealt(part[order], 1, *(x[order] for x in (doc, pos >> 32, offset(pos), ref, ref_pos & LOW, n)))
 
 
-def _local_links(parts: int):
+def _local_links(parts: int, batch_bytes: int):
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first occurrence in the batch of each seed, and the links of the others."""
         forget_encoders()
@@ -166,7 +166,7 @@ def _local_links(parts: int):
             # so many rows at once that working memory stays small
             ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) >> 23)) + 1):
+            for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // batch_bytes)) + 1):
                 yield from _batches_of(rows(ids[some], utf8_rows(batch.column(1).take(pa.array(some)))))
                 give_back()
 
@@ -185,6 +185,7 @@ def _local_links(parts: int):
         if not got:
             return
         seed, doc, pos = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.argsort(seed, kind="stable")  # doc and pos are in order already
         seed, doc, pos = seed[order], doc[order], pos[order]
         # a seed that a text repeats within APART words (periodic text) counts for all of them; alignment goes over the rest
@@ -580,13 +581,13 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
+def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, batch_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, ref_doc_id, start, end (bytes of the UTF-8 text), ref_start, ref_end, n_words, similarity: the spans of
     documents that an earlier document (smaller doc_id) has too."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("t"))
     deal = docs.rdd.getNumPartitions()
     parts = min(1 << 14, 16 * deal)
-    dealt = texts.mapInArrow(_local_links(parts), PACKED).repartition(2 * deal, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(_local_links(parts, batch_bytes), PACKED).repartition(2 * deal, "part").sortWithinPartitions("part")
     # the local links pass by the step that links the batches' first occurrences
     links = dealt.mapInArrow(_passing(_global_links(parts)), PACKED).repartition(2 * deal, "part").sortWithinPartitions("part")
     with shuffles_removed(docs.sparkSession):  # seeds and links are off the disks before texts are dealt out
@@ -655,7 +656,7 @@ def duplicate_spans(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     return both.mapInArrow(spans, "doc_id long, ref_doc_id long, start long, end long, ref_start long, ref_end long, n_words long, similarity double").distinct()
 
 
-def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
+def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, batch_bytes: int = 1 << 23) -> DataFrame:
     """docs with the spans that an earlier document has too cut out of their texts; a document of which nothing is left
     goes. n_chars, where docs has it, is counted anew. Every passage stays where it stands first.
 
@@ -666,7 +667,7 @@ def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8)
     name = fresh(docs, "spans")
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct(F.sha2(text_or_empty(), 256)).alias("texts"))
     several = written(ids.where("texts > 1").select(F.col("doc_id").cast("long").alias("doc_id")), "several")
-    spans = written(duplicate_spans(docs.join(several, "doc_id", "left_anti"), min_words, similarity), "spans")
+    spans = written(duplicate_spans(docs.join(several, "doc_id", "left_anti"), min_words, similarity, batch_bytes), "spans")
     by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))  # no more than the text has words
 
     @F.pandas_udf("string")
