@@ -26,11 +26,33 @@ def amount_bucket(df: DataFrame, column: str, to: str = "amt_bucket") -> DataFra
     return df.withColumn(to, (F.signum(F.col(column)) * size).cast("int") + 16)
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n): the values of a column but null, and their rows. Counts are summed before the shuffle."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_codes(df: DataFrame, column: str, codes: DataFrame, to: str, few: int = 10_000) -> DataFrame:
+    """df with the code of each value of a column, from a written table (value, n, code); null is -1.
+
+    Rows are not dealt by values that many of them share. Codes of at most `few` values are broadcast; of more, those of values
+    with over one row in `few`, which are fewer than that, and only the rows of the other values go to their codes.
+    """
+    size, rows = codes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    codes = codes.select(F.col("value").alias("_value"), F.col("code").cast("int").alias(to), "n")
+    often = (F.col("n") * few > rows) if size > few else F.lit(True)
+    coded = df.join(F.broadcast(codes.where(often).drop("n")), F.col(column) == F.col("_value"), "left").drop("_value")
+    if size > few:
+        coded = staged(coded)
+        other = F.col(column).isNotNull() & F.col(to).isNull()
+        seldom = coded.where(other).drop(to).join(codes.where(~often).drop("n"), F.col(column) == F.col("_value"), "left").drop("_value")
+        coded = coded.where(~other).unionByName(seldom)
+    return coded.withColumn(to, F.coalesce(to, F.lit(-1)))
+
+
 def category_codes(df: DataFrame, column: str, to: str) -> DataFrame:
     """Dense codes from 0 in the order of the values; null is -1."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = values.withColumn(to, F.dense_rank().over(Window.orderBy(column)) - 1)  # over distinct values
-    return df.join(codes, column, "left").withColumn(to, F.coalesce(to, F.lit(-1)))
+    codes = value_counts(df, column).withColumn("code", F.dense_rank().over(Window.orderBy("value")) - 1)  # over distinct values
+    return with_codes(df, column, staged(codes), to)
 
 
 def tail_events(df: DataFrame, client: str, order: list[str], most: int = 128) -> DataFrame:
@@ -79,16 +101,17 @@ def first_clients(df: DataFrame, client: str, order: str, n: int) -> DataFrame:
 def tokenise(df: DataFrame, client: str, day: str, order: list[str], most: int = 128) -> DataFrame:
     """Token events: client_id, amt_bucket, kind and channel codes, dt_bucket, of each client's last events."""
     df = tail_events(df.withColumn("amount", signed_amount(F.col("type"), F.col("amount"))), client, order, most)
-    df = amount_bucket(event_gap(df, client, day, order), "amount")
+    df = staged(event_gap(df, client, day, order).select(client, *order, "type", "channel", "amount", "dt_bucket"))
+    df = amount_bucket(df, "amount")
     df = category_codes(category_codes(df, "type", "kind_code"), "channel", "channel_code")
     return df.select(client, *order, "amt_bucket", "kind_code", "channel_code", "dt_bucket")
 
 
 def code_book(events: DataFrame, column: str) -> DataFrame:
-    """(value, n, code): the values of a column of all corpora, from 0 by falling count, then value. Counts are summed before the
-    shuffle, and places come from ranges of (count, value), so no task numbers all values."""
-    counts = staged(events.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    return numbered(counts.withColumn("_order", F.struct((-F.col("n")).alias("n"), "value")), "_order", "code").drop("_order")
+    """(value, n, code): the values of a column of all corpora, from 0 by falling count, then value. Places come from ranges of
+    (count, value), so no task numbers all values."""
+    counts = staged(value_counts(events, column))
+    return staged(numbered(counts.withColumn("_order", F.struct((-F.col("n")).alias("n"), "value")), "_order", "code").drop("_order"))
 
 
 def union_tokens(corpora: dict[str, DataFrame], client: str, day: str, order: list[str], most: int = 128) -> DataFrame:
@@ -100,9 +123,9 @@ def union_tokens(corpora: dict[str, DataFrame], client: str, day: str, order: li
         own = staged(tail_events(own, client, order, most).select(client, day, *[c for c in order if c != day], "type", "channel", "amount"))
         parts.append(amount_bucket(event_gap(own, client, day, order), "amount"))
     events = staged(reduce(DataFrame.unionByName, parts))
-    for column, to in (("type", "kind_code"), ("channel", "channel_code")):
-        codes = code_book(events, column).select(F.col("value").alias("_value"), F.col("code").cast("int").alias(to))
-        events = events.join(codes, F.col(column) == F.col("_value"), "left").withColumn(to, F.coalesce(to, F.lit(-1))).drop("_value")
+    books = [(column, to, code_book(events, column)) for column, to in (("type", "kind_code"), ("channel", "channel_code"))]
+    for column, to, codes in books:
+        events = with_codes(events, column, codes, to)
     return events.select(client, *order, "amt_bucket", "kind_code", "channel_code", "dt_bucket")
 
 
