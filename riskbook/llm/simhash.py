@@ -5,7 +5,7 @@ covering radius 3 each) over the first 46 bits, and for the other 18 bits the co
 Every fingerprint lies within the covering radius of its home anchor, block by block. If y differs from x in at most t
 bits, y exceeds the radius at x's home by t bits at most, summed over the blocks. So each fingerprint is replicated to
 every anchor within covering radius plus t, and per anchor the fingerprints at home there are compared with all that
-were replicated to it. No linked pair is lost: the home of the smaller one finds it.
+were replicated to it. No linked pair is lost: the home of the smaller one finds it. Replicas are dealt by anchor, never broadcast.
 
 Defined results. Null or wordless text: fingerprint zero, linked as any other. Equal fingerprints are one node, so copies
 are not expanded into pairs. Repeated rows: each gets its row. Empty table: no row. Other columns are ignored.
@@ -110,7 +110,8 @@ def linked_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
     visitors = distinct.select("fp").mapInArrow(replicate, "anchor long, y long")
     home = distinct.select("fp").mapInArrow(at_home, "anchor long, x long")
     near = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold)
-    return home.join(visitors, "anchor").where(near).select("x", "y").distinct()
+    # Spark takes visitors for as small as the fingerprints that they are made from, and would broadcast them
+    return home.join(visitors.hint("merge"), "anchor").where(near).select("x", "y").distinct()
 
 
 def _grouped(prints: DataFrame, threshold: int) -> DataFrame:
