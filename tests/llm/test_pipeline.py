@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from riskbook.llm import simhash
 from riskbook.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string, spans int, fp string, _spans int, score double"
@@ -52,3 +53,17 @@ def test_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert docs.select("text").distinct().count() == docs.count()
+
+
+def test_near_dedup_broadcasts_no_replicas(spark, monkeypatch):
+    """Its replicas of fingerprints are far more than Spark takes them for; the driver's memory held them."""
+    plans, components = [], simhash.connected_components
+
+    def seen(edges, a, b):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges, a, b)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    docs = spark.createDataFrame([(k, f"a text of some words {k // 2}") for k in range(8)], "doc_id long, text string")
+    assert corpus_pipeline.near(spark, docs, "/root/testdata/sf0.001").count() <= 4
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
