@@ -24,10 +24,13 @@ def leakage_share(events: DataFrame, decisions: DataFrame, key: str, event_date:
     return events.join(decisions, key).agg(F.avg((F.col(event_date) >= F.col(decision_date)).cast("double")).alias("leakage_share"))
 
 
-def txn_rollup(df: DataFrame, client: str, amount: str, kind: str, balance: str) -> DataFrame:
+def txn_rollup(df: DataFrame, client: str, amount: str, kind: str, balance: str, order: list[str] = ()) -> DataFrame:
     """One row for each account: count, moments of amounts and balances, debits, credits and their ratio, and the share of
-    rows with a negative balance, in one grouping."""
+    rows with a negative balance, in one grouping. With an order, an account's doubles are added up in it, so that the last bit
+    (which decides ties when they are rounded) doesn't depend on how rows are dealt; its rows then meet in one task, one by one."""
     a, b, debit = F.col(amount), F.col(balance), F.col(kind).startswith("V")
+    if order:
+        df = df.select(client, *order, amount, kind, balance).repartition(client).sortWithinPartitions(client, *order)
     sums = df.groupBy(client).agg(
         F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_amount"), F.stddev_samp(a).alias("std_amount"), F.max(a).alias("max_amount"), F.avg(b).alias("mean_balance"), F.min(b).alias("min_balance"), F.stddev_samp(b).alias("std_balance"),
         F.sum(F.when(debit, a)).alias("debits"), F.sum(F.when(F.col(kind).startswith("P"), a)).alias("credits"), F.avg((b < 0).cast("double")).alias("negative_share"),
